@@ -32,9 +32,12 @@ def compare(spark, con, fn, sql, sf) -> tuple[bool, str]:
     df = fn(spark, sf)
     cols = sorted(df.columns)
     types = dict(df.dtypes)
-    got = canonical([tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect()])
+    t0 = time.time()
+    raw = df.select(*[f"`{c}`" for c in cols]).collect()
+    spent = time.time() - t0
+    got = canonical([tuple(r) for r in raw])
     if sql is None:
-        return True, f"rows={len(got)} (no SQL)"
+        return True, f"rows={len(got)} spark={spent:.1f}s (no SQL)"
     rel = con.sql(sql)
     if sorted(rel.columns) != cols:
         return False, f"columns {cols} vs {sorted(rel.columns)}"
@@ -44,9 +47,8 @@ def compare(spark, con, fn, sql, sf) -> tuple[bool, str]:
     want = canonical(con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({sql})").fetchall())
     note = f" types {off}" if off else ""
     if got == want:
-        return not off, f"rows={len(got)}{note}"
-    extra = [r for r in got if r not in set(want)][:1]
-    lost = [r for r in want if r not in set(got)][:1]
+        return not off, f"rows={len(got)} spark={spent:.1f}s{note}"
+    extra, lost = sorted(set(got) - set(want))[:1], sorted(set(want) - set(got))[:1]
     return False, f"rows {len(got)} vs {len(want)} cols={cols}{note}\n   spark: {str(extra)[:700]}\n   sql:   {str(lost)[:700]}"
 
 
