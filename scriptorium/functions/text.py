@@ -58,6 +58,12 @@ def matches(c: Column, pattern: str) -> Column:
     return c.rlike(pattern)
 
 
+def round_half_up(c: Column | str, digits: int) -> Column:
+    """Round a non-negative double on its binary value, not on its shortest decimal form."""
+    scale = F.lit(10.0**digits)
+    return F.floor(col(c) * scale + 0.5) / scale
+
+
 def any_of(conditions: list[Column]) -> Column:
     out = conditions[0]
     for cond in conditions[1:]:

@@ -83,7 +83,7 @@ def best_match(left: DataFrame, right: DataFrame, key: str | Sequence[str], min_
     hits = pairs.select(*ks, F.inline(_best_in_blocks(min_score)("l_items", "r_items")))
     best = hits.groupBy(*ks, F.col("l").alias("num")).agg(
         F.max_by(F.struct("r", "score"), F.struct("score", -F.col("r"))).alias("m"))
-    return best.select(*ks, "num", F.col("m.r").alias("right_num"), F.round("m.score", 4).alias("score"))
+    return best.select(*ks, "num", F.col("m.r").alias("right_num"), tx.round_half_up("m.score", 4).alias("score"))
 
 
 def resolve_claims(left: DataFrame, matches: DataFrame, key: str | Sequence[str]) -> DataFrame:

@@ -138,7 +138,7 @@ def requirement_level(df: DataFrame, must: float = 0.75, should: float = 0.55) -
     level = F.when(p >= must, "MUST").when(p >= should, "SHOULD").otherwise("OPTIONAL")
     out = df.filter(tx.strip("bullet_text") != "").withColumn("level", level)
     return out.withColumn("level_rank", F.when(F.col("level") == "MUST", 0).when(F.col("level") == "SHOULD", 1).otherwise(2)).withColumn(
-        "priority", F.round("priority", 3))
+        "priority", tx.round_half_up("priority", 3))
 
 
 def fallback_requirements(cands: DataFrame, n: int = 4, must: float = 0.80, pos: str = "pos") -> DataFrame:
@@ -149,7 +149,7 @@ def fallback_requirements(cands: DataFrame, n: int = 4, must: float = 0.80, pos:
     w = Window.partitionBy("slide_uid").orderBy(F.desc(F.coalesce("priority", F.lit(0.0))), F.asc(pos))
     top = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     p = F.coalesce("priority", F.lit(0.6))
-    return top.withColumn("level", F.when(p >= must, "MUST").otherwise("SHOULD")).withColumn("priority", F.round(p, 3))
+    return top.withColumn("level", F.when(p >= must, "MUST").otherwise("SHOULD")).withColumn("priority", tx.round_half_up(p, 3))
 
 
 def balanced_assignment(edges: DataFrame, key: str = "doc_id", paper: str = "bib_id", pos: str = "pos") -> DataFrame:
@@ -323,51 +323,77 @@ def apply_instructions(right: DataFrame, left: DataFrame, ops: DataFrame, key: s
     steps = ops.join(source, [key, "what", "id"], "left").select(
         key, F.lit(1).alias("stage"), F.col("op_no").alias("seq"), "block", "op", "what", "id", "after_type", "after_id",
         F.coalesce("text", F.concat(F.lit("[MISSING "), F.upper("what"), F.lit(" "), F.col("id").cast("string"), F.lit("]"))).alias("text"))
-    ktype = dict(right.dtypes)[key]
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Linked list over one document's sentences: each operation is constant time."""
-        pdf = pdf.sort_values(["stage", "seq"])
-        text, nxt, prv, home, heads, tails = {}, {}, {}, {}, {}, {}
-
-        def unlink(n):
-            a, b, h = prv.pop(n), nxt.pop(n), home.pop(n)
-            if a is None: heads[h] = b
-            else: nxt[a] = b
-            if b is None: tails[h] = a
-            else: prv[b] = a
-
-        def link(n, h, after):
-            b = nxt[after] if after is not None else None
-            after = tails.get(h) if after is None else after
-            home[n], prv[n], nxt[n] = h, after, b
-            if after is None: heads[h] = n
-            else: nxt[after] = n
-            if b is None: tails[h] = n
-            else: prv[b] = n
-
-        for r in pdf.itertuples(index=False):
-            block = None if pd.isna(r.block) else r.block
-            node = (r.what, int(r.id))
-            if node in home:
-                unlink(node)
-            text[node] = r.text
-            anchor = None
-            if r.stage == 1 and block is None and r.after_type in ("left", "right") and not pd.isna(r.after_id):
-                anchor = (r.after_type, int(r.after_id))
-                anchor = anchor if anchor in home and anchor != node else None
-            link(node, home[anchor] if anchor else block, anchor)
-        k, out = pdf[key].iloc[0], []
-        for h, n in heads.items():
+    ordered = rows.unionByName(steps).repartition(key).sortWithinPartitions(key, "stage", "seq")
+    names = [key, "block", "pos", "source", "num", "text"]
+
+    def replay(batches):
+        """One document at a time; its blocks are linked lists, so each operation is constant time."""
+        deck = None
+        for pdf in batches:
+            out: list[tuple] = []
+            for r in pdf.itertuples(index=False):
+                k = getattr(r, key)
+                if deck is None or deck.key != k:
+                    out += deck.rows() if deck else []
+                    deck = _Blocks(k)
+                deck.apply(r)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(deck.rows() if deck else [], columns=names)
+
+    return ordered.mapInPandas(
+        replay, f"{key} {dict(right.dtypes)[key]}, block string, pos int, source string, num long, text string")
+
+
+class _Blocks:
+    """Sentence order of one document as a linked list per block."""
+
+    def __init__(self, key):
+        self.key, self.text, self.next, self.prev, self.home, self.head, self.tail = key, {}, {}, {}, {}, {}, {}
+
+    def _unlink(self, n) -> None:
+        before, after, h = self.prev.pop(n), self.next.pop(n), self.home.pop(n)
+        if before is None:
+            self.head[h] = after
+        else:
+            self.next[before] = after
+        if after is None:
+            self.tail[h] = before
+        else:
+            self.prev[after] = before
+
+    def _link(self, n, h, before) -> None:
+        before = self.tail.get(h) if before is None else before
+        after = None if before is None else self.next[before]
+        self.home[n], self.prev[n], self.next[n] = h, before, after
+        if before is None:
+            self.head[h] = n
+        else:
+            self.next[before] = n
+        if after is None:
+            self.tail[h] = n
+        else:
+            self.prev[after] = n
+
+    def apply(self, r) -> None:
+        block = None if pd.isna(r.block) else r.block
+        node, anchor = (r.what, int(r.id)), None
+        if node in self.home:
+            self._unlink(node)
+        self.text[node] = r.text
+        if r.stage == 1 and block is None and r.after_type in ("left", "right") and not pd.isna(r.after_id):
+            anchor = (r.after_type, int(r.after_id))
+        known = anchor in self.home
+        self._link(node, self.home[anchor] if known else block, anchor if known else None)
+
+    def rows(self) -> list[tuple]:
+        out = []
+        for h, n in self.head.items():
             pos = 0
             while n is not None:
                 pos += 1
-                out.append((k, h, pos, n[0], n[1], text[n]))
-                n = nxt[n]
-        return pd.DataFrame(out, columns=[key, "block", "pos", "source", "num", "text"])
-
-    return rows.unionByName(steps).groupBy(key).applyInPandas(
-        replay, f"{key} {ktype}, block string, pos int, source string, num long, text string")
+                out.append((self.key, h, pos, n[0], n[1], self.text[n]))
+                n = self.next[n]
+        return out
 
 
 def check_ranges(plans: DataFrame, key: str = "doc_id") -> DataFrame:
