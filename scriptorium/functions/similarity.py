@@ -82,6 +82,20 @@ def py_partial_ratio(a: str, b: str) -> float:
     return best
 
 
+class WindowProbe:
+    """Whether a window of a longer text reaches the threshold near a given place."""
+
+    def __init__(self, short: str, threshold: float, shift: int):
+        self.size, self.threshold, self.shift, self.masks = len(short), threshold, shift, _masks(short)
+
+    def near(self, long: str, start: int) -> bool:
+        for at in range(start - self.shift, start + self.shift + 1):
+            window = long[max(0, at):max(0, at + self.size)]
+            if window and 200.0 * _lcs(self.masks, self.size, window) >= self.threshold * (self.size + len(window)):
+                return True
+        return False
+
+
 def py_token_set_ratio(a: str, b: str) -> float:
     """Indel ratio over the shared tokens and each side's rest, the best of three pairings."""
     ta, tb = set(a.split()), set(b.split())
@@ -99,6 +113,31 @@ def py_token_set_ratio(a: str, b: str) -> float:
     return best
 
 
+class Bounded:
+    """Ratio of many left strings against one right string, skipped when provably too low.
+
+    The matching blocks of the ratio form a common subsequence, so 2*LCS/(la+lb) bounds it from
+    above; the bit-parallel LCS costs a fraction of the ratio itself.
+    """
+
+    def __init__(self, right: str):
+        self.right, self.masks, self.matcher = right, _masks(right), SequenceMatcher(None)
+        self.matcher.set_seq2(right)
+
+    def ratio(self, left: str, bar: float, least: float = 0.0) -> float | None:
+        """The ratio if it is over ``bar`` and at least ``least``, else None."""
+        total = len(left) + len(self.right)
+        if not total:
+            return 1.0 if bar < 1.0 else None
+        for common in (min(len(left), len(self.right)), None):
+            common = _lcs(self.masks, len(self.right), left) if common is None else common
+            if 2.0 * common / total <= bar or 2.0 * common / total < least:
+                return None
+        self.matcher.set_seq1(left)
+        r = self.matcher.ratio()
+        return r if r > bar and r >= least else None
+
+
 @F.pandas_udf(T.DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([py_partial_ratio(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -51,21 +51,12 @@ def _best_in_blocks(min_score: float):
         for ls, rs in zip(lefts, rights):
             best: dict[int, tuple[float, int]] = {}
             lows = [(x["pos"], (x["text"] or "").lower()) for x in ls]
-            sm = SequenceMatcher(None)
             for r in sorted(rs, key=lambda x: x["pos"]):
-                sm.set_seq2((r["text"] or "").lower())
+                against = sim.Bounded((r["text"] or "").lower())
                 for pos, low in lows:
-                    bar = best.get(pos, (0.0, -1))[0]
-                    sm.set_seq1(low)
-                    # Both quick ratios bound the ratio from above, so skipping loses nothing.
-                    for bound in (sm.real_quick_ratio, sm.quick_ratio):
-                        top = bound()
-                        if top <= bar or top < min_score:
-                            break
-                    else:
-                        s = sm.ratio()
-                        if s > bar and s >= min_score:
-                            best[pos] = (s, r["pos"])
+                    score = against.ratio(low, best.get(pos, (0.0, -1))[0], min_score)
+                    if score is not None:
+                        best[pos] = (score, r["pos"])
             out.append([{"l": p, "r": r, "score": s} for p, (s, r) in best.items()])
         return pd.Series(out)
 
@@ -132,15 +123,16 @@ def sequence_diff(left: DataFrame, right: DataFrame, key: str | Sequence[str], c
     def first_near(lefts: pd.Series, rights: pd.Series) -> pd.Series:
         out = []
         for ls, rs in zip(lefts, rights):
-            rights_in_order = sorted(rs, key=lambda x: x["pos"])
-            found = []
-            for x in ls:
-                low = (x["text"] or "").lower()
-                for r in rights_in_order:
-                    sm = SequenceMatcher(None, low, (r["text"] or "").lower())
-                    if sm.real_quick_ratio() > cut and sm.quick_ratio() > cut and (s := sm.ratio()) > cut:
-                        found.append({"l": x["pos"], "r": r["pos"], "score": s})
-                        break
+            open_, found = [(x["pos"], (x["text"] or "").lower()) for x in ls], []
+            for r in sorted(rs, key=lambda x: x["pos"]):
+                against, still = sim.Bounded((r["text"] or "").lower()), []
+                for pos, low in open_:
+                    s = against.ratio(low, cut)
+                    if s is None:
+                        still.append((pos, low))
+                    else:
+                        found.append({"l": pos, "r": r["pos"], "score": s})
+                open_ = still
             out.append(found)
         return pd.Series(out)
 
@@ -158,61 +150,76 @@ def sequence_diff(left: DataFrame, right: DataFrame, key: str | Sequence[str], c
         moved.select(*cols, F.lit("possible_misplaced").alias("kind")))
 
 
-def _pieces(s: str, threshold: float) -> list[str]:
-    """Pieces of ``s`` one of which every window within the threshold must contain.
+def _breaks(n: int, threshold: float) -> int:
+    """Most breaks between ``n`` characters and a window no longer than ``n`` within the threshold.
 
-    A window as long as ``s`` or shorter that reaches ratio t leaves at most
-    (1-t)(len+window) <= 2(1-t)len breaks, so cutting ``s`` into one piece more leaves a piece whole.
+    Ratio t leaves at most (1-t)(n+window) <= 2(1-t)n unmatched characters on both sides.
     """
-    breaks = int(2 * (100.0 - threshold) / 100.0 * len(s) + 1e-9)
-    n = min(breaks + 1, len(s))
+    return int(2 * (100.0 - threshold) / 100.0 * n + 1e-9)
+
+
+def _pieces(s: str, threshold: float) -> list[tuple[int, str]]:
+    """(offset, piece) of ``s``; with one piece more than breaks, any window within the threshold
+    holds a whole piece, shifted by no more than the breaks."""
+    n = min(_breaks(len(s), threshold) + 1, len(s))
     cuts = [len(s) * i // n for i in range(n + 1)]
-    return [s[a:b] for a, b in zip(cuts, cuts[1:])]
+    return [(a, s[a:b]) for a, b in zip(cuts, cuts[1:])]
+
 
+class _NotionIndex:
+    """Notions indexed by pieces and tokens; every notion it skips is provably under the threshold."""
 
-def _notion_scorer(threshold: float):
-    def candidates(items):
-        by_piece: dict[str, set[int]] = {}
-        by_token: dict[str, set[int]] = {}
+    def __init__(self, items, threshold: float):
+        self.items, self.threshold = items, threshold
+        self.by_token: dict[str, list[int]] = {}
+        self.by_length: dict[int, list[int]] = {}
+        by_piece: dict[str, list[tuple[int, int]]] = {}
         for i, x in enumerate(items):
-            for p in _pieces(x["norm"], threshold):
-                by_piece.setdefault(p, set()).add(i)
-            for t in x["norm"].split():
-                by_token.setdefault(t, set()).add(i)
+            self.by_length.setdefault(len(x["norm"]), []).append(i)
+            for at, p in _pieces(x["norm"], threshold):
+                by_piece.setdefault(p, []).append((i, at))
+            for t in set(x["norm"].split()):
+                self.by_token.setdefault(t, []).append(i)
+        self.probe = [sim.WindowProbe(x["norm"], threshold, _breaks(len(x["norm"]), threshold)) for x in items]
         try:
             import ahocorasick
 
             auto = ahocorasick.Automaton()
-            for p, ids in by_piece.items():
-                auto.add_word(p, tuple(ids))
+            for p, places in by_piece.items():
+                auto.add_word(p, (len(p), places))
             auto.make_automaton()
-
-            def scan(s):
-                return {i for _, ids in auto.iter(s) for i in ids}
+            self.scan = auto.iter
         except ImportError:
 
             def scan(s):
-                return {i for p, ids in by_piece.items() if p in s for i in ids}
-
-        return scan, by_token
-
-    def link(s: str, items, scan, by_token) -> list[int]:
-        """Indexes of linked notions; every skipped notion is provably under the threshold."""
-        toks = set(s.split())
-        part = scan(s)
-        token = {i for t in toks for i in by_token.get(t, ())}
-        found = []
-        for i, x in enumerate(items):
-            n = x["norm"]
-            near = 200.0 * min(len(n), len(s)) / max(1, len(n) + len(s)) >= threshold - 10
-            # A notion longer than the sentence swaps roles, so its pieces prove nothing.
-            if (i in part or len(n) > len(s)) and sim.py_partial_ratio(n, s) >= threshold:
-                found.append(i)
-            elif (i in token or near) and sim.py_token_set_ratio(n, s) >= threshold:
-                found.append(i)
-        return found
-
-    return candidates, link
+                for p, places in by_piece.items():
+                    at = s.find(p)
+                    while at >= 0:
+                        yield at + len(p) - 1, (len(p), places)
+                        at = s.find(p, at + 1)
+
+            self.scan = scan
+
+    def links(self, s: str) -> list[int]:
+        found: set[int] = set()
+        for end, (size, places) in self.scan(s):
+            start = end - size + 1
+            for i, at in places:
+                if i not in found and self.probe[i].size <= len(s) and self.probe[i].near(s, start - at):
+                    found.add(i)
+        # A notion longer than the sentence swaps roles, so its pieces prove nothing.
+        for n, ids in self.by_length.items():
+            if n > len(s):
+                found.update(i for i in ids if i not in found and sim.py_partial_ratio(self.items[i]["norm"], s) >= self.threshold)
+        tokens = s.split()
+        width = len(" ".join(sorted(set(tokens))))
+        maybe = {i for t in set(tokens) for i in self.by_token.get(t, ())}
+        for n, ids in self.by_length.items():
+            # Without a shared token only strings of like length can reach the threshold.
+            if n and 200.0 * min(n, width) / (n + width) >= self.threshold - 10:
+                maybe.update(ids)
+        found.update(i for i in maybe - found if sim.py_token_set_ratio(self.items[i]["norm"], s) >= self.threshold)
+        return sorted(found)
 
 
 def link_notions(notions: DataFrame, sentences: DataFrame, threshold: float = 90.0,
@@ -227,13 +234,12 @@ def link_notions(notions: DataFrame, sentences: DataFrame, threshold: float = 90
     spark = sentences.sparkSession
     listed = notions.filter(tx.strip("notion") != "").groupBy(tx.match_form("notion").alias("norm")).agg(
         F.max_by(F.struct("notion", "line"), "line").alias("n")).select("norm", "n.*")
-    candidates, link = _notion_scorer(threshold)
     link_type = "array<struct<notion:string,line:int>>"
     keep = [c for c in sentences.columns if c != "sentence"]
     s = sentences.select(*keep, tx.match_form("sentence").alias("__norm")).filter(tx.strip("__norm") != "")
 
-    def links(norm: str, items, index) -> list[dict]:
-        return [{"notion": items[i]["notion"], "line": items[i]["line"]} for i in link(norm, items, *index)]
+    def links(norm: str, index: _NotionIndex) -> list[dict]:
+        return [{"notion": index.items[i]["notion"], "line": index.items[i]["line"]} for i in index.links(norm)]
 
     few = listed.limit(max_local + 1).collect()
     if len(few) <= max_local:
@@ -241,9 +247,9 @@ def link_notions(notions: DataFrame, sentences: DataFrame, threshold: float = 90
 
         @F.pandas_udf(link_type)
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = candidates(local.value)
+            index = _NotionIndex(local.value, threshold)
             for norms in batches:
-                yield pd.Series([links(n, local.value, index) for n in norms])
+                yield pd.Series([links(n, index) for n in norms])
 
         return s.select(*keep, F.inline(score("__norm")))
 
@@ -263,9 +269,8 @@ def link_notions(notions: DataFrame, sentences: DataFrame, threshold: float = 90
     def score_block(norms: pd.Series, items: pd.Series) -> pd.Series:
         out = []
         for ns, its in zip(norms, items):
-            its = list(its)
-            index = candidates(its)
-            out.append([links(n, its, index) for n in ns])
+            index = _NotionIndex(list(its), threshold)
+            out.append([links(n, index) for n in ns])
         return pd.Series(out)
 
     pairs = s.join(lists, ["__b", "__salt"]).withColumn(
@@ -571,7 +576,7 @@ def majority_figure(matches: DataFrame, min_share: float = 0.4, key: str | Seque
     total = matches.groupBy(*ks).agg(F.count("*").alias("n"))
     votes = matches.filter(F.col("partner_fig").isNotNull()).groupBy(*ks, "partner_fig").agg(
         F.count("*").alias("c"), F.min("num").alias("met"))
-    top = votes.groupBy(*ks).agg(F.max_by(F.struct("partner_fig", "c"), F.struct("c", -F.col("met"))).alias("t"))
+    top = votes.groupBy(*ks).agg(F.min_by(F.struct("partner_fig", "c"), F.struct(-F.col("c"), "met", "partner_fig")).alias("t"))
     return total.join(top, ks, "left").select(
         *ks, F.when(F.col("t.c") >= F.col("n") * min_share, F.col("t.partner_fig")).alias("majority"), "n",
         F.coalesce("t.c", F.lit(0)).alias("votes"))

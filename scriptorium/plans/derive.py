@@ -32,10 +32,9 @@ def tei_documents(documents: DataFrame) -> DataFrame:
     Every paragraph ends in a citation of entry ``b<doc_id % 5>``; each div has a figure and a formula; the
     bibliography has five entries, the fifth without title.
     """
-    lines = tx.lines("text")
 
-    def div(i: Column) -> Column:
-        ls = F.slice(lines, i * 4 + 1, F.lit(4))
+    def div(group: Column, i: Column) -> Column:
+        ls = group["items"]
         paras = F.transform(F.slice(ls, F.lit(2), F.lit(3)), lambda p: F.concat(
             F.lit("<p>"), xml_text(p), F.lit(" <ref type=\"bibr\" target=\"#b"), (F.col("doc_id") % 5).cast("string"),
             F.lit("\">[x"), (F.col("doc_id") % 5).cast("string"), F.lit("]</ref></p>")))
@@ -47,8 +46,7 @@ def tei_documents(documents: DataFrame) -> DataFrame:
             F.lit("<figure"), F.when(i % 2 == 0, F.concat(F.lit(" xml:id=\"fig_"), n, F.lit("\""))).otherwise(""),
             F.lit("><head>Fig. "), n, F.lit("</head><figDesc>"), xml_text(F.left(F.get(ls, F.lit(0)), F.lit(60))), F.lit("</figDesc></figure></div>"))
 
-    n_divs = F.ceil(F.size(lines) / 4).cast("int")
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n_divs, F.lit(1)) - 1), div), "")
+    body = F.array_join(F.transform(tx.segments(tx.lines("text"), lambda xs, i: i % 4 == 0), div), "")
     d = F.col("doc_id").cast("string")
     bib = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.concat(
         F.lit("<biblStruct xml:id=\"b"), k.cast("string"), F.lit("\"><analytic>"),

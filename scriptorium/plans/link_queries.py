@@ -280,7 +280,7 @@ def d20(t):
 
 @query("d21_majority_figure", """
 WITH m AS (SELECT l_orderkey AS block, l_linenumber AS num, CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS fig FROM lineitem),
-v AS (SELECT block, fig, count(*) AS c, min(num) AS met FROM m WHERE fig IS NOT NULL GROUP BY ALL), t AS (SELECT block, fig, c FROM v QUALIFY row_number() OVER (PARTITION BY block ORDER BY c DESC, met) = 1),
+v AS (SELECT block, fig, count(*) AS c, min(num) AS met FROM m WHERE fig IS NOT NULL GROUP BY ALL), t AS (SELECT block, fig, c FROM v QUALIFY row_number() OVER (PARTITION BY block ORDER BY c DESC, met, fig) = 1),
 n AS (SELECT block, count(*) AS n FROM m GROUP BY 1)
 SELECT block, CASE WHEN c >= n * 0.4 THEN fig END AS majority, n, coalesce(c, 0) AS votes FROM n LEFT JOIN t USING (block)""")
 def d21(t):

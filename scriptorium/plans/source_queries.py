@@ -170,7 +170,7 @@ def a19(t):
 
 
 @query("c16_supp_boundary", f"""
-SELECT doc_id, boundary IS NOT NULL AS has_boundary FROM (SELECT doc_id, CASE WHEN len({q.lines('text')}) > 12 THEN 1 END AS boundary FROM documents)""")
+SELECT doc_id, boundary IS NOT NULL AS has_boundary FROM (SELECT doc_id, CASE WHEN len({q.lines('text')}) > 12 AND length({q.squash(q.lines('text') + '[13]')}) >= 30 THEN 1 END AS boundary FROM documents)""")
 def c16(t):
     """The fourth div of the derived TEI is an annex; documents with fewer divs have no supplement."""
     b = tei.supp_boundary(nodes(t))
