@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,29 +114,69 @@ def py_token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-class Bounded:
-    """Ratio of many left strings against one right string, skipped when provably too low.
+class RatioBlock:
+    """Ratios of left strings against a block of right strings, computed only where they can matter.
 
-    The matching blocks of the ratio form a common subsequence, so 2*LCS/(la+lb) bounds it from
-    above; the bit-parallel LCS costs a fraction of the ratio itself.
+    The matching blocks of a ratio form a common subsequence, so 2*LCS/(la+lb) bounds it from above.
+    All right strings share one bit vector, byte-aligned with a guard bit between them that
+    swallows the carry, so one pass over a left string gives its LCS with every right string.
     """
 
-    def __init__(self, right: str):
-        self.right, self.masks, self.matcher = right, _masks(right), SequenceMatcher(None)
-        self.matcher.set_seq2(right)
-
-    def ratio(self, left: str, bar: float, least: float = 0.0) -> float | None:
-        """The ratio if it is over ``bar`` and at least ``least``, else None."""
-        total = len(left) + len(self.right)
-        if not total:
-            return 1.0 if bar < 1.0 else None
-        for common in (min(len(left), len(self.right)), None):
-            common = _lcs(self.masks, len(self.right), left) if common is None else common
-            if 2.0 * common / total <= bar or 2.0 * common / total < least:
-                return None
-        self.matcher.set_seq1(left)
-        r = self.matcher.ratio()
-        return r if r > bar and r >= least else None
+    def __init__(self, rights: list[str]):
+        self.rights = rights
+        self.lengths = np.array([len(r) for r in rights])
+        sizes = [len(r) // 8 + 1 for r in rights]
+        self.starts = np.cumsum([0, *sizes[:-1]])
+        self.n_bytes = int(sum(sizes))
+        parts: dict[str, bytearray] = {}
+        full = bytearray(self.n_bytes)
+        for start, r in zip(self.starts.tolist(), rights):
+            for i, ch in enumerate(r):
+                if ch not in parts:
+                    parts[ch] = bytearray(self.n_bytes)
+                parts[ch][start + i // 8] |= 1 << (i % 8)
+                full[start + i // 8] |= 1 << (i % 8)
+        self.masks = {ch: int.from_bytes(m, "little") for ch, m in parts.items()}
+        self.full = int.from_bytes(full, "little")
+        self.matchers: dict[int, SequenceMatcher] = {}
+
+    def bounds(self, left: str) -> np.ndarray:
+        row, full, masks = self.full, self.full, self.masks
+        for ch in left:
+            hit = row & masks.get(ch, 0)
+            if hit:
+                row = ((row + hit) | (row - hit)) & full
+        ones = np.bitwise_count(np.frombuffer(row.to_bytes(self.n_bytes, "little"), dtype="uint8"))
+        common = self.lengths - np.add.reduceat(ones.astype("int64"), self.starts)
+        total = self.lengths + len(left)
+        return np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
+
+    def ratio(self, left: str, j: int) -> float:
+        if j not in self.matchers:
+            self.matchers[j] = SequenceMatcher(None)
+            self.matchers[j].set_seq2(self.rights[j])
+        self.matchers[j].set_seq1(left)
+        return self.matchers[j].ratio()
+
+    def first_over(self, left: str, cut: float) -> tuple[int, float] | None:
+        """First right string more similar than ``cut``."""
+        for j in np.flatnonzero(self.bounds(left) > cut).tolist():
+            if (r := self.ratio(left, j)) > cut:
+                return j, r
+        return None
+
+    def best(self, left: str, least: float) -> tuple[int, float] | None:
+        """Most similar right string with a positive ratio of at least ``least``, the first on a tie."""
+        bounds = self.bounds(left)
+        found: tuple[int, float] | None = None
+        for j in np.argsort(-bounds, kind="stable").tolist():
+            bar = found[1] if found else 0.0
+            if bounds[j] < max(bar, least) or bounds[j] == 0.0:
+                break
+            r = self.ratio(left, j)
+            if r >= least and (r > bar or (found and r == bar and j < found[0])):
+                found = (j, r)
+        return found
 
 
 @F.pandas_udf(T.DoubleType())

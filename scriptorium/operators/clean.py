@@ -56,91 +56,115 @@ FOLD_TO = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy"
 
 
 def is_axis_line(line: Column) -> Column:
-    s = tx.strip(line)
-    tokens = F.split(s, "\\s+")
-    short = F.size(F.filter(tokens, lambda t: F.length(t) < 3))
-    return (
-        (F.length(s) <= 2)
-        | s.rlike("^[\\d\\s.()×eE\\-+]+$")
-        | s.rlike("(?U)\\b(" + "|".join(UNITS) + ")\\b")
-        | ((F.size(tokens) >= 3) & (short > F.size(tokens) / 2))
-    )
+
+    def test(s: Column) -> Column:
+        crowd = tx.let(F.split(s, "\\s+"), lambda tokens: (F.size(tokens) >= 3) & (
+            F.size(F.filter(tokens, lambda t: F.length(t) < 3)) > F.size(tokens) / 2))
+        return (
+            (F.length(s) <= 2)
+            | s.rlike("^[\\d\\s.()×eE\\-+]+$")
+            | s.rlike("(?U)\\b(" + "|".join(UNITS) + ")\\b")
+            | crowd
+        )
+
+    return tx.let(tx.strip(line), test)
 
 
 def is_equation_line(line: Column) -> Column:
-    s = tx.strip(line)
-    return (
-        (s != "")
-        & (F.length(s) <= 100)
-        & (
-            s.rlike(MATH_LINE)
-            | (s.rlike("[α-ωΑ-Ω]") & (F.regexp_count(s, F.lit("(?U)\\w")) < 3))
-            | (tx.count_of(s, "=") > 1)
-            | (tx.count_of(s, "+") > 2)
-            | (tx.count_of(s, "–") > 1)
+
+    def test(s: Column) -> Column:
+        return (
+            (s != "")
+            & (F.length(s) <= 100)
+            & (
+                s.rlike(MATH_LINE)
+                | (s.rlike("[α-ωΑ-Ω]") & (F.regexp_count(s, F.lit("(?U)\\w")) < 3))
+                | (tx.count_of(s, "=") > 1)
+                | (tx.count_of(s, "+") > 2)
+                | (tx.count_of(s, "–") > 1)
+            )
         )
-    )
+
+    return tx.let(tx.strip(line), test)
 
 
 def is_metadata_line(line: Column) -> Column:
-    s = tx.strip(line)
-    submission = s.rlike("(?iU)\\b(" + "|".join(SUBMISSION_WORDS) + ")\\b") & s.rlike("\\d{4}")
-    volume = s.rlike(
-        "(?U)\\b(?:Volume|Vol\\.?|Issue|pp?\\.?\\s*\\d+[–-]\\d+|\\|\\s*\\d+\\s*[–-]\\d+)\\b"
-    )
-    return (s != "") & (s.contains("@") | submission | volume)
+
+    def test(s: Column) -> Column:
+        submission = s.rlike("(?iU)\\b(" + "|".join(SUBMISSION_WORDS) + ")\\b") & s.rlike("\\d{4}")
+        volume = s.rlike(
+            "(?U)\\b(?:Volume|Vol\\.?|Issue|pp?\\.?\\s*\\d+[–-]\\d+|\\|\\s*\\d+\\s*[–-]\\d+)\\b"
+        )
+        return (s != "") & (s.contains("@") | submission | volume)
+
+    return tx.let(tx.strip(line), test)
 
 
 def is_author_line(line: Column, ratio: float = 0.60) -> Column:
     """Uppercase letters per alphabetic word at or above ``ratio``, at least two of them."""
-    s = tx.strip(line)
-    word = "[\\p{L}\\p{N}_.\\-]"
-    n_words = F.regexp_count(s, F.lit(f"{word}*\\p{{L}}{word}*"))
-    n_upper = F.regexp_count(s, F.lit("\\p{Lu}"))
-    return (
-        (s != "")
-        & (F.length(s) <= 600)
-        & (n_upper > 1)
-        & (n_words > 0)
-        & (n_upper / n_words >= ratio)
-    )
+
+    def test(s: Column) -> Column:
+        word = "[\\p{L}\\p{N}_.\\-]"
+        n_words = F.regexp_count(s, F.lit(f"{word}*\\p{{L}}{word}*"))
+        n_upper = F.regexp_count(s, F.lit("\\p{Lu}"))
+        return (
+            (s != "")
+            & (F.length(s) <= 600)
+            & (n_upper > 1)
+            & (n_words > 0)
+            & (n_upper / n_words >= ratio)
+        )
+
+    return tx.let(tx.strip(line), test)
 
 
 def is_running_line(line: Column) -> Column:
-    s = tx.strip(line)
-    return (
-        s.rlike("^https?://|^DOI|^doi|^www\\.|^Nature|^Science|^arXiv")
-        | s.rlike("^\\d{1,3}\\s*$")
-        | s.rlike("^\\(?\\d{4}\\)?$")
-        | s.rlike("^[A-Z][A-Za-z,\\-\\s]+et al\\.$")
-        | s.rlike("^[A-Z][A-Za-z\\-\\s]+[A-Z][A-Za-z\\-\\s]+$")
-    )
+
+    def test(s: Column) -> Column:
+        return (
+            s.rlike("^https?://|^DOI|^doi|^www\\.|^Nature|^Science|^arXiv")
+            | s.rlike("^\\d{1,3}\\s*$")
+            | s.rlike("^\\(?\\d{4}\\)?$")
+            | s.rlike("^[A-Z][A-Za-z,\\-\\s]+et al\\.$")
+            | s.rlike("^[A-Z][A-Za-z\\-\\s]+[A-Z][A-Za-z\\-\\s]+$")
+        )
+
+    return tx.let(tx.strip(line), test)
 
 
 def is_short_junk(line: Column) -> Column:
-    s = tx.strip(line)
-    return (F.length(s) < 100) & (
-        s.rlike("^\\p{Nd}+$") | s.rlike("^https?://") | s.rlike("^[A-Z]{3,}$")
-    )
+
+    def test(s: Column) -> Column:
+        return (F.length(s) < 100) & (
+            s.rlike("^\\p{Nd}+$") | s.rlike("^https?://") | s.rlike("^[A-Z]{3,}$")
+        )
+
+    return tx.let(tx.strip(line), test)
 
 
 def is_caps_line(line: Column) -> Column:
     """Shorter than 180 characters and more than 45% of its letters uppercase."""
-    s = tx.strip(line)
-    letters = F.regexp_count(s, F.lit("\\p{L}"))
-    upper = F.regexp_count(s, F.lit("\\p{Lu}"))
-    return (s != "") & (F.length(s) < 180) & (letters > 0) & (upper / letters > 0.45)
+
+    def test(s: Column) -> Column:
+        letters = F.regexp_count(s, F.lit("\\p{L}"))
+        upper = F.regexp_count(s, F.lit("\\p{Lu}"))
+        return (s != "") & (F.length(s) < 180) & (letters > 0) & (upper / letters > 0.45)
+
+    return tx.let(tx.strip(line), test)
 
 
 def is_header_line(line: Column) -> Column:
-    s = tx.strip(line)
-    low = F.lower(s)
-    all_caps = s.rlike("\\p{Lu}") & ~s.rlike("\\p{Ll}")
-    return (
-        (s != "")
-        & (F.length(s) <= 150)
-        & (all_caps | s.rlike("^\\d+\\.") | low.contains("supplementary") | low.contains("method"))
-    )
+
+    def test(s: Column) -> Column:
+        low = F.lower(s)
+        all_caps = s.rlike("\\p{Lu}") & ~s.rlike("\\p{Ll}")
+        return (
+            (s != "")
+            & (F.length(s) <= 150)
+            & (all_caps | s.rlike("^\\d+\\.") | low.contains("supplementary") | low.contains("method"))
+        )
+
+    return tx.let(tx.strip(line), test)
 
 
 # --- operators -------------------------------------------------------------------------
@@ -253,6 +277,11 @@ def _drop(df: DataFrame, column: str, drop: Callable[[Column], Column]) -> DataF
     return df.withColumn(column, tx.keep_lines(column, lambda line: ~drop(line)))
 
 
+def drop_lines(df: DataFrame, rules: Sequence[Callable[[Column], Column]], column: str = "text") -> DataFrame:
+    """Several line rules in one pass over the text."""
+    return _drop(df, column, lambda line: tx.any_of([rule(line) for rule in rules]))
+
+
 def drop_axis_lines(df: DataFrame, column: str = "text") -> DataFrame:
     """B-10."""
     return _drop(df, column, is_axis_line)

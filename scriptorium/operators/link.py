@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import similarity as sim
 from scriptorium.functions import text as tx
-from scriptorium.session import BROADCAST_ROWS, broadcast_if_small
+from scriptorium.session import BROADCAST_ROWS, broadcast_if_small, spread
 
 BLOCK = 256
 
@@ -38,7 +38,7 @@ def block_pairs(left: DataFrame, right: DataFrame, key: Sequence[str], lpos: str
     """Equi-join of block arrays on the key, spread evenly for scoring."""
     lb = blocks(left, key, lpos, lfields, "l", size)
     rb = blocks(right, key, rpos, rfields, "r", size)
-    return lb.join(rb, list(key)).repartition(*key, "l_block", "r_block")
+    return spread(lb.join(rb, list(key)), *key, "l_block", "r_block")
 
 
 MATCH = "array<struct<l:long,r:long,score:double>>"
@@ -49,15 +49,10 @@ def _best_in_blocks(min_score: float):
     def score(lefts: pd.Series, rights: pd.Series) -> pd.Series:
         out = []
         for ls, rs in zip(lefts, rights):
-            best: dict[int, tuple[float, int]] = {}
-            lows = [(x["pos"], (x["text"] or "").lower()) for x in ls]
-            for r in sorted(rs, key=lambda x: x["pos"]):
-                against = sim.Bounded((r["text"] or "").lower())
-                for pos, low in lows:
-                    score = against.ratio(low, best.get(pos, (0.0, -1))[0], min_score)
-                    if score is not None:
-                        best[pos] = (score, r["pos"])
-            out.append([{"l": p, "r": r, "score": s} for p, (s, r) in best.items()])
+            rights = sorted(rs, key=lambda x: x["pos"])
+            block = sim.RatioBlock([(r["text"] or "").lower() for r in rights])
+            found = [(x["pos"], block.best((x["text"] or "").lower(), min_score)) for x in ls]
+            out.append([{"l": pos, "r": rights[m[0]]["pos"], "score": m[1]} for pos, m in found if m])
         return pd.Series(out)
 
     return score
@@ -119,35 +114,28 @@ def sequence_diff(left: DataFrame, right: DataFrame, key: str | Sequence[str], c
     ks = _keys(key)
     lost, extra = _surplus(left, right, ks), _surplus(right, left, ks)
 
-    @F.pandas_udf(MATCH)
+    @F.pandas_udf("array<struct<num:long,right_num:long,right_text:string,score:double,char_diff:int>>")
     def first_near(lefts: pd.Series, rights: pd.Series) -> pd.Series:
         out = []
         for ls, rs in zip(lefts, rights):
-            open_, found = [(x["pos"], (x["text"] or "").lower()) for x in ls], []
-            for r in sorted(rs, key=lambda x: x["pos"]):
-                against, still = sim.Bounded((r["text"] or "").lower()), []
-                for pos, low in open_:
-                    s = against.ratio(low, cut)
-                    if s is None:
-                        still.append((pos, low))
-                    else:
-                        found.append({"l": pos, "r": r["pos"], "score": s})
-                open_ = still
+            rs = sorted(rs, key=lambda x: x["pos"])
+            block = sim.RatioBlock([(r["text"] or "").lower() for r in rs])
+            found = []
+            for x in ls:
+                m = block.first_over((x["text"] or "").lower(), cut)
+                if m:
+                    r = rs[m[0]]
+                    found.append({"num": x["pos"], "right_num": r["pos"], "right_text": r["text"], "score": round(m[1], 6),
+                                  "char_diff": sim.py_changed_chars(x["text"], r["text"])})
             out.append(found)
         return pd.Series(out)
 
     pairs = block_pairs(lost, extra, ks, "num", "num", ["text"], ["text"], size)
-    near = pairs.select(*ks, F.inline(first_near("l_items", "r_items"))).groupBy(*ks, F.col("l").alias("num")).agg(
-        F.min_by(F.struct("r", "score"), "r").alias("m"))
-    near = near.select(*ks, "num", F.col("m.r").alias("right_num"), F.round("m.score", 6).alias("score"))
-    out = lost.join(near, [*ks, "num"], "left").join(
-        extra.select(*ks, F.col("num").alias("right_num"), F.col("text").alias("right_text")), [*ks, "right_num"], "left")
-    missing = out.filter(F.col("right_num").isNull()).withColumn("char_diff", F.lit(None).cast("int"))
-    moved = out.filter(F.col("right_num").isNotNull()).withColumn(
-        "char_diff", sim.changed_chars("text", "right_text")).filter(F.col("char_diff") >= min_chars)
-    cols = [*ks, "num", "text", "right_num", "right_text", "score", "char_diff"]
-    return missing.select(*cols, F.lit("missing").alias("kind")).unionByName(
-        moved.select(*cols, F.lit("possible_misplaced").alias("kind")))
+    near = pairs.select(*ks, F.inline(first_near("l_items", "r_items"))).groupBy(*ks, "num").agg(
+        F.min_by(F.struct("right_num", "right_text", "score", "char_diff"), "right_num").alias("m"))
+    out = lost.join(near, [*ks, "num"], "left").select(*ks, "num", "text", "m.*")
+    kind = F.when(F.col("right_num").isNull(), "missing").when(F.col("char_diff") >= min_chars, "possible_misplaced")
+    return out.withColumn("kind", kind).filter(F.col("kind").isNotNull())
 
 
 def _breaks(n: int, threshold: float) -> int:
@@ -166,6 +154,27 @@ def _pieces(s: str, threshold: float) -> list[tuple[int, str]]:
     return [(a, s[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _finder(places: dict):
+    """Function that lists (end, (length, places)) of every known piece in a text."""
+    try:
+        import ahocorasick
+    except ImportError:
+
+        def scan(s):
+            for p, where in places.items():
+                at = s.find(p)
+                while at >= 0:
+                    yield at + len(p) - 1, (len(p), where)
+                    at = s.find(p, at + 1)
+
+        return scan
+    auto = ahocorasick.Automaton()
+    for p, where in places.items():
+        auto.add_word(p, (len(p), where))
+    auto.make_automaton()
+    return auto.iter
+
+
 class _NotionIndex:
     """Notions indexed by pieces and tokens; every notion it skips is provably under the threshold."""
 
@@ -174,31 +183,19 @@ class _NotionIndex:
         self.by_token: dict[str, list[int]] = {}
         self.by_length: dict[int, list[int]] = {}
         by_piece: dict[str, list[tuple[int, int]]] = {}
+        by_sorted: dict[str, list[int]] = {}
         for i, x in enumerate(items):
             self.by_length.setdefault(len(x["norm"]), []).append(i)
             for at, p in _pieces(x["norm"], threshold):
                 by_piece.setdefault(p, []).append((i, at))
-            for t in set(x["norm"].split()):
+            tokens = sorted(set(x["norm"].split()))
+            for t in tokens:
                 self.by_token.setdefault(t, []).append(i)
+            for _, p in _pieces(" ".join(tokens), threshold - 2):
+                by_sorted.setdefault(p, []).append(i)
+        self.widths = [len(" ".join(sorted(set(x["norm"].split())))) for x in items]
         self.probe = [sim.WindowProbe(x["norm"], threshold, _breaks(len(x["norm"]), threshold)) for x in items]
-        try:
-            import ahocorasick
-
-            auto = ahocorasick.Automaton()
-            for p, places in by_piece.items():
-                auto.add_word(p, (len(p), places))
-            auto.make_automaton()
-            self.scan = auto.iter
-        except ImportError:
-
-            def scan(s):
-                for p, places in by_piece.items():
-                    at = s.find(p)
-                    while at >= 0:
-                        yield at + len(p) - 1, (len(p), places)
-                        at = s.find(p, at + 1)
-
-            self.scan = scan
+        self.scan, self.scan_sorted = _finder(by_piece), _finder(by_sorted)
 
     def links(self, s: str) -> list[int]:
         found: set[int] = set()
@@ -211,13 +208,13 @@ class _NotionIndex:
         for n, ids in self.by_length.items():
             if n > len(s):
                 found.update(i for i in ids if i not in found and sim.py_partial_ratio(self.items[i]["norm"], s) >= self.threshold)
-        tokens = s.split()
-        width = len(" ".join(sorted(set(tokens))))
-        maybe = {i for t in set(tokens) for i in self.by_token.get(t, ())}
-        for n, ids in self.by_length.items():
-            # Without a shared token only strings of like length can reach the threshold.
-            if n and 200.0 * min(n, width) / (n + width) >= self.threshold - 10:
-                maybe.update(ids)
+        tokens = sorted(set(s.split()))
+        joined = " ".join(tokens)
+        maybe = {i for t in tokens for i in self.by_token.get(t, ())}
+        # Without a shared token the sorted token texts themselves must be alike: of like length, with a
+        # whole piece in common. The longer side adds up to (1-t)/t of breaks, hence the lower threshold.
+        for _, (_, ids) in self.scan_sorted(joined):
+            maybe.update(i for i in ids if 200.0 * min(self.widths[i], len(joined)) >= self.threshold * (self.widths[i] + len(joined)))
         found.update(i for i in maybe - found if sim.py_token_set_ratio(self.items[i]["norm"], s) >= self.threshold)
         return sorted(found)
 
@@ -249,7 +246,8 @@ def link_notions(notions: DataFrame, sentences: DataFrame, threshold: float = 90
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             index = _NotionIndex(local.value, threshold)
             for norms in batches:
-                yield pd.Series([links(n, index) for n in norms])
+                seen = {n: links(n, index) for n in norms.unique()}
+                yield norms.map(seen)
 
         return s.select(*keep, F.inline(score("__norm")))
 
@@ -328,7 +326,8 @@ def resolve_title(papers: DataFrame, candidates: DataFrame, policy: str = "best>
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
-    scored = candidates.join(papers.select(key, "title"), key).withColumn("score", sim.ratio("title", "cand_title"))
+    pairs = candidates.join(papers.select(key, "title"), key)
+    scored = spread(pairs, key, "cand_rank").withColumn("score", sim.ratio("title", "cand_title"))
     kept = scored.filter(F.col("score") >= cut if policy == "best>=" else F.col("score") > cut)
     row = F.struct("cand_rank", "cand_title", "score")
     pick = F.min_by(row, "cand_rank") if policy == "first>" else F.max_by(
@@ -343,7 +342,7 @@ def match_page(candidates: DataFrame, cut: float = 0.45, top: int = 8, key: str
     ``candidates``: notion, cand_rank (0-based), title; score = 0.7 token overlap + 0.3 ratio.
     """
     score = 0.7 * sim.token_overlap(key, "title") + 0.3 * sim.ratio(F.col(key), F.col("title"))
-    scored = candidates.filter(F.col("cand_rank") < top).withColumn("score", score)
+    scored = spread(candidates.filter(F.col("cand_rank") < top), key, "cand_rank").withColumn("score", score)
     best = scored.groupBy(key).agg(F.max_by(
         F.struct("title", "score"), F.struct("score", -F.col("cand_rank"))).alias("m"))
     return best.select(key, "m.title", F.round("m.score", 6).alias("score"), (F.col("m.score") >= cut).alias("ok")).filter("ok").drop("ok")

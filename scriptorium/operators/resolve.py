@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.session import broadcast_if_small
+from scriptorium.session import spread
 
 # Weight of each exclusivity, usage ranks and cut-offs.
 WEIGHTS = {"strong": 1.20, "medium": 1.00, "weak": 0.85}
@@ -46,7 +46,7 @@ def slide_order(slides: DataFrame, group_order: str = "group_index", slide_id: s
     offsets = running_total(sizes, group_order, "n", "before")
     w = Window.partitionBy(group_order).orderBy(slide_id, "slide_uid")
     ranked = slides.withColumn("__r", F.row_number().over(w) - 1)
-    return ranked.join(broadcast_if_small(offsets.select(group_order, "before")), group_order).select(
+    return ranked.join(offsets.select(group_order, "before"), group_order).select(
         *slides.columns, (F.col("before") + F.col("__r")).cast("long").alias("idx"))
 
 
@@ -72,9 +72,10 @@ def running_total(df: DataFrame, order: str, value: str, out: str, buckets: int
 def _scored(cands: DataFrame, order: DataFrame, n_slides: DataFrame, early_bonus: float) -> DataFrame:
     """Candidates with ``idx`` (null when the slide is unknown) and ``score``.
 
-    ``order`` is the deck's slide list. It is broadcast within the size bound.
+    The slide list grows with the decks, so the join is left to adaptive execution, which
+    broadcasts it only if its measured size allows and splits a hot slide otherwise.
     """
-    c = cands.join(broadcast_if_small(order.select("slide_uid", "idx")), "slide_uid", "left")
+    c = cands.join(order.select("slide_uid", "idx"), "slide_uid", "left")
     c = c.withColumn("__k", F.lit(1)).join(F.broadcast(n_slides.withColumn("__k", F.lit(1))), "__k").drop("__k")
     at = F.coalesce("idx", F.col("n_slides"))
     bonus = F.lit(early_bonus) * (1.0 - at / F.greatest(F.lit(1), F.col("n_slides") - 1))
@@ -98,7 +99,7 @@ def classify_usage(cands: DataFrame, primary: DataFrame, order: DataFrame, low_c
 
     Every candidate of a bullet on its primary slide is primary.
     """
-    known = cands.join(broadcast_if_small(order.select("slide_uid", "idx")), "slide_uid")
+    known = cands.join(order.select("slide_uid", "idx"), "slide_uid")
     j = known.join(primary.select("bullet_id", "primary_slide_uid"), "bullet_id")
     usage = F.when(F.col("slide_uid") == F.col("primary_slide_uid"), "primary").when(
         F.col("priority") < low_cutoff, "drop").otherwise("reminder")
@@ -161,7 +162,7 @@ def balanced_assignment(edges: DataFrame, key: str = "doc_id", paper: str = "bib
     """
     per_paper = edges.groupBy(key, paper).agg(
         F.min(pos).alias("seen"), F.collect_set(F.struct("line", "notion")).alias("options"))
-    ordered = per_paper.repartition(key).sortWithinPartitions(key, "seen", paper)
+    ordered = spread(per_paper, key).sortWithinPartitions(key, "seen", paper)
     fields = {f.name: f.dataType.simpleString() for f in per_paper.schema}
 
     def assign(batches):
@@ -251,7 +252,7 @@ def reorder_instructions(matches: DataFrame, majority: DataFrame | None = None,
     else:
         m = m.withColumn("majority", F.lit(None).cast("string"))
     cols = [key, "__main", "block_first", "block", "num", "partner_num", "partner_fig", "majority"]
-    ordered = m.select(*cols).repartition(key).sortWithinPartitions(key, "__main", "block_first", "block", "num")
+    ordered = spread(m.select(*cols), key).sortWithinPartitions(key, "__main", "block_first", "block", "num")
     ktype = dict(matches.dtypes)[key]
 
     def emit(batches):
@@ -323,7 +324,7 @@ def apply_instructions(right: DataFrame, left: DataFrame, ops: DataFrame, key: s
     steps = ops.join(source, [key, "what", "id"], "left").select(
         key, F.lit(1).alias("stage"), F.col("op_no").alias("seq"), "block", "op", "what", "id", "after_type", "after_id",
         F.coalesce("text", F.concat(F.lit("[MISSING "), F.upper("what"), F.lit(" "), F.col("id").cast("string"), F.lit("]"))).alias("text"))
-    ordered = rows.unionByName(steps).repartition(key).sortWithinPartitions(key, "stage", "seq")
+    ordered = spread(rows.unionByName(steps), key).sortWithinPartitions(key, "stage", "seq")
     names = [key, "block", "pos", "source", "num", "text"]
 
     def replay(batches):

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.session import broadcast_if_small
+from scriptorium.session import broadcast_if_small, compute_partitions, spread
 
-Q_BLOCK, V_BLOCK = 512, 4096
+Q_BLOCK, V_BLOCK, MAX_LOCAL_BLOCKS = 512, 4096, 128
 
 
 def _blocks(df: DataFrame, keys: Sequence[str], ident: str, fields: Sequence[str], name: str, size: int) -> DataFrame:
@@ -34,10 +34,18 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
     v = vectors.withColumn("__s", F.col(store) if store else F.lit("all"))
     qb = _blocks(q.select("__s", "query_id", "embedding", "k"), ks, "query_id", ["embedding", "k"], "q", Q_BLOCK)
     vb = _blocks(v.select("__s", "vec_id", "embedding"), ks, "vec_id", ["embedding"], "v", V_BLOCK)
-    pairs = vb.join(broadcast_if_small(qb, 256), ks).repartition("__s", "q_b", "v_b")
+    # Few query blocks go to the vectors; many are dealt to salted copies of the store key, so that
+    # no store, however large, is joined in one task.
+    if qb.limit(MAX_LOCAL_BLOCKS + 1).count() <= MAX_LOCAL_BLOCKS:
+        pairs = vb.join(F.broadcast(qb), ks)
+    else:
+        salts = compute_partitions(queries.sparkSession)
+        copies = qb.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        pairs = vb.withColumn("__salt", F.pmod(F.col("v_b"), F.lit(salts))).join(copies, [*ks, "__salt"])
+    pairs = spread(pairs, "__s", "q_b", "v_b")
     qtype = dict(queries.dtypes)["query_id"]
 
-    @F.pandas_udf(f"array<struct<query_id:{qtype},vec_id:long,score:double>>")
+    @F.pandas_udf(f"array<struct<query_id:{qtype},k:long,vec_id:long,score:double>>")
     def top(qs: pd.Series, vs: pd.Series) -> pd.Series:
         out = []
         for qi, vi in zip(qs, vs):
@@ -53,14 +61,13 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
                 edge = np.partition(s, len(ids) - k)[len(ids) - k]
                 keep = np.flatnonzero(s >= edge)
                 keep = keep[np.argsort(-s[keep], kind="stable")][:k]
-                rows += [{"query_id": x["query_id"], "vec_id": int(ids[i]), "score": float(s[i])} for i in keep]
+                rows += [{"query_id": x["query_id"], "k": int(x["k"]), "vec_id": int(ids[i]), "score": float(s[i])} for i in keep]
             out.append(rows)
         return pd.Series(out)
 
     hits = pairs.select("__s", F.inline(top("q_items", "v_items")))
     w = Window.partitionBy("__s", "query_id").orderBy(F.desc("score"), "vec_id")
-    ks_of = broadcast_if_small(q.select("__s", "query_id", "k"))
-    ranked = hits.withColumn("rank", F.row_number().over(w)).join(ks_of, ["__s", "query_id"]).filter(F.col("rank") <= F.col("k"))
+    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k"))
     out = ranked.select("query_id", *([F.col("__s").alias(store)] if store else []), "vec_id", "rank", F.round("score", 6).alias("score"))
     return out
 
@@ -89,12 +96,11 @@ def retrieve_evidence(queries: DataFrame, vectors: DataFrame, dedupe: bool = Tru
 
     spark = queries.sparkSession
     plan = spark.createDataFrame(retrieval_plan(**ks), "pass_no int, store string, kind string, k int")
-    q = queries.join(F.broadcast(plan), "kind").withColumn("query_id", F.struct("slide_uid", "pass_no"))
-    q = q.withColumn("query_id", F.concat_ws("\x1f", F.col("slide_uid").cast("string"), F.col("pass_no").cast("string")))
+    q = queries.join(F.broadcast(plan), "kind").withColumn("query_id", F.concat_ws("\x1f", F.col("slide_uid").cast("string"), F.col("pass_no").cast("string")))
     # Queries take the embedding type of the vectors' store; one block join serves every pass.
     hits = knn(q.select("query_id", "embedding", "k", "store"), vectors, "store")
     key = q.select("query_id", "slide_uid", "pass_no")
-    out = hits.join(broadcast_if_small(key), "query_id").join(vectors.select("store", "vec_id", "text"), ["store", "vec_id"])
+    out = hits.join(key, "query_id").join(vectors.select("store", "vec_id", "text"), ["store", "vec_id"])
     out = out.select("slide_uid", "pass_no", "rank", F.upper(F.when(F.col("store") == "figs", "fig").otherwise(
         F.col("store"))).alias("source"), "vec_id", "text", "score")
     return dedupe_evidence(out, ["slide_uid"], ["pass_no", "rank"]) if dedupe else out

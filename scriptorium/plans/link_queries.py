@@ -11,6 +11,7 @@ from scriptorium.plans import derive
 from scriptorium.plans import sqltext as q
 from scriptorium.plans.registry import query
 from scriptorium.plans.report_queries import LINES
+from scriptorium.session import spread
 from scriptorium.sources import tei
 
 
@@ -143,6 +144,11 @@ def d08(t):
     return link.lookup_citation(tokens, refs, missing=True)
 
 
+def title_pairs(t):
+    names = t.part.select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"))
+    return spread(title_candidates(t).join(names, "paper_id"), "paper_id", "cand_rank")
+
+
 def title_candidates(t):
     """Candidate titles of a part: names of the parts numbered like its suppliers."""
     names = t.part.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_name").alias("cand_title"))
@@ -305,14 +311,12 @@ def d22(t):
 
 @query("u01_ratio")
 def u01(t):
-    c = title_candidates(t).join(t.part.select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title")), "paper_id")
-    return c.select("paper_id", "cand_rank", F.round(sim.ratio("title", "cand_title"), 6).alias("ratio"), sim.changed_chars("title", "cand_title").alias("changed"))
+    return title_pairs(t).select("paper_id", "cand_rank", F.round(sim.ratio("title", "cand_title"), 6).alias("ratio"), sim.changed_chars("title", "cand_title").alias("changed"))
 
 
 @query("u03_fuzzy_ratios")
 def u03(t):
-    c = title_candidates(t).join(t.part.select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title")), "paper_id")
-    return c.select("paper_id", "cand_rank", F.round(sim.partial_ratio("title", "cand_title"), 6).alias("partial"), F.round(sim.token_set_ratio("title", "cand_title"), 6).alias("token_set"))
+    return title_pairs(t).select("paper_id", "cand_rank", F.round(sim.partial_ratio("title", "cand_title"), 6).alias("partial"), F.round(sim.token_set_ratio("title", "cand_title"), 6).alias("token_set"))
 
 
 WORDS = lambda x: rf"list_distinct(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+'))"

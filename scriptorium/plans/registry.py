@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.session import spread_if_few
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Tables whose rows are texts: work per byte is high, so they should use every core.
+TEXTS = ("documents", "pages", "conversations")
+
+
 class Tables:
     """The given tables by name: ``t.documents`` reads ``documents.parquet``."""
 
@@ -17,7 +23,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread_if_few(df) if name in TEXTS else df
 
 
 def query(name: str, sql: str | None = None):

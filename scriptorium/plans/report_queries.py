@@ -19,8 +19,7 @@ LINES = f"(SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS pos
 def corpus_chunk_stats(t):
     """Clean every document, keep proper sentences, pack them into chunks, report per language."""
     d = clean.normalize_ws(t.documents.select("doc_id", "lang", "text"))
-    for rule in (clean.drop_axis_lines, clean.drop_metadata_lines, clean.drop_author_lines, clean.drop_short_junk):
-        d = rule(d)
+    d = clean.drop_lines(d, [clean.is_axis_line, clean.is_metadata_line, clean.is_author_line, clean.is_short_junk])
     kept = F.filter(tx.split_sentences("text"), lambda s: tx.is_valid_sentence(tx.strip(s), 3))
     chunks = segment.pack_sentences(d.withColumn("text", F.array_join(kept, " ")), 3500)
     return report.length_stats(chunks, "chunk", ["lang"])

@@ -39,3 +39,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names, or None when it names none."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def compute_partitions(spark: SparkSession) -> int:
+    """Partitions for work whose cost is computation, not bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash or round-robin the rows over all cores.
+
+    The count is given explicitly, because adaptive execution would otherwise merge partitions
+    that are small in bytes yet expensive to score.
+    """
+    return df.repartition(compute_partitions(df.sparkSession), *cols)
+
+
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """Spread a table whose files yield fewer splits than there are cores; a large one stays as read."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return spread(df) if few else df
