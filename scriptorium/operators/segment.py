@@ -273,45 +273,35 @@ def collect_blocks(df: DataFrame, key: str, order: str, kind: str = "kind", text
         lambda b: F.struct(b["kind"], b["text"], b["figures"])).alias("blocks"))
 
 
-def _recursive(text: str, size: int, overlap: int, seps: Sequence[str]) -> list[str]:
-    """Split on the coarsest separator present, merge neighbours up to ``size`` with overlap."""
-    sep, rest = seps[-1], ()
-    for i, s in enumerate(seps):
-        if s == "" or s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    if sep:
-        cuts = [m.start() for m in re.finditer(re.escape(sep), text)]
-        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-    else:
-        parts = list(text)
-    out: list[str] = []
-    run: list[str] = []
+def _recursive(text: str, base: int, size: int, overlap: int, seps: Sequence[str]) -> list[tuple[int, str]]:
+    """(offset, chunk): cut at the coarsest separator present, merge neighbours up to ``size`` with overlap."""
+    sep, rest = next((s, seps[i + 1:]) for i, s in enumerate(seps) if s in text)
+    cuts = [m.start() for m in re.finditer(re.escape(sep), text)] if sep else range(1, len(text))
+    edges = [0, *cuts, len(text)]
+    out: list[tuple[int, str]] = []
+    run: list[tuple[int, str]] = []
     total = 0
 
     def close() -> None:
-        body = "".join(run).strip()
-        if body:
-            out.append(body)
+        body = "".join(p for _, p in run)
+        if body.strip():
+            out.append((run[0][0] + len(body) - len(body.lstrip()), body.strip()))
 
-    for p in parts:
-        if not p:
+    for a, b in zip(edges, edges[1:]):
+        if a == b:
             continue
-        if len(p) >= size:
-            if run:
-                close()
-                run.clear()
-                total = 0
-            out.extend(_recursive(p, size, overlap, rest) if rest else [p])
+        if b - a >= size and rest:
+            close()
+            run, total = [], 0
+            out.extend(_recursive(text[a:b], base + a, size, overlap, rest))
             continue
-        if run and total + len(p) > size:
+        if run and total + b - a > size:
             close()
-            while run and (total > overlap or total + len(p) > size):
-                total -= len(run.pop(0))
-        run.append(p)
-        total += len(p)
-    if run:
-        close()
+            while run and (total > overlap or total + b - a > size):
+                total -= len(run.pop(0)[1])
+        run.append((base + a, text[a:b]))
+        total += b - a
+    close()
     return out
 
 
@@ -324,16 +314,8 @@ def recursive_chunks(df: DataFrame, model: str = "BAAI/bge-small-en-v1.5", size:
 
     @F.pandas_udf("array<struct<start:int,chunk:string>>")
     def split(col: pd.Series) -> pd.Series:
-        rows = []
-        for t in col:
-            found, at = [], 0
-            for c in _recursive(t or "", limit, shared, ("\n\n", "\n", ". ", " ", "")):
-                pos = (t or "").find(c, at)
-                found.append({"start": pos, "chunk": c})
-                at = max(pos, at - shared, 0) if pos >= 0 else at
-                at = max(0, pos + len(c) - shared - 1) if pos >= 0 else at
-            rows.append(found)
-        return pd.Series(rows)
+        seps = ("\n\n", "\n", ". ", " ", "")
+        return pd.Series([[{"start": i, "chunk": c} for i, c in _recursive(t or "", 0, limit, shared, seps)] for t in col])
 
     keep = [c for c in df.columns if c != column]
     out = df.select(*keep, F.posexplode(split(F.col(column))).alias("chunk_no", "__c"))
@@ -654,7 +636,10 @@ def strip_fences(c: Column | str) -> Column:
 
 
 def _object(c: Column) -> Column:
-    return F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c)
+    """The text if it is exactly one JSON object. The parser stops after a value and ignores what
+    follows, so the text is read as the only element of a list."""
+    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(F.schema_of_variant(v).startswith("ARRAY<OBJECT") & F.try_variant_get(v, "$[1]", "variant").isNull(), c)
 
 
 def extract_json(df: DataFrame, column: str = "raw", out: str = "json") -> DataFrame:

@@ -37,14 +37,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
-
-
-from scriptorium.plans import (  # noqa: E402,F401
-    clean_queries,
-    link_queries,
-    report_queries,
-    resolve_queries,
-    retrieve_queries,
-    segment_queries,
-    source_queries,
-)
