@@ -11,8 +11,8 @@ from scriptorium.operators.report import roll_up
 
 def read_text_corpus(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """A-01: every matching file below ``path`` as one row of path, name and text."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", pattern).text(path))
+    df = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+          .option("pathGlobFilter", pattern).load(path))
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
                      F.col("value").alias("text"))
 

@@ -11,6 +11,7 @@ CANDIDATE = "struct<bullet_id:string,priority:double,exclusivity:string,argument
 SLIDE = f"struct<slide_uid:string,slide_id:int,plan:string,slide_context:string,figure_used:string,candidates:array<{CANDIDATE}>>"
 GROUP = ("struct<group_id:string,group_name:string,purpose:string,scope:string,transition:string,supmat_notes:string,"
          f"available_figures:array<string>,slides:array<{SLIDE}>>")
+PLAN_FILE = f"groups array<{GROUP}>, numbered_bullets array<struct<bullet_id:string,text:string>>"
 PLAN = f"struct<groups:array<{GROUP}>,numbered_bullets:array<struct<bullet_id:string,text:string>>>"
 DECK_SLIDE = ("struct<slide_uid:string,title:string,figure_used:string,on_slide_bullets:array<string>,speaker_notes:string,"
               "transition:string,reminders:array<string>>")
@@ -18,7 +19,7 @@ DECK_SLIDE = ("struct<slide_uid:string,title:string,figure_used:string,on_slide_
 
 def read_plan_files(spark: SparkSession, path: str) -> DataFrame:
     """A-12: plan files as (deck_id, plan) with the given schema; the file name is the deck."""
-    df = spark.read.schema(PLAN[7:-1]).option("multiLine", True).json(path)
+    df = spark.read.schema(PLAN_FILE).option("multiLine", True).json(path)
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), "\\.json$", "").alias("deck_id"), F.struct("groups", "numbered_bullets").alias("plan"))
 
 
