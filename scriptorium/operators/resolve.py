@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.functions.neighbours import previous
 from scriptorium.session import spread
 
 # Weight of each exclusivity, usage ranks and cut-offs.
@@ -161,22 +162,23 @@ def balanced_assignment(edges: DataFrame, key: str = "doc_id", paper: str = "bib
     must) and feeds them in batches, so memory holds only one counter per notion.
     """
     per_paper = edges.groupBy(key, paper).agg(
-        F.min(pos).alias("seen"), F.collect_set(F.struct("line", "notion")).alias("options"))
+        F.min(pos).alias("seen"), F.array_sort(F.collect_set(F.struct("line", "notion"))).alias("o"))
+    per_paper = per_paper.select(key, paper, "seen", F.col("o.line").alias("lines"), F.col("o.notion").alias("notions"))
     ordered = spread(per_paper, key).sortWithinPartitions(key, "seen", paper)
     fields = {f.name: f.dataType.simpleString() for f in per_paper.schema}
 
     def assign(batches):
         doc, load = object(), {}
         for pdf in batches:
-            notions, lines = [], []
-            for k, options in zip(pdf[key], pdf["options"]):
+            picked = []
+            for k, ls, ns in zip(pdf[key], pdf["lines"], pdf["notions"]):
                 if k != doc:
                     doc, load = k, {}
-                best = min(options, key=lambda o: (load.get(o["notion"], 0), o["line"]))
-                load[best["notion"]] = load.get(best["notion"], 0) + 1
-                notions.append(best["notion"])
-                lines.append(best["line"])
-            yield pd.DataFrame({key: pdf[key], paper: pdf[paper], "notion": notions, "line": lines})
+                # Options come sorted by line, so the first of the least loaded has the lowest line.
+                n, line = min(zip(ns, ls), key=lambda o: load.get(o[0], 0))
+                load[n] = load.get(n, 0) + 1
+                picked.append((n, line))
+            yield pd.DataFrame({key: pdf[key], paper: pdf[paper], "notion": [n for n, _ in picked], "line": [x for _, x in picked]})
 
     return ordered.mapInPandas(assign, f"{key} {fields[key]}, {paper} {fields[paper]}, notion string, line int")
 
@@ -218,76 +220,55 @@ def interleave(sentences: DataFrame, formulas: DataFrame, key: str = "doc_id") -
 
 def carry_previous(df: DataFrame, key: str, order: str, n: int | None = None, column: str = "text") -> DataFrame:
     """F-12: ``previous`` item of the key, or its last ``n`` characters."""
-    prev = F.lag(column).over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("previous", prev if n is None else F.right(prev, F.lit(n)))
+    value = F.col(column) if n is None else F.right(column, F.lit(n))
+    return previous(df, [key], order, {"previous": value})
 
 
-def suppress_false_splits(matches: DataFrame, cut: float = 0.75, key: str | Sequence[str] = "pair_id") -> DataFrame:
-    """F-13: drop a rejected row when a neighbour one or two away holds the same right row strongly."""
-    w = Window.partitionBy(*_keys(key)).orderBy("num")
-    near = F.lit(False)
-    for d in (-2, -1, 1, 2):
-        same = F.lag("right_num", -d).over(w) == F.col("right_num")
-        held = F.lag("status", -d).over(w) == "match"
-        near = near | F.coalesce(same & held & (F.lag("score", -d).over(w) >= cut), F.lit(False))
-    return matches.withColumn("__n", near).filter(~((F.col("status") == "rejected") & F.col("__n"))).drop("__n")
+def suppress_false_splits(matches: DataFrame, cut: float = 0.75, key: str | Sequence[str] = "pair_id", pos: str = "num") -> DataFrame:
+    """F-13: drop a rejected row when a row at most two positions away holds the same right row strongly.
 
-
-INSTRUCTION = "op string, what string, id long, after_type string, after_id long, label string"
+    ``pos`` numbers the rows of a key without gaps, so neighbourhood is a condition on an equi-join
+    over (key, right_num) and no window is needed.
+    """
+    ks = _keys(key)
+    strong = matches.filter((F.col("status") == "match") & (F.col("score") >= cut)).select(
+        *[F.col(k).alias(f"__{k}") for k in ks], F.col("right_num").alias("__r"), F.col(pos).alias("__p"))
+    near = (F.col("right_num") == F.col("__r")) & (F.col("status") == "rejected") & (F.abs(F.col(pos) - F.col("__p")) <= 2)
+    for k in ks:
+        near = near & (F.col(k) == F.col(f"__{k}"))
+    return matches.join(strong, near, "left_anti")
 
 
 def reorder_instructions(matches: DataFrame, majority: DataFrame | None = None, key: str = "pair_id", jump: int = 10) -> DataFrame:
     """F-14: edit operations that bring the right-hand order to the left-hand order.
 
     ``matches``: key, num, block (figure label, null for main text), partner_num and partner_fig (null
-    when the row has no match), false splits already removed. ``majority``: key, block, majority.
-    Figure blocks come first, in order of their first row. The state is the last placed
-    anchor; rows arrive sorted in batches, so a block of any size runs in constant memory.
+    when the row has no match), false splits already removed. ``majority``: key, block, majority. Rows that are in
+    place give no operation. Each row leaves itself as the anchor of the next one of its block, so the state is
+    the previous row alone. Apply figure blocks first, in order of their first row.
     """
-    m = matches.withColumn("__main", F.col("block").isNull().cast("int")).withColumn("block", F.coalesce("block", F.lit("")))
-    firsts = m.groupBy(key, "block").agg(F.min("num").alias("block_first"))
-    m = m.join(firsts, [key, "block"])
+    m = matches.withColumn("block", F.coalesce("block", F.lit("")))
     if majority is not None:
-        m = m.join(majority.select(key, F.coalesce("block", F.lit("")).alias("block"), "majority"), [key, "block"], "left")
+        major = majority.select(key, F.coalesce("block", F.lit("")).alias("block"), "majority")
+        m = m.join(major, [key, "block"], "left")
     else:
         m = m.withColumn("majority", F.lit(None).cast("string"))
-    cols = [key, "__main", "block_first", "block", "num", "partner_num", "partner_fig", "majority"]
-    ordered = spread(m.select(*cols), key).sortWithinPartitions(key, "__main", "block_first", "block", "num")
-    ktype = dict(matches.dtypes)[key]
-
-    def emit(batches):
-        here, last = None, None
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                k, is_main, first, block, num, partner, fig, major = r
-                if (k, is_main, block) != here:
-                    here, last = (k, is_main, block), None
-                start = "end" if is_main else "fig_begin"
-                anchor = last if last else (start, None)
-                if pd.isna(partner):
-                    rows.append((k, block or None, num, "insert", "left", num, *anchor, None))
-                    last = ("left", num)
-                    continue
-                partner = int(partner)
-                foreign = not is_main and (fig is None or fig != major)
-                if foreign:
-                    rows.append((k, block or None, num, "move" if last else "place", "right", partner, *anchor,
-                                 None if fig is None else "wrong figure"))
-                elif last is None:
-                    if num != first:
-                        rows.append((k, block or None, num, "place", "right", partner, *anchor, None))
-                elif last[0] == "left":
-                    rows.append((k, block or None, num, "place", "right", partner, *anchor, None))
-                elif partner <= last[1] and (not is_main or partner > last[1] - jump):
-                    rows.append((k, block or None, num, "move", "right", partner, *anchor, None))
-                last = ("right", partner)
-            names = [key, "block", "num", "op", "what", "id", "after_type", "after_id", "label"]
-            out = pd.DataFrame(rows, columns=names)
-            out["after_id"] = out["after_id"].astype("Int64")
-            yield out
-
-    return ordered.mapInPandas(emit, f"{key} {ktype}, block string, num long, {INSTRUCTION}")
+    m = previous(m, [key, "block"], "num", {"prev_num": F.col("num"), "prev_partner": F.col("partner_num")})
+    main, first = F.col("block") == "", F.col("prev_num").isNull()
+    partner, matched = F.col("partner_num"), F.col("partner_num").isNotNull()
+    foreign = matched & ~main & ~F.coalesce(F.col("partner_fig") == F.col("majority"), F.lit(False))
+    after_left = ~first & F.col("prev_partner").isNull()
+    back = (partner <= F.col("prev_partner")) & (~main | (partner > F.col("prev_partner") - jump))
+    op = (
+        F.when(~matched, "insert").when(foreign, F.when(first, "place").otherwise("move"))
+        .when(after_left, "place").when(~first & back, "move"))
+    after_type = F.when(first, F.when(main, "end").otherwise("fig_begin")).when(after_left, "left").otherwise("right")
+    return m.select(
+        key, F.nullif("block", F.lit("")).alias("block"), "num", op.alias("op"),
+        F.when(matched, "right").otherwise("left").alias("what"), F.coalesce(partner, F.col("num")).cast("long").alias("id"),
+        after_type.alias("after_type"), F.when(~first, F.coalesce("prev_partner", "prev_num")).cast("long").alias("after_id"),
+        F.when(foreign & F.col("partner_fig").isNotNull(), "wrong figure").alias("label"),
+    ).filter(F.col("op").isNotNull())
 
 
 def parse_instructions(df: DataFrame, column: str = "line") -> DataFrame:

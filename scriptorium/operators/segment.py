@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions import text as tx
+from scriptorium.functions.neighbours import carried
 from scriptorium.operators.clean import is_header_line
 
 # Chunk size and overlap in characters recommended per embedding model,
@@ -733,16 +734,11 @@ def flatten_variant(df: DataFrame, column: str, out: str = "lines", depth: int =
 def labelled_lines(df: DataFrame, labels: Sequence[str], key: str, order: str, column: str = "text") -> DataFrame:
     """C-29: value after each ``label:``; ``<label>`` of this row or null, ``<label>_carried`` from
     the nearest earlier row of the key that had one."""
-    from pyspark.sql import Window
-
     out = df
     for label in labels:
         value = F.nullif(tx.strip(F.regexp_extract(column, f"(?i){re.escape(label)}:[ \\t]*(.+)", 1)), F.lit(""))
         out = out.withColumn(label, value)
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    for label in labels:
-        out = out.withColumn(f"{label}_carried", F.last(label, ignorenulls=True).over(w))
-    return out
+    return carried(out, [key], order, {f"{label}_carried": F.col(label) for label in labels})
 
 
 def section_roles(df: DataFrame, key: str, order: str, n_paras: str = "n_paras", text: str = "text") -> DataFrame:

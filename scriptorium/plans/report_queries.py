@@ -10,12 +10,21 @@ from scriptorium.plans import derive
 from scriptorium.plans import sqltext as q
 from scriptorium.plans.clean_queries import AUTHOR, AXIS, JUNK, METADATA
 from scriptorium.plans.registry import query
-from scriptorium.plans.segment_queries import parsed_plans
+from scriptorium.plans.segment_queries import notion_packed, parsed_plans
 
 LINES = f"(SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT doc_id, {q.lines('text')} AS ls FROM documents))"
 
 
-@query("corpus_chunk_stats")
+VALID = rf"{q.n_words(q.strip('z'))} >= 3 AND regexp_matches({q.strip('z')}, '[.!?][)\]\"''}}›»]*$')"
+NORMAL = r"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query("corpus_chunk_stats", f"""
+WITH n AS (SELECT doc_id, lang, {NORMAL} AS text FROM documents),
+k AS (SELECT doc_id, lang, {q.keep_lines('text', f'NOT {AXIS} AND NOT {METADATA} AND NOT {AUTHOR} AND NOT {JUNK}')} AS text FROM n),
+src AS (SELECT doc_id, lang, array_to_string([z FOR z IN {q.marked_sentences('text')} IF {VALID}], ' ') AS text FROM k),
+p AS {notion_packed(3500, "('' || '')")}, c AS (SELECT lang, unnest(chunks) AS chunk FROM p)
+SELECT lang, count(*) AS n, sum(length(chunk))::BIGINT AS chars, (sum(length(chunk)) // count(*))::BIGINT AS mean_len FROM c GROUP BY 1""")
 def corpus_chunk_stats(t):
     """Clean every document, keep proper sentences, pack them into chunks, report per language."""
     d = clean.normalize_ws(t.documents.select("doc_id", "lang", "text"))

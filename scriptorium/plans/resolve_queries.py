@@ -131,7 +131,15 @@ def supplier_edges(t):
         "doc_id", "pos", "bib_id", F.concat(F.lit("notion "), F.col("line").cast("string")).alias("notion"), F.col("line").cast("int").alias("line"))
 
 
-@query("f08_balanced_assignment")
+EDGES = "(SELECT l_orderkey AS doc_id, min(l_linenumber) AS seen, l_partkey::VARCHAR AS bib_id, list_sort(list_distinct(flatten(list([l_suppkey % 3, l_suppkey % 4, 9])))) AS opts FROM lineitem GROUP BY ALL)"
+PICK = "list_min([a.load[o + 1] * 1000 + o FOR o IN x.opts]) % 1000"
+
+
+@query("f08_balanced_assignment", f"""
+WITH r AS (SELECT doc_id, list(bib_id ORDER BY seen, bib_id) AS bibs, list_reduce(list_concat([{{load: [0 FOR i IN range(10)], picked: []::BIGINT[], opts: []::BIGINT[]}}],
+  list({{load: [0 FOR i IN range(10)], picked: []::BIGINT[], opts: opts}} ORDER BY seen, bib_id)),
+  lambda a, x: {{load: [v + (i - 1 = {PICK})::BIGINT FOR v, i IN a.load], picked: list_append(a.picked, {PICK}), opts: x.opts}}) AS s FROM {EDGES} GROUP BY 1)
+SELECT doc_id, unnest(bibs) AS bib_id, 'notion ' || unnest(s.picked) AS notion, unnest(s.picked)::INTEGER AS line FROM r""")
 def f08(t):
     return resolve.balanced_assignment(supplier_edges(t))
 
@@ -171,22 +179,28 @@ def f12(t):
 
 
 @query("f13_suppress_false_splits", """
-WITH m AS (SELECT o_custkey AS pair_id, o_orderkey AS num, o_custkey % 3 + (CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END) AS right_num,
-  CASE o_orderstatus WHEN 'F' THEN 'match' ELSE 'rejected' END AS status, CASE o_orderstatus WHEN 'F' THEN (o_orderkey % 100) / 100.0 ELSE 0.0 END AS score FROM orders),
-x AS (SELECT *, coalesce(bool_or(false), false) AS z FROM m GROUP BY ALL),
-w AS (SELECT *, {0} AS near FROM x WINDOW w AS (PARTITION BY pair_id ORDER BY num))
-SELECT pair_id, num, right_num, status FROM w WHERE NOT (status = 'rejected' AND near)""".format(" OR ".join(
-    f"coalesce({f}(right_num, {d}) OVER w = right_num AND {f}(status, {d}) OVER w = 'match' AND {f}(score, {d}) OVER w >= 0.75, false)" for f in ("lag", "lead") for d in (1, 2))))
+WITH m AS (SELECT l_orderkey AS pair_id, l_linenumber AS num, l_suppkey % 2 AS right_num, CASE l_linestatus WHEN 'O' THEN 'match' ELSE 'rejected' END AS status, l_quantity / 50 AS score, l_partkey FROM lineitem)
+SELECT pair_id, num, right_num, status, l_partkey FROM m WHERE NOT (status = 'rejected' AND EXISTS (SELECT 1 FROM m s WHERE s.pair_id = m.pair_id AND s.right_num = m.right_num AND s.status = 'match' AND s.score >= 0.75 AND abs(s.num - m.num) <= 2))""")
 def f13(t):
-    m = t.orders.select(F.col("o_custkey").alias("pair_id"), F.col("o_orderkey").alias("num"), (F.col("o_custkey") % 3 + (F.col("o_totalprice") > 200000).cast("int")).alias("right_num"),
-                        F.when(F.col("o_orderstatus") == "F", "match").otherwise("rejected").alias("status"),
-                        F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey") % 100 / 100.0).otherwise(0.0).alias("score"))
-    return resolve.suppress_false_splits(m).select("pair_id", "num", "right_num", "status")
-
-
-@query("f14_reorder_instructions")
+    m = t.lineitem.select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("num"), (F.col("l_suppkey") % 2).alias("right_num"),
+                          F.when(F.col("l_linestatus") == "O", "match").otherwise("rejected").alias("status"), (F.col("l_quantity") / 50).alias("score"), "l_partkey")
+    return resolve.suppress_false_splits(m).drop("score")
+
+
+@query("f14_reorder_instructions", """
+WITH m AS (SELECT l_orderkey AS pair_id, l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS num, CASE WHEN l_returnflag = 'A' THEN 'FIG001' ELSE '' END AS block,
+  CASE WHEN l_linestatus = 'O' THEN l_suppkey % 20 END AS partner, CASE WHEN l_linestatus = 'O' AND l_suppkey % 2 = 0 THEN 'FIG001' END AS fig FROM lineitem),
+j AS (SELECT pair_id, block, count(*) AS n, count(fig) AS votes FROM m GROUP BY ALL),
+w AS (SELECT m.*, CASE WHEN votes > 0 AND votes >= n * 0.4 THEN 'FIG001' END AS major, lag(num) OVER k AS pn, lag(partner) OVER k AS pp FROM m JOIN j USING (pair_id, block) WINDOW k AS (PARTITION BY pair_id, block ORDER BY num)),
+f AS (SELECT *, partner IS NOT NULL AND block <> '' AND NOT coalesce(fig = major, false) AS foreign_ FROM w),
+o AS (SELECT *, CASE WHEN partner IS NULL THEN 'insert' WHEN foreign_ THEN CASE WHEN pn IS NULL THEN 'place' ELSE 'move' END WHEN pn IS NULL THEN NULL WHEN pp IS NULL THEN 'place'
+  WHEN partner <= pp AND (block <> '' OR partner > pp - 10) THEN 'move' END AS op FROM f)
+SELECT pair_id, nullif(block, '') AS block, num, op, CASE WHEN partner IS NULL THEN 'left' ELSE 'right' END AS what, coalesce(partner, num) AS id,
+  CASE WHEN pn IS NULL THEN CASE WHEN block = '' THEN 'end' ELSE 'fig_begin' END WHEN pp IS NULL THEN 'left' ELSE 'right' END AS after_type, coalesce(pp, pn) AS after_id,
+  CASE WHEN foreign_ AND fig IS NOT NULL THEN 'wrong figure' END AS label FROM o WHERE op IS NOT NULL""")
 def f14(t):
-    m = t.lineitem.select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").cast("long").alias("num"),
+    num = F.col("l_orderkey") * 10000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
+    m = t.lineitem.select(F.col("l_orderkey").alias("pair_id"), num.alias("num"),
                           F.when(F.col("l_returnflag") == "A", "FIG001").alias("block"), F.when(F.col("l_linestatus") == "O", F.col("l_suppkey") % 20).alias("partner_num"),
                           F.when(F.col("l_suppkey") % 2 == 0, "FIG001").alias("partner_fig"))
     m = m.withColumn("partner_fig", F.when(F.col("partner_num").isNotNull(), F.col("partner_fig")))

@@ -81,12 +81,34 @@ def c05(t):
     return seg.repair_overmerged(docs(t), min_len=25)
 
 
-@query("c06_pack_sentences")
+def packed(parts: str, size: str, prefix: str, fits: str, joined: str, body: str) -> str:
+    """Chunks of greedy packing: the state of done chunks and the open one is reduced over the parts."""
+    emit = f"CASE WHEN {body} = '' THEN a.done ELSE list_append(a.done, {prefix} || {body}) END"
+    long = f"WHEN length(x.cur) > {size} THEN {{done: list_append({emit}, {prefix} || left(x.cur, {size} - 3) || '...'), cur: ''}}" if prefix != "''" else ""
+    step = f"CASE WHEN {fits} THEN {{done: a.done, cur: {joined}}} {long} ELSE {{done: {emit}, cur: x.cur}} END"
+    red = f"list_reduce(list_concat([{{done: []::VARCHAR[], cur: ''}}], [{{done: []::VARCHAR[], cur: s}} FOR s IN {parts}]), lambda a, x: {step})"
+    return f"(SELECT * EXCLUDE (a), {emit} AS chunks FROM (SELECT *, {red} AS a FROM src))"
+
+
+def notion_packed(size: int, prefix: str) -> str:
+    room = f"({size} - length({prefix}))"
+    joined = "CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || ' ' || x.cur END"
+    return packed(q.sentences("text"), room, prefix, f"length({joined}) <= {room}", joined, "a.cur")
+
+
+@query("c06_pack_sentences", f"""
+WITH src AS (SELECT doc_id, text, 'Notion: ' || lang || chr(10) || chr(10) AS pre FROM documents), p AS {notion_packed(1500, 'pre')}
+SELECT doc_id, (generate_subscripts(chunks, 1) - 1)::INTEGER AS chunk_no, unnest(chunks) AS chunk FROM p""")
 def c06(t):
     return seg.pack_sentences(t.documents.select("doc_id", "lang", "text"), 1500, F.concat(F.lit("Notion: "), F.col("lang"), F.lit("\n\n"))).drop("lang")
 
 
-@query("c07_pack_sentences_simple")
+SPACED = r"[z || ' ' FOR z IN string_split(regexp_replace(text, '([.!?]) +', '\1␞', 'g'), '␞')]"
+
+
+@query("c07_pack_sentences_simple", f"""
+WITH src AS (SELECT doc_id, text FROM documents), p AS {packed(SPACED, '1500', "''", "length(a.cur) + length(x.cur) - 1 < 1500", "a.cur || x.cur", q.strip('a.cur'))}
+SELECT doc_id, (generate_subscripts(chunks, 1) - 1)::INTEGER AS chunk_no, unnest(chunks) AS chunk FROM p""")
 def c07(t):
     return seg.pack_sentences_simple(docs(t), 1500)
 

@@ -200,3 +200,20 @@ def test_cache(spark):
     cache = spark.createDataFrame([("a", 1), ("z", 9)], "key string, v int")
     out = ingest.cached_compute(req, cache, lambda m: m.withColumn("v", F.lit(2)), ["key"])
     assert rows(out, "key", "v") == [("a", 1), ("b", 2)]
+
+
+def test_previous_and_carried_across_buckets(spark):
+    from scriptorium.functions.neighbours import carried, previous
+
+    data = [(k, n, RNG.choice([None, f"v{n}"])) for k in (1, 2) for n in sorted(RNG.sample(range(200), 60))]
+    df = spark.createDataFrame(data, "k int, n long, v string")
+    prev, last = {}, {}
+    for k in (1, 2):
+        before, held = None, None
+        for _, n, v in (d for d in data if d[0] == k):
+            held = v if v is not None else held
+            prev[k, n], last[k, n] = before, held
+            before = n
+    for span in (7, 10_000):
+        assert {(r.k, r.n): r.p for r in previous(df, ["k"], "n", {"p": F.col("n")}, span).collect()} == prev
+        assert {(r.k, r.n): r.c for r in carried(df, ["k"], "n", {"c": F.col("v")}, span).collect()} == last
