@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.functions.neighbours import previous
+from scriptorium.functions.neighbours import carried, previous
 from scriptorium.session import spread
 
 # Weight of each exclusivity, usage ranks and cut-offs.
@@ -434,15 +434,15 @@ def harvest_new_lines(lines: DataFrame, key: str, order: Sequence[str], column:
 
 
 def merge_continuous(sections: DataFrame, key: str, order: str, decision: str = "decision", column: str = "text") -> DataFrame:
-    """F-19: consecutive sections joined while ``decision`` says ``yes``; the decision is an input."""
-    w = Window.partitionBy(key).orderBy(order)
-    starts = F.when(F.coalesce(F.lower(tx.strip(decision)), F.lit("no")) == "yes", 0).otherwise(1)
-    first = F.row_number().over(w) == 1
-    run = F.sum(F.when(first, 1).otherwise(starts)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    item = F.struct(order, column)
-    return sections.withColumn("merged_no", run).groupBy(key, "merged_no").agg(
-        F.array_sort(F.collect_list(item)).alias("i")).select(
-        key, "merged_no", F.size("i").alias("n_sections"), F.array_join(F.transform("i", lambda x: x[column]), "\n").alias(column))
+    """F-19: consecutive sections joined while ``decision`` says ``yes``; the decision is an input.
+
+    A section belongs to the latest one that was not continued; ``start_at`` is where a merged text begins.
+    """
+    opens = F.coalesce(F.lower(tx.strip(decision)), F.lit("no")) != "yes"
+    runs = carried(sections, [key], order, {"__run": F.when(opens, F.col(order))})
+    return runs.groupBy(key, "__run").agg(F.array_sort(F.collect_list(F.struct(order, column))).alias("i")).select(
+        key, F.get("i", F.lit(0))[order].alias("start_at"), F.size("i").alias("n_sections"),
+        F.array_join(F.transform("i", lambda x: x[column]), "\n").alias(column))
 
 
 def leftover_figures(available: DataFrame, used: DataFrame, slides: DataFrame, group: str = "group_id") -> DataFrame:

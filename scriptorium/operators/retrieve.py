@@ -45,7 +45,7 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
     pairs = spread(pairs, "__s", "q_b", "v_b")
     qtype = dict(queries.dtypes)["query_id"]
 
-    @F.pandas_udf(f"array<struct<query_id:{qtype},k:long,vec_id:long,score:double>>")
+    @F.pandas_udf(f"array<struct<query_id:{qtype},k:long,vec_id:long,score:double,raw:double>>")
     def top(qs: pd.Series, vs: pd.Series) -> pd.Series:
         out = []
         for qi, vi in zip(qs, vs):
@@ -54,21 +54,21 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
             ids = ids[order]
             mat = np.array([x["embedding"] for x in vi], dtype="float64")[order]
             rows = []
-            scores = np.round(np.array([x["embedding"] for x in qi], dtype="float64") @ mat.T, 9)
-            for x, s in zip(qi, scores):
+            raw = np.array([x["embedding"] for x in qi], dtype="float64") @ mat.T
+            for x, exact, s in zip(qi, raw, np.round(raw, 9)):
                 k = min(int(x["k"]), len(ids))
                 # Everything at or above the k-th score, so ties at the edge survive to the merge.
                 edge = np.partition(s, len(ids) - k)[len(ids) - k]
                 keep = np.flatnonzero(s >= edge)
                 keep = keep[np.argsort(-s[keep], kind="stable")][:k]
-                rows += [{"query_id": x["query_id"], "k": int(x["k"]), "vec_id": int(ids[i]), "score": float(s[i])} for i in keep]
+                rows += [{"query_id": x["query_id"], "k": int(x["k"]), "vec_id": int(ids[i]), "score": float(s[i]), "raw": float(exact[i])} for i in keep]
             out.append(rows)
         return pd.Series(out)
 
     hits = pairs.select("__s", F.inline(top("q_items", "v_items")))
     w = Window.partitionBy("__s", "query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k"))
-    out = ranked.select("query_id", *([F.col("__s").alias(store)] if store else []), "vec_id", "rank", F.round("score", 6).alias("score"))
+    out = ranked.select("query_id", *([F.col("__s").alias(store)] if store else []), "vec_id", "rank", F.round("raw", 6).alias("score"))
     return out
 
 

@@ -11,7 +11,7 @@ from scriptorium.plans import derive
 from scriptorium.plans import sqltext as q
 from scriptorium.plans.registry import query
 from scriptorium.plans.report_queries import LINES
-from scriptorium.session import spread
+from scriptorium.session import reuse, spread
 from scriptorium.sources import tei
 
 
@@ -27,7 +27,7 @@ def passage_pairs(t):
 
 def aligned(t):
     """Sentences of each found passage and of its document, keyed by the pair."""
-    pairs = passage_pairs(t).select("item_id", "doc_id")
+    pairs = reuse(passage_pairs(t).select("item_id", "doc_id"))
     left = segment.split_sentences(t.benchmark, "trim").select("item_id", F.col("sent_no").cast("long").alias("num"), F.col("sentence").alias("text"))
     key = ["item_id", "doc_id"]
     left = left.join(pairs, "item_id").select(*key, "num", "text")
@@ -44,7 +44,7 @@ def d01(t):
 @query("d02_resolve_claims")
 def d02(t):
     left, right, key = aligned(t)
-    return link.resolve_claims(left, link.best_match(left, right, key, 0.20), key)
+    return link.resolve_claims(left, reuse(link.best_match(left, right, key, 0.20)), key)
 
 
 @query("d02_resolve_given_matches", """
@@ -124,7 +124,7 @@ def d06(t):
 SELECT doc_id, 'b' || (doc_id % 5) AS bib_id, true AS found FROM documents WHERE len(string_split(text, chr(10))) % 4 <> 1 OR len(string_split(text, chr(10))) > 1""")
 def d05b(t):
     """Citations of the derived TEI: each document cites one entry, from at least one sentence."""
-    nodes = tei.tei_nodes(derive.tei_documents(t.documents))
+    nodes = reuse(tei.tei_nodes(derive.tei_documents(t.documents)))
     sents, marks = tei.citation_marks(nodes)
     return link.link_citations(marks, sents).groupBy("doc_id", "bib_id").agg((F.count("*") > 0).alias("found"))
 

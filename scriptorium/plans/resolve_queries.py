@@ -12,6 +12,7 @@ from scriptorium.plans.clean_queries import CANDIDATES_SQL, event_candidates
 from scriptorium.plans.registry import query
 from scriptorium.plans.report_queries import LINES
 from scriptorium.plans.segment_queries import PLAN_LINES, parsed_plans
+from scriptorium.session import reuse
 
 C = f"({CANDIDATES_SQL})"
 WEIGHT = "CASE exclusivity WHEN 'strong' THEN 1.2 WHEN 'weak' THEN 0.85 ELSE 1.0 END"
@@ -49,7 +50,7 @@ def f02(t):
 
 
 def usages(t):
-    order = resolve.slide_order(slides(t))
+    order = reuse(resolve.slide_order(slides(t)))
     c = candidates(t)
     return resolve.classify_usage(c, resolve.primary_per_bullet(c, order), order)
 
@@ -254,7 +255,7 @@ def f18(t):
 
 @query("f19_merge_continuous", """
 WITH r AS (SELECT *, sum(CASE WHEN role = 'assistant' AND turn > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations)
-SELECT conv_id, run::BIGINT AS merged_no, count(*)::INTEGER AS n_sections, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY ALL""")
+SELECT conv_id, min(turn) AS start_at, count(*)::INTEGER AS n_sections, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY conv_id, run""")
 def f19(t):
     c = t.conversations.withColumn("decision", F.when(F.col("role") == "assistant", "Yes ").otherwise("no"))
     return resolve.merge_continuous(c, "conv_id", "turn")

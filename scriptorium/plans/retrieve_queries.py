@@ -10,11 +10,12 @@ from scriptorium.plans import sqltext as q
 from scriptorium.plans.registry import query
 from scriptorium.streaming import ingest
 
+RAW = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 DOT = "round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)"
 
 
 @query("g01_knn", f"""
-SELECT query_id, vec_id, rank::INTEGER AS rank, round(s, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {DOT} AS s,
+SELECT query_id, vec_id, rank::INTEGER AS rank, round(s, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {RAW} AS s,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= 5""")
 def g01(t):
     e = t.embeddings.select("vec_id", "embedding")
@@ -22,7 +23,7 @@ def g01(t):
 
 
 @query("g01_knn_by_store", f"""
-SELECT query_id, store, vec_id, rank::INTEGER AS rank, round(s, 6) AS score FROM (SELECT a.vec_id AS query_id, a.label::VARCHAR AS store, b.vec_id AS vec_id, {DOT} AS s,
+SELECT query_id, store, vec_id, rank::INTEGER AS rank, round(s, 6) AS score FROM (SELECT a.vec_id AS query_id, a.label::VARCHAR AS store, b.vec_id AS vec_id, {RAW} AS s,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank, a.vec_id % 4 + 1 AS k FROM embeddings a JOIN embeddings b USING (label)) WHERE rank <= k""")
 def g01b(t):
     e = t.embeddings.select("vec_id", "embedding", F.col("label").cast("string").alias("store"))
@@ -36,7 +37,7 @@ PASSES = "(VALUES (0, 'main', 'plan', 6), (1, 'main', 'bullets', 6), (2, 'main',
 @query("g02_retrieve_evidence", f"""
 WITH v AS (SELECT vec_id, embedding, {STORE} AS store, 'text ' || (vec_id // 8) AS txt FROM embeddings),
 s AS (SELECT vec_id AS slide_uid, unnest(['plan', 'bullets', 'combo', 'intent']) AS kind, embedding FROM embeddings),
-h AS (SELECT slide_uid, pass_no, upper(CASE store WHEN 'figs' THEN 'fig' ELSE store END) AS source, b.vec_id, b.txt, k, {DOT} AS s,
+h AS (SELECT slide_uid, pass_no, upper(CASE store WHEN 'figs' THEN 'fig' ELSE store END) AS source, b.vec_id, b.txt, k, {RAW} AS s,
   row_number() OVER (PARTITION BY slide_uid, pass_no ORDER BY {DOT} DESC, b.vec_id) AS rank FROM s a JOIN {PASSES} USING (kind) JOIN v b USING (store))
 SELECT slide_uid, pass_no, source, vec_id, rank::INTEGER AS rank, round(s, 6) AS score FROM h WHERE rank <= k QUALIFY row_number() OVER (PARTITION BY slide_uid, txt ORDER BY pass_no, rank) = 1""")
 def g02(t):

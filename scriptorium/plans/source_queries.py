@@ -10,11 +10,12 @@ from scriptorium.plans import derive
 from scriptorium.plans import sqltext as q
 from scriptorium.plans.registry import query
 from scriptorium.plans.report_queries import LINES
+from scriptorium.session import reuse
 from scriptorium.sources import files, plan, tei
 
 
 def nodes(t):
-    return tei.tei_nodes(derive.tei_documents(t.documents))
+    return reuse(tei.tei_nodes(derive.tei_documents(t.documents)))
 
 
 @query("a03_read_bibliography", """

@@ -36,9 +36,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if few else df
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names, or None when it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def reuse(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a costly result that feeds several branches.
+
+    The result goes to the shared folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
+    costs a read and not a recomputation. Without that folder the frame is returned as it is.
+    """
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df
 
 
 def compute_partitions(spark: SparkSession) -> int:

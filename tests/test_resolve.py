@@ -118,7 +118,7 @@ def test_context_interleave_merge(spark):
     ctx = resolve.formula_context(spark.createDataFrame([(1, 1, 1)], "doc_id int, formula_no int, num long"), s)
     assert rows(ctx, "offset", "text") == [(1, "s2"), (2, "s3")]
     sec = spark.createDataFrame([(1, 1, "a", "yes"), (1, 2, "b", "YES"), (1, 3, "c", "no"), (1, 4, "d", None)], "doc_id int, n int, text string, decision string")
-    assert rows(resolve.merge_continuous(sec, "doc_id", "n"), "merged_no", "text") == [(1, "a\nb"), (2, "c"), (3, "d")]
+    assert rows(resolve.merge_continuous(sec, "doc_id", "n"), "start_at", "text") == [(1, "a\nb"), (3, "c"), (4, "d")]
 
 
 def test_slots_and_leftovers(spark):
