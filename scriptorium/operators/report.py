@@ -80,12 +80,12 @@ def reused_figures(df: DataFrame, figure: str = "figure") -> DataFrame:
 def resolution_report(usages: DataFrame, cands: DataFrame, slides: DataFrame) -> DataFrame:
     """E-06: one row of counts over the resolved usages; bullets are counted over all candidates."""
     per = cands.groupBy("bullet_id").agg(F.count("*").alias("n"))
-    bullets = per.agg(F.count("*").alias("num_bullets_seen"), F.count_if(F.col("n") > 1).alias("bullets_with_duplicates"))
     kinds = usages.agg(*[F.count_if(F.col("usage") == u).alias(name) for u, name in (
         ("primary", "primary_assignments"), ("reminder", "reminders"), ("drop", "drops"))])
-    deck = slides.select("slide_uid").distinct().agg(F.count("*").alias("num_slides"))
-    one = lambda d: d.withColumn("__k", F.lit(1))
-    return one(deck).join(one(bullets), "__k").join(one(kinds), "__k").drop("__k")
+    return kinds.select(
+        slides.select("slide_uid").distinct().agg(F.count("*")).scalar().alias("num_slides"),
+        per.agg(F.count("*")).scalar().alias("num_bullets_seen"),
+        per.agg(F.count_if(F.col("n") > 1)).scalar().alias("bullets_with_duplicates"), "*")
 
 
 def run_summary(df: DataFrame, ok: Column) -> DataFrame:

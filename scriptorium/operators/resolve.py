@@ -57,10 +57,8 @@ def running_total(df: DataFrame, order: str, value: str, out: str, buckets: int
     Rows are cut into ordered buckets; the bucket totals are few, so their running sum is a small
     window, and each bucket then sums on its own.
     """
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    span = F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1))
-    b = df.withColumn("__k", F.lit(1)).join(F.broadcast(bounds.withColumn("__k", F.lit(1))), "__k").withColumn(
-        "__b", F.floor((F.col(order) - F.col("lo")) * F.lit(buckets) / span)).drop("__k", "lo", "hi")
+    low, high = df.agg(F.min(order)).scalar(), df.agg(F.max(order)).scalar()
+    b = df.withColumn("__b", F.floor((F.col(order) - low) * F.lit(buckets) / F.greatest(high - low + 1, F.lit(1))))
     totals = b.groupBy("__b").agg(F.sum(value).alias("s"))
     head = totals.withColumn("__base", F.coalesce(F.sum("s").over(
         Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
@@ -77,9 +75,8 @@ def _scored(cands: DataFrame, order: DataFrame, n_slides: DataFrame, early_bonus
     broadcasts it only if its measured size allows and splits a hot slide otherwise.
     """
     c = cands.join(order.select("slide_uid", "idx"), "slide_uid", "left")
-    c = c.withColumn("__k", F.lit(1)).join(F.broadcast(n_slides.withColumn("__k", F.lit(1))), "__k").drop("__k")
-    at = F.coalesce("idx", F.col("n_slides"))
-    bonus = F.lit(early_bonus) * (1.0 - at / F.greatest(F.lit(1), F.col("n_slides") - 1))
+    n = n_slides.scalar()
+    bonus = F.lit(early_bonus) * (1.0 - F.coalesce("idx", n) / F.greatest(F.lit(1), n - 1))
     return c.withColumn("score", F.col("priority") * weight("exclusivity") + bonus)
 
 

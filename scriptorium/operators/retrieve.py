@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as tx
 from scriptorium.session import broadcast_if_small, compute_partitions, spread
 
-Q_BLOCK, V_BLOCK, MAX_LOCAL_BLOCKS = 512, 4096, 128
+Q_BLOCK, V_BLOCK, MAX_LOCAL_QUERIES, MAX_CELLS = 512, 4096, 20_000, 4_000_000
 
 
 def _blocks(df: DataFrame, keys: Sequence[str], ident: str, fields: Sequence[str], name: str, size: int) -> DataFrame:
@@ -22,54 +22,86 @@ def _blocks(df: DataFrame, keys: Sequence[str], ident: str, fields: Sequence[str
     return b.groupBy(*keys, F.col("__b").alias(f"{name}_b")).agg(F.collect_list(F.struct(ident, *fields)).alias(f"{name}_items"))
 
 
+def _keep_top(ids: np.ndarray, raw: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best by score at 9 decimals, then by lower id; exact on ties at the edge."""
+    s = np.round(raw, 9)
+    if len(s) > k:
+        at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+    else:
+        at = np.arange(len(s))
+    return at[np.lexsort((ids[at], -s[at]))[:k]]
+
+
+def _scan_stores(queries: list, batches):
+    """Running top-k of every query over the vectors of one partition, in constant memory per query."""
+    stores: dict[str, tuple] = {}
+    for store in {q["__s"] for q in queries}:
+        mine = [q for q in queries if q["__s"] == store]
+        stores[store] = (mine, np.array([q["embedding"] for q in mine], dtype="float64"),
+                         [(np.empty(0, "int64"), np.empty(0)) for _ in mine])
+    for pdf in batches:
+        for store, part in pdf.groupby("__s"):
+            if store not in stores:
+                continue
+            mine, matrix, best = stores[store]
+            ids, vectors = part["vec_id"].to_numpy("int64"), np.array(part["embedding"].tolist(), dtype="float64")
+            width = max(1, MAX_CELLS // len(mine))
+            for at in range(0, len(ids), width):
+                scores = matrix @ vectors[at:at + width].T
+                for i, q in enumerate(mine):
+                    all_ids = np.concatenate([best[i][0], ids[at:at + width]])
+                    all_raw = np.concatenate([best[i][1], scores[i]])
+                    keep = _keep_top(all_ids, all_raw, int(q["k"]))
+                    best[i] = (all_ids[keep], all_raw[keep])
+    for store, (mine, _, best) in stores.items():
+        rows = [(store, q["query_id"], int(q["k"]), int(v), float(r)) for q, (vs, rs) in zip(mine, best) for v, r in zip(vs, rs)]
+        yield pd.DataFrame(rows, columns=["__s", "query_id", "k", "vec_id", "raw"])
+
+
 def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> DataFrame:
     """G-01: exact top-k by inner product, which is L2 order for unit vectors.
 
-    ``queries``: query_id, embedding, k [, store]. ``vectors``: vec_id, embedding [, store]. Both sides are cut into
-    blocks; a block pair is one matrix product that returns at most k rows per query, and a
-    final ranked limit merges blocks. Ties go to the lower vec_id; scores compare at 9 decimals.
+    ``queries``: query_id, embedding, k [, store]. ``vectors``: vec_id, embedding [, store]. A query set within
+    the size bound travels to the vectors, which are scanned where they lie and never shuffled; a larger one
+    meets them block by block. Either way only k rows per query and task go on to the final ranking. Ties
+    go to the lower vec_id; scores compare at 9 decimals.
     """
-    ks = ["__s"]
-    q = queries.withColumn("__s", F.col(store) if store else F.lit("all"))
-    v = vectors.withColumn("__s", F.col(store) if store else F.lit("all"))
-    qb = _blocks(q.select("__s", "query_id", "embedding", "k"), ks, "query_id", ["embedding", "k"], "q", Q_BLOCK)
-    vb = _blocks(v.select("__s", "vec_id", "embedding"), ks, "vec_id", ["embedding"], "v", V_BLOCK)
-    # Few query blocks go to the vectors; many are dealt to salted copies of the store key, so that
-    # no store, however large, is joined in one task.
-    if qb.limit(MAX_LOCAL_BLOCKS + 1).count() <= MAX_LOCAL_BLOCKS:
-        pairs = vb.join(F.broadcast(qb), ks)
-    else:
-        salts = compute_partitions(queries.sparkSession)
-        copies = qb.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        pairs = vb.withColumn("__salt", F.pmod(F.col("v_b"), F.lit(salts))).join(copies, [*ks, "__salt"])
-    pairs = spread(pairs, "__s", "q_b", "v_b")
+    q = queries.select(F.col(store) if store else F.lit("all"), "query_id", "embedding", F.col("k").cast("long").alias("k")).toDF("__s", "query_id", "embedding", "k")
+    v = vectors.select(F.col(store) if store else F.lit("all"), "vec_id", "embedding").toDF("__s", "vec_id", "embedding")
     qtype = dict(queries.dtypes)["query_id"]
+    few = q.limit(MAX_LOCAL_QUERIES + 1).collect()
+    if len(few) <= MAX_LOCAL_QUERIES:
+        local = queries.sparkSession.sparkContext.broadcast([r.asDict() for r in few])
+        hits = v.mapInPandas(lambda batches: _scan_stores(local.value, batches),
+                             f"__s string, query_id {qtype}, k long, vec_id long, raw double")
+    else:
+        hits = _block_hits(q, v, qtype)
+    w = Window.partitionBy("__s", "query_id").orderBy(F.desc(F.round("raw", 9)), "vec_id")
+    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k"))
+    return ranked.select("query_id", *([F.col("__s").alias(store)] if store else []), "vec_id", "rank", F.round("raw", 6).alias("score"))
+
 
-    @F.pandas_udf(f"array<struct<query_id:{qtype},k:long,vec_id:long,score:double,raw:double>>")
+def _block_hits(q: DataFrame, v: DataFrame, qtype: str) -> DataFrame:
+    """Top-k of every query in every vector block. Query blocks are dealt to salted copies of the
+    store key, so no store, however large, is joined in one task."""
+    ks = ["__s"]
+    qb = _blocks(q, ks, "query_id", ["embedding", "k"], "q", Q_BLOCK)
+    vb = _blocks(v, ks, "vec_id", ["embedding"], "v", V_BLOCK)
+    salts = compute_partitions(q.sparkSession)
+    copies = qb.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    pairs = vb.withColumn("__salt", F.pmod(F.col("v_b"), F.lit(salts))).join(copies, [*ks, "__salt"])
+
+    @F.pandas_udf(f"array<struct<query_id:{qtype},k:long,vec_id:long,raw:double>>")
     def top(qs: pd.Series, vs: pd.Series) -> pd.Series:
         out = []
         for qi, vi in zip(qs, vs):
             ids = np.array([x["vec_id"] for x in vi], dtype="int64")
-            order = np.argsort(ids)
-            ids = ids[order]
-            mat = np.array([x["embedding"] for x in vi], dtype="float64")[order]
-            rows = []
-            raw = np.array([x["embedding"] for x in qi], dtype="float64") @ mat.T
-            for x, exact, s in zip(qi, raw, np.round(raw, 9)):
-                k = min(int(x["k"]), len(ids))
-                # Everything at or above the k-th score, so ties at the edge survive to the merge.
-                edge = np.partition(s, len(ids) - k)[len(ids) - k]
-                keep = np.flatnonzero(s >= edge)
-                keep = keep[np.argsort(-s[keep], kind="stable")][:k]
-                rows += [{"query_id": x["query_id"], "k": int(x["k"]), "vec_id": int(ids[i]), "score": float(s[i]), "raw": float(exact[i])} for i in keep]
-            out.append(rows)
+            raw = np.array([x["embedding"] for x in qi], dtype="float64") @ np.array([x["embedding"] for x in vi], dtype="float64").T
+            out.append([{"query_id": x["query_id"], "k": int(x["k"]), "vec_id": int(ids[j]), "raw": float(r[j])}
+                        for x, r in zip(qi, raw) for j in _keep_top(ids, r, int(x["k"]))])
         return pd.Series(out)
 
-    hits = pairs.select("__s", F.inline(top("q_items", "v_items")))
-    w = Window.partitionBy("__s", "query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k"))
-    out = ranked.select("query_id", *([F.col("__s").alias(store)] if store else []), "vec_id", "rank", F.round("raw", 6).alias("score"))
-    return out
+    return spread(pairs, "__s", "q_b", "v_b").select("__s", F.inline(top("q_items", "v_items")))
 
 
 def retrieval_plan(k_main: int = 18, k_figs: int = 10, k_sup: int = 10, k_lit: int = 8, use_figs: bool = True,

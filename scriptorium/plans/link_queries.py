@@ -338,7 +338,7 @@ SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DO
 FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings)""")
 def u06(t):
     e = t.embeddings
-    n = e.agg(F.count("*").alias("n"))
-    a = e.select("vec_id", F.col("embedding").alias("a"), F.lit(1).alias("k")).join(n.withColumn("k", F.lit(1)), "k").withColumn("o", (F.col("vec_id") * 7 + 1) % F.col("n"))
+    n = e.agg(F.count("*")).scalar()
+    a = e.select("vec_id", F.col("embedding").alias("a"), ((F.col("vec_id") * 7 + 1) % n).alias("o"))
     b = e.select(F.col("vec_id").alias("o"), F.col("embedding").alias("b"))
     return a.join(b, "o").select("vec_id", F.round(sim.dot("a", "b"), 6).alias("dot"), F.round(sim.l2("a", "b"), 6).alias("l2"))

@@ -15,7 +15,7 @@ from scriptorium.sources import files, plan, tei
 
 
 def nodes(t):
-    return reuse(tei.tei_nodes(derive.tei_documents(t.documents)))
+    return tei.tei_nodes(derive.tei_documents(t.documents))
 
 
 @query("a03_read_bibliography", """
@@ -52,7 +52,7 @@ SECT = f"(SELECT doc_id, pos // 4 + 1 AS div, string_agg({q.squash('l')} || ' [x
 SELECT 'body' AS kind, doc_id, div::INTEGER AS div, CASE WHEN title = '' THEN 'Untitled Section' ELSE title END AS title, text, n AS n_paras FROM {SECT} WHERE text IS NOT NULL
 UNION ALL SELECT 'supplement', doc_id, div::INTEGER, title, text, n FROM {SECT} WHERE text IS NOT NULL AND div = 4""")
 def a07(t):
-    n = nodes(t)
+    n = reuse(nodes(t))
     out = [tei.tei_sections(n, k).select(F.lit(k).alias("kind"), "doc_id", "div", "title", "text", "n_paras") for k in ("body", "supplement")]
     return out[0].unionByName(out[1])
 
@@ -174,7 +174,7 @@ def a19(t):
 SELECT doc_id, boundary IS NOT NULL AS has_boundary FROM (SELECT doc_id, CASE WHEN len({q.lines('text')}) > 12 AND length({q.squash(q.lines('text') + '[13]')}) >= 30 THEN 1 END AS boundary FROM documents)""")
 def c16(t):
     """The fourth div of the derived TEI is an annex; documents with fewer divs have no supplement."""
-    b = tei.supp_boundary(nodes(t))
+    b = tei.supp_boundary(reuse(nodes(t)))
     return tei.split_at_boundary(b).select("doc_id", F.col("boundary").isNotNull().alias("has_boundary"))
 
 

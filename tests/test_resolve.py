@@ -165,10 +165,10 @@ def test_knn_blocks_agree_with_brute_force(spark, monkeypatch):
         same = [j for j in range(300) if (j > 30) == (i > 30)]
         top = sorted(same, key=lambda j: (-round(float(v[i] @ v[j]), 9), j))[:4]
         want.update({(i, j): r + 1 for r, j in enumerate(top)})
-    for local in (128, 0):
+    for local in (20_000, 0):
         monkeypatch.setattr(retrieve, "Q_BLOCK", 16)
         monkeypatch.setattr(retrieve, "V_BLOCK", 32)
-        monkeypatch.setattr(retrieve, "MAX_LOCAL_BLOCKS", local)
+        monkeypatch.setattr(retrieve, "MAX_LOCAL_QUERIES", local)
         assert {(r.query_id, r.vec_id): r.rank for r in retrieve.knn(q, df, "store").collect()} == want
 
 
