@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.functions.neighbours import carried, previous
-from scriptorium.session import spread
+from scriptorium.session import reuse, spread
 
 # Weight of each exclusivity, usage ranks and cut-offs.
 WEIGHTS = {"strong": 1.20, "medium": 1.00, "weak": 0.85}
@@ -43,7 +43,7 @@ def slide_order(slides: DataFrame, group_order: str = "group_index", slide_id: s
     ``idx`` is the offset of the group plus the rank inside it. Offsets come from the table of
     group sizes, so no global sort of the slides is needed.
     """
-    sizes = slides.groupBy(group_order).agg(F.count("*").alias("n"))
+    sizes = reuse(slides.groupBy(group_order).agg(F.count("*").alias("n")))
     offsets = running_total(sizes, group_order, "n", "before")
     w = Window.partitionBy(group_order).orderBy(slide_id, "slide_uid")
     ranked = slides.withColumn("__r", F.row_number().over(w) - 1)

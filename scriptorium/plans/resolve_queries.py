@@ -27,8 +27,9 @@ def candidates(t):
 
 
 def slides(t):
+    """Deck slides; a small table derived from all events, so it is kept for the several passes over it."""
     s = candidates(t).select("slide_uid").filter(~F.col("slide_uid").startswith("G6")).distinct()
-    return s.withColumn("group_index", F.regexp_extract("slide_uid", "^G(\\d+)", 1).cast("int")).withColumn("slide_id", resolve.slide_number("slide_uid"))
+    return reuse(s).withColumn("group_index", F.regexp_extract("slide_uid", "^G(\\d+)", 1).cast("int")).withColumn("slide_id", resolve.slide_number("slide_uid"))
 
 
 PRIMARY_SQL = f"""SELECT bullet_id, slide_uid AS primary_slide_uid, score FROM (
@@ -46,7 +47,7 @@ def f01(t):
 
 @query("f02_primary_per_bullet", f"SELECT bullet_id, primary_slide_uid, round(score, 6) AS score FROM ({PRIMARY_SQL})")
 def f02(t):
-    return resolve.primary_per_bullet(candidates(t), resolve.slide_order(slides(t)))
+    return resolve.primary_per_bullet(candidates(t), reuse(resolve.slide_order(slides(t))))
 
 
 def usages(t):
