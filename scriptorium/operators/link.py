@@ -307,7 +307,7 @@ def lookup_bib(edges: DataFrame, bib: DataFrame, on: str | Sequence[str], fields
 
 def lookup_citation(tokens: DataFrame, refs: DataFrame, key: str = "doc_id", missing: bool = False) -> DataFrame:
     """D-08: ``[n]`` token to its reference; null, or a not-found text with ``missing``."""
-    num = F.nullif(F.regexp_extract("token", "^\\s*\\[?\\s*(\\d{1,4})\\s*\\]?\\s*$", 1), F.lit("")).cast("int")
+    num = F.nullif(F.regexp_extract("token", "^\\s*\\[?\\s*(\\d{1,4})\\s*\\]?\\s*$", 1), F.lit("")).try_cast("int")
     out = tokens.withColumn("num", num).join(refs.select(key, "num", "ref"), [key, "num"], "left")
     if missing:
         out = out.withColumn("ref", F.coalesce("ref", F.concat(

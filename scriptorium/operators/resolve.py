@@ -34,7 +34,7 @@ def weight(excl: Column | str) -> Column:
 
 def slide_number(uid: Column | str) -> Column:
     """Number at the end of ``group::Slide_n``, 0 when there is none."""
-    return F.coalesce(F.nullif(F.regexp_extract(uid, "::Slide_(\\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.coalesce(F.nullif(F.regexp_extract(uid, "::Slide_(\\d+)$", 1), F.lit("")).try_cast("int"), F.lit(0))
 
 
 def slide_order(slides: DataFrame, group_order: str = "group_index", slide_id: str = "slide_id") -> DataFrame:
@@ -281,8 +281,8 @@ def parse_instructions(df: DataFrame, column: str = "line") -> DataFrame:
         s.rlike("(?i)AT\\s+BEGINNING\\s+OF\\s+FIGURE"), "fig_begin").when(s.rlike("(?i)AT\\s+END\\s+OF\\s+DOCUMENT"), "end")
     out = df.select(*[c for c in df.columns if c != column], F.lower(F.regexp_extract(s, head, 1)).alias("op"),
                     F.lower(F.regexp_extract(s, head, 2)).alias("what"),
-                    F.nullif(F.regexp_extract(s, head, 3), F.lit("")).cast("long").alias("id"), kind.alias("after_type"),
-                    F.nullif(F.regexp_extract(s, tail, 2), F.lit("")).cast("long").alias("after_id"))
+                    F.nullif(F.regexp_extract(s, head, 3), F.lit("")).try_cast("long").alias("id"), kind.alias("after_type"),
+                    F.nullif(F.regexp_extract(s, tail, 2), F.lit("")).try_cast("long").alias("after_id"))
     return out.filter((F.col("op") != "") & F.col("after_type").isNotNull())
 
 

@@ -374,7 +374,7 @@ def find_reference_block(df: DataFrame, column: str = "text") -> DataFrame:
         def evidence(i: Column) -> Column:
             nums = F.transform(
                 F.filter(F.slice(ls, i + 2, F.lit(15)), lambda x: x.rlike(numbered)),
-                lambda x: F.regexp_extract(x, numbered, 1).cast("long"))
+                lambda x: F.regexp_extract(x, numbered, 1).try_cast("long"))
             return tx.let(nums, lambda ns: (F.size(ns) >= 3) & F.exists(
                 tx.index_of(ns), lambda j: (F.get(ns, j + 1) - F.get(ns, j)).between(1, 3)))
 
@@ -396,7 +396,7 @@ def parse_numbered_refs(df: DataFrame, key: str = "doc_id", column: str = "text"
     runs = tx.segments(tx.lines(column), lambda xs, i: F.get(xs, i).rlike(start))
     runs = F.filter(runs, lambda r: F.get(r["items"], F.lit(0)).rlike(start))
     entries = F.transform(runs, lambda r: F.struct(
-        F.regexp_extract(F.get(r["items"], F.lit(0)), start, 1).cast("int").alias("num"),
+        F.regexp_extract(F.get(r["items"], F.lit(0)), start, 1).try_cast("int").alias("num"),
         tx.strip(F.array_join(F.transform(r["items"], lambda x, i: F.when(
             i == 0, tx.strip(F.regexp_extract(x, start, 2))).otherwise(tx.strip(x))), " ")).alias("ref")))
     out = df.select(key, F.posexplode(entries).alias("pos", "e")).select(key, "pos", "e.*")
@@ -467,8 +467,8 @@ def parse_plan_blocks(df: DataFrame, column: str = "block") -> DataFrame:
         *[c for c in df.columns if c != column],
         header.alias("header"),
         F.when(title != "", title).otherwise("UNNAMED_GROUP").alias("group_name"),
-        F.nullif(F.regexp_extract(header, span, 1), F.lit("")).cast("int").alias("slide_from"),
-        F.nullif(F.regexp_extract(header, span, 2), F.lit("")).cast("int").alias("slide_to"),
+        F.nullif(F.regexp_extract(header, span, 1), F.lit("")).try_cast("int").alias("slide_from"),
+        F.nullif(F.regexp_extract(header, span, 2), F.lit("")).try_cast("int").alias("slide_to"),
         _field(b, "PURPOSE").alias("purpose"),
         _field(b, "CONTENT_SCOPE").alias("content_scope"),
         _field(b, "KEY_TRANSITIONS").alias("key_transitions"),
@@ -477,7 +477,7 @@ def parse_plan_blocks(df: DataFrame, column: str = "block") -> DataFrame:
         terms.alias("key_terms"),
         F.transform(F.regexp_extract_all(b, F.lit("Include:\\s*(.*)"), F.lit(1)), tx.strip).alias("available_figures"),
         F.zip_with(numbers, plans, lambda n, p: F.struct(
-            n.cast("int").alias("slide_id"), tx.strip(p).alias("plan"))).alias("slides"),
+            n.try_cast("int").alias("slide_id"), tx.strip(p).alias("plan"))).alias("slides"),
     )
 
 
@@ -493,7 +493,7 @@ def split_exercises(df: DataFrame, fmt: str = "C", key: Sequence[str] = ("doc_id
 
     def placed(part: Column) -> Column:
         tag = F.regexp_extract(part, head, 1)
-        return F.when(tag.rlike("^\\d+$"), tag.cast("int")).otherwise(F.ascii(tag) - F.ascii(F.lit("a")) + 1)
+        return F.when(tag.rlike("^\\d+$"), tag.try_cast("int")).otherwise(F.ascii(tag) - F.ascii(F.lit("a")) + 1)
 
     def groups(parts: Column) -> Column:
         items = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(
@@ -514,7 +514,7 @@ def split_exercises(df: DataFrame, fmt: str = "C", key: Sequence[str] = ("doc_id
 
 def bracket_citations(df: DataFrame, column: str = "text", out: str = "citations") -> DataFrame:
     """C-21: distinct citation numbers, ascending."""
-    nums = F.transform(F.regexp_extract_all(F.col(column), F.lit("\\[(\\d{1,4})\\]"), F.lit(1)), lambda n: n.cast("int"))
+    nums = F.transform(F.regexp_extract_all(F.col(column), F.lit("\\[(\\d{1,4})\\]"), F.lit(1)), lambda n: n.try_cast("int"))
     return df.withColumn(out, F.array_sort(F.array_distinct(nums)))
 
 

@@ -22,7 +22,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     df = read_text_corpus(spark, path, "*_chunk*.txt")
     return df.select(
         F.regexp_replace("name", "_chunk\\d*.*$", "").alias("article"),
-        F.coalesce(F.nullif(F.regexp_extract("name", "_chunk(\\d+)", 1), F.lit("")).cast("int"), F.lit(0)).alias("chunk_no"),
+        F.coalesce(F.nullif(F.regexp_extract("name", "_chunk(\\d+)", 1), F.lit("")).try_cast("int"), F.lit(0)).alias("chunk_no"),
         "name", "text")
 
 
@@ -88,7 +88,7 @@ def parse_sentence_stream(df: DataFrame, key: str = "pair_id", column: str = "te
     out = df.select(key, F.posexplode(F.split(column, "////")).alias("rec", "raw")).withColumn("raw", tx.squash("raw")).filter(F.col("raw") != "")
     meta = F.regexp_extract("raw", head, 2)
     out = out.withColumn("ok", F.col("raw").rlike(head)).withColumn(
-        "num", F.nullif(F.regexp_extract("raw", head, 1), F.lit("")).cast("long")).withColumn(
+        "num", F.nullif(F.regexp_extract("raw", head, 1), F.lit("")).try_cast("long")).withColumn(
         "meta", F.when(meta.startswith("#"), "").otherwise(tx.strip(meta))).withColumn(
         "text", tx.squash(F.regexp_replace(tx.strip(F.regexp_extract("raw", head, 3)), "^#\\s*Original label:[^|]*\\|?\\s*", "")))
 

@@ -203,7 +203,7 @@ def tei_sentences(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     t = F.regexp_replace(t, f"([.!?])\\s+((?:{unit}\\d+{unit}\\s*)?)(?=[A-Z])", f"$1{tx.MARK}$2")
     raw = divs.select(key, "div", F.posexplode(F.split(t, tx.MARK)).alias("pos", "s"))
     w = Window.partitionBy(key, "div").orderBy("pos")
-    ends = F.nullif(F.regexp_extract("s", f"^.*{unit}(\\d+){unit}", 1), F.lit("")).cast("int")
+    ends = F.nullif(F.regexp_extract("s", f"^.*{unit}(\\d+){unit}", 1), F.lit("")).try_cast("int")
     raw = raw.withColumn("para", F.last(ends, ignorenulls=True).over(w))
     s = tx.squash(tx.restore_abbreviations(F.regexp_replace("s", f"{unit}\\d+{unit}", " ")))
     raw = raw.withColumn("text", s).filter(F.col("text").rlike(tx.TERMINAL))
@@ -282,7 +282,7 @@ def supp_boundary(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     marked = (F.col("kind") == "div") & (F.lower(F.coalesce("typ", F.lit(""))).isin("annex", "appendix", "supplementary")
                                          | F.lower(F.coalesce("n", F.lit(""))).rlike("^s\\d+") | F.lower(F.coalesce("xml_id", F.lit(""))).rlike("^s\\d+"))
     short = F.col("kind").isin("head", "p") & (tx.word_count(t) <= 6) & opens(t)
-    bib_no = F.coalesce(F.nullif(F.regexp_extract("xml_id", "(\\d+)", 1), F.lit("")).cast("int"), F.lit(-1))
+    bib_no = F.coalesce(F.nullif(F.regexp_extract("xml_id", "(\\d+)", 1), F.lit("")).try_cast("int"), F.lit(-1))
     docs = nodes.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(leaf & (t != ""), F.struct("seq", t.alias("t"))))), lambda x: x["t"]), "\n").alias("full_text"),
         F.min_by(t, F.when(marked, F.col("seq"))).alias("struct_text"),

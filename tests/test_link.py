@@ -168,9 +168,9 @@ def test_assign_figures(spark):
     row = [("g", "about cavity gain", "why", [(1, "Intro"), (2, "Explain Figure 1 well"), (3, "the mirror coating details")], ["Figure 1", "Mirror coating picture", "Experimental setup", "Gain curve", "Other thing"])]
     df = spark.createDataFrame(row, "group string, content_scope string, purpose string, slides array<struct<slide_id:int,plan:string>>, available_figures array<string>")
     got = sorted(link.assign_figures(df).collect(), key=lambda r: r.slide_id)
-    assert [(r.slide_id, r.figure_used, r.forced) for r in got] == [
-        (1, None, False), (2, "Experimental setup", True), (3, "Figure 1", False), (4, "Mirror coating picture", False), (5, "Other thing", True)] or [
-        r.figure_used for r in got] == [None, "Experimental setup", "Gain curve", "Figure 1", "Mirror coating picture", "Other thing"]
+    # Setup figures go after the first slide, gain figures to the middle, the rest to the end.
+    assert [r.figure_used for r in got] == [None, "Experimental setup", "Gain curve", "Figure 1", "Mirror coating picture", "Other thing"]
+    assert [r.forced for r in got] == [False, True, True, False, False, True]
     assert all(r.slide_id == i + 1 for i, r in enumerate(got)) and got[-1].plan.startswith("Explain Other thing: what it shows")
 
 

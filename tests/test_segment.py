@@ -188,3 +188,12 @@ def test_doi_and_candidates(spark):
 def test_tagged_lines(spark):
     df = spark.createDataFrame([("1) [MAIN] a\n- [fig] b\nc",), ("x\n\ny",)], "raw string")
     assert [r["lines"] for r in seg.tagged_lines(df, ["MAIN", "FIG"]).collect()] == [["[MAIN] a", "[fig] b"], ["x", "y"]]
+
+
+def test_absurd_numbers_do_not_stop_a_job(spark):
+    big = "9" * 30
+    t = f"===SLIDE_GROUP: One | Slides {big}-{big}===\nSlide {big}: x"
+    r = seg.parse_plan_blocks(seg.split_plan_blocks(docs(spark, t))).first()
+    assert r.slide_from is None and r.slides[0].slide_id is None
+    assert seg.split_exercises(docs(spark, f"a {big}. Bcd"), "A").filter("item_no = 1").first().placement is None
+    assert seg.find_reference_block(docs(spark, f"References\n{big}. a\n2. b\n3. c")).first().block_start == 0
