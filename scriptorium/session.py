@@ -63,5 +63,5 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 
 def spread_if_few(df: DataFrame) -> DataFrame:
     """Spread a table whose files yield fewer splits than there are cores; a large one stays as read."""
-    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-    return spread(df) if few else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
