@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import Scratch, ranked, shuffle_key
 
-#: Shards, rounds of propagation, and how far over its share a shard may grow between rounds.
-SHARDS, ROUNDS, SLACK = 40, 4, 0.10
+#: Shards, rounds of propagation, and how far over its share a shard may be filled with linked rows between rounds.
+SHARDS, ROUNDS, SLACK = 40, 5, 0.25
 
 
 def lookup(values: list[int], at: Column) -> Column:
@@ -22,25 +22,45 @@ def loads(state: DataFrame, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def propagate(linked: DataFrame, base: list[int], cap: int, shards: int, scratch: Scratch) -> DataFrame:
-    """One round: linked rows move to the shard that holds most of their group, as far as that shard has room.
+def quotas(wishes: dict[tuple[int, int], int], room: list[int]) -> list[int]:
+    """How many rows may move from shard s to t, at place ``s * shards + t``: as many as come the other way, so that sizes stay,
+    and of the rest a proportional part of the room in t. At most shards^2 numbers."""
+    shards = len(room)
+    swap = {(s, t): min(n, wishes.get((t, s), 0)) for (s, t), n in wishes.items()}
+    rest = {k: n - swap[k] for k, n in wishes.items()}
+    asked = [sum(n for (_, t), n in rest.items() if t == x) for x in range(shards)]
+    out = [0] * (shards * shards)
+    for (s, t), n in wishes.items():
+        part = rest[s, t] if asked[t] <= room[t] else rest[s, t] * room[t] // asked[t]
+        out[s * shards + t] = swap[s, t] + part
+    return out
 
-    ``base`` is the load of each shard. A row moves only if more of its neighbours are there than here, ties to the lower
-    shard; of those who want to a shard, a fixed random order decides whom its quota admits.
+
+def propagate(linked: DataFrame, load: list[int], share: int, scratch: Scratch) -> DataFrame:
+    """One round: linked rows wish to the shard that holds most of their group, and move as far as quotas allow.
+
+    A row wishes to move only if more of its neighbours are there than here, ties to the lower shard; a fixed random
+    order decides whom a quota admits. A shard full of linked rows attracts no more than it gives away.
     """
-    room = [max(0, cap - n) for n in base]
+    shards, room = len(load), [max(0, share - n) for n in load]
     held = scratch.keep(linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("n")))
-    # a full shard attracts nobody, yet keeps its own
-    open_ = held.where(lookup(room, F.col("shard")) > 0)
-    best = open_.groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("best"))
-    best = best.select(F.col("g").alias("g2"), F.col("best.n").alias("most"), (-F.col("best.s")).alias("target"))
+    best = held.groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("best"))
+    # a group that fills its first shard turns to the fullest one with room
+    spare = held.where(lookup(room, F.col("shard")) > 0).groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("next"))
+    best = best.withColumnRenamed("g", "g2").join(spare.withColumnRenamed("g", "g4"), F.col("g2") == F.col("g4"), "left")
+    first_full = F.col("best.n") >= share
+    choice = F.when(first_full, F.col("next")).otherwise(F.col("best"))
+    best = best.select("g2", choice["n"].alias("most"), (-choice["s"]).alias("target"))
     wish = held.join(best, F.col("g") == F.col("g2")).where(
-        (F.col("most") > F.col("n")) | ((F.col("most") == F.col("n")) & (F.col("target") < F.col("shard"))))
-    wish = scratch.keep(wish.select(F.col("g").alias("g3"), F.col("shard").alias("s3"), "target"))
-    rows = linked.join(wish, (F.col("g") == F.col("g3")) & (F.col("shard") == F.col("s3")), "left").drop("g3", "s3")
+        (F.col("n") < share) & ((F.col("most") > F.col("n")) | ((F.col("most") == F.col("n")) & (F.col("target") < F.col("shard")))))
+    wish = scratch.keep(wish.select(F.col("g").alias("g3"), F.col("shard").alias("s3"), "target", "n"))
+    asked = wish.groupBy("s3", "target").agg(F.sum("n").alias("n")).collect()
+    allowed = quotas({(r["s3"], r["target"]): r["n"] for r in asked}, room)
+    rows = linked.join(wish.drop("n"), (F.col("g") == F.col("g3")) & (F.col("shard") == F.col("s3")), "left").drop("g3", "s3")
     rows = scratch.keep(rows)
-    moving = ranked(rows.where("target is not null"), ["target"], "key", ["doc_id", "size"], "turn")
-    moved = moving.withColumn("shard", F.when(F.col("turn") < lookup(room, F.col("target")), F.col("target")).otherwise(F.col("shard")))
+    moving = ranked(rows.where("target is not null"), ["shard", "target"], "key", ["doc_id", "size"], "turn")
+    admitted = F.col("turn") < lookup(allowed, F.col("shard") * shards + F.col("target"))
+    moved = moving.withColumn("shard", F.when(admitted, F.col("target")).otherwise(F.col("shard")))
     cols = linked.columns
     return scratch.keep(moved.select(*cols).union(rows.where("target is null").select(*cols)))
 
@@ -65,21 +85,19 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, id_col: str =
     alone = loads(single, shards)
     now = loads(linked, shards)
     total = sum(alone) + sum(now)
-    cap = int(total * (1 + SLACK) / shards) + 1
     for _ in range(ROUNDS):
-        linked = propagate(linked, [a + b for a, b in zip(alone, now)], cap, shards, scratch)
-        new = loads(linked, shards)
-        if new == now:
-            break
-        now = new
+        linked = propagate(linked, now, int(total * (1 + SLACK) / shards) + 1, scratch)
+        now = loads(linked, shards)
     # exact shares: the fullest shards keep the odd rows
     load = [a + b for a, b in zip(alone, now)]
     share = [total // shards] * shards
     for s in sorted(range(shards), key=lambda s: (-load[s], s))[:total % shards]:
         share[s] += 1
-    state = scratch.keep(single.union(linked.select(*single.columns)))
-    # linked rows first within a shard, so that what leaves is unlinked as far as possible
-    by = F.shiftright("key", 1) + F.when(F.col("linked"), F.lit(0)).otherwise(F.lit(1 << 59))
+    # rows of large holdings first within a shard, unlinked ones last, so that what leaves cuts few links
+    held = linked.groupBy("g", "shard").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("long").alias("level"))
+    cols = ["doc_id", "size", "text_crc32", "key", "shard", "level"]
+    state = single.withColumn("level", F.lit(0).cast("long")).select(*cols).union(linked.join(held, ["g", "shard"]).select(*cols))
+    by = F.lit(63 << 54) - F.col("level") * F.lit(1 << 54) + F.shiftright("key", 6)
     state = scratch.keep(ranked(state.withColumn("by", by), ["shard"], "by", ["doc_id", "size"], "rank"))
     stay = F.col("rank") < lookup(share, F.col("shard"))
     leave = ranked(state.where(~stay).withColumn("all", F.lit(0)), ["all"], "by", ["doc_id", "size"], "turn")
