@@ -10,6 +10,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +19,9 @@ from scriptorium.llm.common import Scratch, crc_bucket
 
 #: Bound of the training sample: labelled rows of each class, taken by a hash of the id.
 SAMPLE = 8000
-#: Lexicon: at most so many terms, seen in so many toxic rows of the sample, and so many times likelier there.
-TERMS, LEAST_SEEN, LIFT = 2000, 5, 8.0
+#: Lexicon: at most so many terms, so many times likelier in toxic rows, and with this evidence: the chance that a term of no
+#: meaning looks like it is at most exp(-15), as very many terms are tried.
+TERMS, LIFT, EVIDENCE = 2000, 8.0, 15.0
 #: Learned stems have this length; a longer word that starts with one is a hit.
 STEM = (4, 8)
 #: Words on either side of a hit that make its context, and words a worker remembers.
@@ -236,26 +238,64 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+def sketched(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """``(y, text)`` with the least of several hashes of the three-word shingles."""
+    factor = np.random.default_rng(4).integers(1, 1 << 62, keys, np.uint64) * np.uint64(2) + np.uint64(1)
+    for b in batches:
+        out = []
+        for t in b.column(1):
+            ws = t.as_py().lower().split()
+            h = np.array([xxhash.xxh3_64_intdigest(" ".join(ws[i:i + 3])) for i in range(max(1, len(ws) - 2))], np.uint64)
+            with np.errstate(over="ignore"):
+                out.append([(h * f).min() for f in factor])
+        cols = np.array(out, np.uint64).reshape(-1, keys).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in cols.T)], ["y", "text", *(f"k{k}" for k in range(keys))])
+
+
+def independent(rows: DataFrame, keys: int = 4) -> DataFrame:
+    """Rows of the sample without near copies of others: copies would pass one chance word off as evidence.
+
+    A row goes if an earlier one, in the order of the texts' hashes, shares one of ``keys`` least hashes of its three-word shingles.
+    """
+    rows = rows.mapInArrow(partial(sketched, keys=keys), "y double, text string, " + ", ".join(f"k{k} long" for k in range(keys)))
+    for k in range(keys):
+        rows = rows.withColumn(f"r{k}", F.row_number().over(Window.partitionBy(f"k{k}").orderBy(F.xxhash64("text"))))
+    return rows.where(F.greatest(*[f"r{k}" for k in range(keys)]) == 1).select("y", "text")
+
+
+def choose(rows: DataFrame) -> list[str]:
+    """The lexicon of ``(y, text)`` rows: terms that are far likelier in toxic rows."""
+    total = rows.agg(F.sum((F.col("y") > 0).cast("int")), F.count(F.lit(1))).first()
+    pos = total[0] or 0
+    neg = total[1] - pos
+    counts = rows.select((F.col("y") > 0).cast("int").alias("y"), "text").mapInArrow(term_counts, "term string, pos long, neg long")
+    counts = counts.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    lift = ((F.col("pos") + 0.5) / (pos + 1)) / ((F.col("neg") + 0.5) / (neg + 1))
+    n, share = F.col("pos") + F.col("neg"), max(pos, 1) / max(total[1], 1)
+    part = lambda k, q: F.when(k > 0, k * F.log(k / (n * F.lit(max(q, 1e-9))))).otherwise(0.0)
+    evidence = part(F.col("pos"), share) + part(F.col("neg"), 1 - share)
+    counts = counts.where((lift >= LIFT) & (evidence >= EVIDENCE))
+    return prune([tuple(r) for r in counts.orderBy(F.desc("pos"), "term").limit(TERMS).collect()])
+
+
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     """Learn the lexicon and the context weights from the training rows.
 
     Without training rows the lexicon is empty and every score 0; with one class only, the score is its share.
     """
     spark = docs.sparkSession
-    rows = scratch.keep(train_rows(docs, labels).select(F.col("toxic").cast("double").alias("y"), "text"))
+    rows = train_rows(docs, labels).where("text is not null").select(F.col("toxic").cast("double").alias("y"), "text")
+    rows = scratch.keep(rows.repartition(spark.sparkContext.defaultParallelism * 2))
+    rows = scratch.keep(independent(rows).repartition(spark.sparkContext.defaultParallelism * 2))
     sizes = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(True, 0), sizes.get(False, 0)
     if not pos + neg:
         return Model([], np.append(np.zeros(N_FEATURES), -30.0))
-    n = spark.sparkContext.defaultParallelism * 2
-    rows = scratch.keep(rows.repartition(n))
-    counts = rows.select((F.col("y") > 0).cast("int").alias("y"), "text").mapInArrow(term_counts, "term string, pos long, neg long")
-    counts = counts.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    lift = ((F.col("pos") + 0.5) / (pos + 1)) / ((F.col("neg") + 0.5) / (neg + 1))
-    counts = counts.where((F.col("pos") >= LEAST_SEEN) & (lift >= LIFT) & (F.col("neg") <= F.col("pos")))
-    lexicon = prune([tuple(r) for r in counts.orderBy(F.desc("pos"), "term").limit(TERMS).collect()])
-    sent = spark.sparkContext.broadcast(lexicon)
-    seen = rows.select("y", "text").mapInArrow(partial(featured, lexicon=sent), "y double, x array<double>").toPandas()
+    # weights are fitted on rows that the lexicon was not chosen from, or its terms would seem surer than they are
+    fold = F.pmod(F.xxhash64("text"), F.lit(2))
+    half = spark.sparkContext.broadcast(choose(rows.where(fold == 0)))
+    seen = rows.where(fold == 1).select("y", "text").mapInArrow(partial(featured, lexicon=half), "y double, x array<double>").toPandas()
+    lexicon = choose(rows)
     y = (seen["y"].to_numpy() > 0).astype(float)
     if not 0 < y.sum() < len(y):
         return Model(lexicon, np.append(np.zeros(N_FEATURES), 30.0 if y.all() else -30.0))
