@@ -413,14 +413,14 @@ def oversize_chunks(df: DataFrame, max_tokens: int, column: str = "text") -> Dat
     return df.filter(F.length(column) > max_tokens * 5).withColumn("n", F.length(column).cast("long"))
 
 
-def filter_ids(df: DataFrame, kind: str, column: str = "raw", out: str = "ids") -> DataFrame:
-    """B-24: the first three lines shaped like an identifier (``arxiv``) or category."""
+def filter_ids(df: DataFrame, kind: str, column: str = "raw", out: str = "ids", top: int | None = None) -> DataFrame:
+    """B-24: lines shaped like an identifier (``arxiv``) or category, with ``top`` the first so many."""
     shape = {
         "arxiv": lambda x: x.rlike("\\d") & (F.length(x) > 5),
         "category": lambda x: x.contains(".") & x.rlike("\\p{L}"),
     }[kind]
     ids = F.filter(F.transform(F.split(F.col(column), "\n"), tx.strip), lambda x: (x != "") & shape(x))
-    return df.withColumn(out, F.slice(ids, 1, 3))
+    return df.withColumn(out, ids if top is None else F.slice(ids, 1, top))
 
 
 def validate_specs(df: DataFrame, expected_uid: str = "expected_uid") -> DataFrame:

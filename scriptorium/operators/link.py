@@ -336,13 +336,14 @@ def resolve_title(papers: DataFrame, candidates: DataFrame, policy: str = "best>
         key, "m.cand_rank", "m.cand_title", F.round("m.score", 6).alias("score"))
 
 
-def match_page(candidates: DataFrame, cut: float = 0.45, top: int = 8, key: str = "notion") -> DataFrame:
-    """D-10: best page title among a notion's first ``top`` candidates.
+def match_page(candidates: DataFrame, cut: float = 0.45, top: int | None = None, key: str = "notion") -> DataFrame:
+    """D-10: best page title among a notion's candidates, with ``top`` its first so many.
 
     ``candidates``: notion, cand_rank (0-based), title; score = 0.7 token overlap + 0.3 ratio.
     """
     score = 0.7 * sim.token_overlap(key, "title") + 0.3 * sim.ratio(F.col(key), F.col("title"))
-    scored = spread(candidates.filter(F.col("cand_rank") < top), key, "cand_rank").withColumn("score", score)
+    some = candidates if top is None else candidates.filter(F.col("cand_rank") < top)
+    scored = spread(some, key, "cand_rank").withColumn("score", score)
     best = scored.groupBy(key).agg(F.max_by(
         F.struct("title", "score"), F.struct("score", -F.col("cand_rank"))).alias("m"))
     return best.select(key, "m.title", F.round("m.score", 6).alias("score"), (F.col("m.score") >= cut).alias("ok")).filter("ok").drop("ok")
@@ -368,12 +369,13 @@ def figure_mentions(chunks: DataFrame, figures: DataFrame, key: str = "doc_id",
     return joined.select(key, "chunk_no", F.inline(F.flatten(F.transform("f_items", found))))
 
 
-def supplement_link(chunks: DataFrame, sections: DataFrame, key: str, n_terms: int = 8, size: int = BLOCK) -> DataFrame:
-    """D-12: first section one of whose leading terms occurs in the chunk.
+def supplement_link(chunks: DataFrame, sections: DataFrame, key: str, n_terms: int | None = None, size: int = BLOCK) -> DataFrame:
+    """D-12: first section one of whose terms (with ``n_terms`` the leading ones) occurs in the chunk.
 
     ``chunks``: key, chunk_no, text. ``sections``: key, section_no, summary.
     """
-    terms = F.slice(tx.words(F.lower("summary")), 1, n_terms)
+    terms = tx.words(F.lower("summary"))
+    terms = F.array_distinct(terms if n_terms is None else F.slice(terms, 1, n_terms))
     secs = blocks(sections.withColumn("terms", terms), [key], "section_no", ["terms"], "s", size)
     low = F.col("__low")
     hits = F.transform(F.filter("s_items", lambda s: F.exists(s["terms"], lambda t: low.contains(t))), lambda s: s["pos"])
@@ -441,65 +443,71 @@ def anchor_formulas(formulas: DataFrame, sentences: DataFrame, cut: float = 0.55
     return formulas.join(hits.select(key, "formula_no", num.alias("num"), how.alias("how")), [key, "formula_no"], "left")
 
 
+# The plan of a slide made for a left-over figure, and the words that place it.
 FORCED_PLAN = ("Explain {fig}: what it shows, why it was measured, "
                "and how it supports the broader narrative of this section.")
+EARLY_FIGURE = ("setup", "experimental", "apparatus")
+MIDDLE_FIGURE = ("mechanism", "gain", "dynamics", "loss")
 
 
-def _place_figures(slides, figures, context: str, min_score: int) -> list[dict]:
-    """Bind figures to slides: named ones first, then clear token matches, then slides of their own."""
-    import re
-
-    out = [{"plan": s["plan"] or "", "figure_used": s["figure_used"], "forced": False} for s in slides]
-    free = [f for f in figures]
-
-    def take(slide: dict, fig: str | None) -> None:
-        if fig is not None:
-            slide["figure_used"] = fig
-            free.remove(fig)
-
-    for s in out:
-        if not s["figure_used"]:
-            take(s, next((f for f in free if f.lower() in s["plan"].lower()), None))
-    for s in out:
-        if not s["figure_used"] and free:
-            body = f"{s['plan']} {context}".lower()
-            scores = [sum(len(t) > 4 and t in body for t in re.findall(r"\w+", f.lower())) for f in free]
-            if max(scores) >= min_score:
-                take(s, free[scores.index(max(scores))])
-    for fig in free:
-        low = fig.lower()
-        # Setup figures go early, mechanism figures to the middle, others last.
-        if any(k in low for k in ("setup", "experimental", "apparatus")):
-            at = min(1, len(out))
-        elif any(k in low for k in ("mechanism", "gain", "dynamics", "loss")):
-            at = max(1, len(out) // 2)
-        else:
-            at = len(out)
-        out.insert(at, {"plan": FORCED_PLAN.format(fig=fig), "figure_used": fig, "forced": True})
-    return [{"slide_id": i, **s} for i, s in enumerate(out, start=1)]
+def _bound(slides: Column, free: Column, choose) -> Column:
+    """Slides with figures and the figures left over: a slide without one takes what ``choose(free, slide)`` names, if anything."""
+
+    def step(acc: Column, s: Column) -> Column:
+        empty = F.coalesce(s["figure_used"], F.lit("")) == ""
+        return tx.let(F.when(empty, choose(acc["free"], s)), lambda fig: tx.let(F.array_position(acc["free"], fig), lambda at: F.struct(
+            F.filter(acc["free"], lambda f, i: fig.isNull() | (i != at - 1)).alias("free"),
+            F.array_append(acc["slides"], F.struct(s["plan"].alias("plan"), F.coalesce(fig, s["figure_used"]).alias("figure_used"),
+                                                   F.lit(False).alias("forced"))).alias("slides"))))
+
+    none = F.array().cast("array<struct<plan:string,figure_used:string,forced:boolean>>")
+    return F.aggregate(slides, F.struct(free.alias("free"), none.alias("slides")), step)
+
+
+def _with_leftovers(slides: Column, free: Column) -> Column:
+    """A slide of its own for each left-over figure, at the place its name suggests."""
+
+    def insert(out: Column, fig: Column) -> Column:
+        low, n = F.lower(fig), F.size(out)
+        has = lambda words: F.greatest(*[low.contains(w) for w in words])
+        at = F.when(has(EARLY_FIGURE), F.least(F.lit(1), n)).when(
+            has(MIDDLE_FIGURE), F.least(F.greatest(F.lit(1), F.floor(n / 2).cast("int")), n)).otherwise(n)
+        own = F.struct(F.replace(F.lit(FORCED_PLAN), F.lit("{fig}"), fig).alias("plan"), fig.alias("figure_used"), F.lit(True).alias("forced"))
+        return tx.let(at, lambda k: F.concat(F.slice(out, F.lit(1), k), F.array(own), F.slice(out, k + 1, n)))
+
+    return F.aggregate(free, slides, insert)
 
 
 def assign_figures(plans: DataFrame, min_score: int = 2) -> DataFrame:
     """D-15: slides of each group with figures bound and renumbered.
 
     ``plans`` has one row per group with ``slides`` (array of slide_id, plan[, figure_used]),
-    ``available_figures``, ``content_scope`` and ``purpose``, as ``parse_plan_blocks`` gives it. The
-    greedy step is per group and runs in its row.
+    ``available_figures``, ``content_scope`` and ``purpose``, as ``parse_plan_blocks`` gives it. Named figures are bound
+    first, then those that share ``min_score`` long words with a plan, then the rest get slides; all within the row.
     """
-
-    @F.pandas_udf("array<struct<slide_id:int,plan:string,figure_used:string,forced:boolean>>")
-    def place(slides: pd.Series, figures: pd.Series, context: pd.Series) -> pd.Series:
-        return pd.Series([_place_figures(list(s), list(f), c or "", min_score)
-                          for s, f, c in zip(slides, figures, context)])
-
     fields = plans.schema["slides"].dataType.elementType.fieldNames()
     shaped = F.transform("slides", lambda s: F.struct(
-        s["slide_id"], s["plan"],
+        F.coalesce(s["plan"], F.lit("")).alias("plan"),
         (s["figure_used"] if "figure_used" in fields else F.lit(None).cast("string")).alias("figure_used")))
     context = F.concat_ws(" ", "content_scope", "purpose")
+    figures = F.filter(F.coalesce("available_figures", F.array().cast("array<string>")), lambda f: f.isNotNull())
+
+    def named(free: Column, s: Column) -> Column:
+        return F.get(F.filter(free, lambda f: F.lower(s["plan"]).contains(F.lower(f))), F.lit(0))
+
+    def similar(free: Column, s: Column) -> Column:
+        body = F.lower(F.concat(s["plan"], F.lit(" "), context))
+        score = lambda f: F.size(F.filter(F.regexp_extract_all(F.lower(f), F.lit("(?U)\\w+"), F.lit(0)),
+                                          lambda t: (F.length(t) > 4) & body.contains(t)))
+        best = F.array_max(F.transform(free, lambda f, i: F.struct(score(f).alias("score"), (-i).alias("i"), f.alias("f"))))
+        return tx.let(best, lambda b: F.when(b["score"] >= min_score, b["f"]))
+
     keep = [c for c in plans.columns if c not in ("slides", "available_figures")]
-    return plans.select(*keep, F.inline(place(shaped, F.coalesce(
-        "available_figures", F.array().cast("array<string>")), context)))
+    out = plans.withColumn("__one", _bound(shaped, figures, named))
+    out = out.withColumn("__two", _bound(F.col("__one.slides"), F.col("__one.free"), similar))
+    placed = F.transform(_with_leftovers(F.col("__two.slides"), F.col("__two.free")), lambda s, i: F.struct(
+        (i + 1).alias("slide_id"), s["plan"].alias("plan"), s["figure_used"].alias("figure_used"), s["forced"].alias("forced")))
+    return out.select(*keep, F.inline(placed))
 
 
 def attach_bullet_text(df: DataFrame, bullets: DataFrame, keep: str = "first") -> DataFrame:

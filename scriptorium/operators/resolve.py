@@ -410,17 +410,17 @@ def check_plan(plans: DataFrame, details: DataFrame, key: str = "doc_id") -> Dat
     return out
 
 
-def head_words(c: Column | str, n: int = 6) -> Column:
-    return F.array_join(F.slice(tx.words(c), 1, n), " ")
+def head_words(c: Column | str, n: int | None = None) -> Column:
+    return F.array_join(tx.words(c) if n is None else F.slice(tx.words(c), 1, n), " ")
 
 
-def cumulative_coverage(items: DataFrame, key: str, group: str, kind: str = "kind", item: str = "item") -> DataFrame:
+def cumulative_coverage(items: DataFrame, key: str, group: str, kind: str = "kind", item: str = "item", n_words: int | None = None) -> DataFrame:
     """F-17: group that covers each item first; an item is covered before every later group.
 
     ``covered_before`` of group g is the set of rows with ``first_group < g``; the set itself is never
     repeated per group, so the result stays as large as the number of distinct items.
     """
-    norm = F.when(F.col(kind) == "concept", head_words(item)).otherwise(tx.strip(item))
+    norm = F.when(F.col(kind) == "concept", head_words(item, n_words)).otherwise(tx.strip(item))
     return items.withColumn("__i", norm).filter(F.col("__i") != "").groupBy(key, kind, F.col("__i").alias("item")).agg(
         F.min(group).alias("first_group"), F.count("*").alias("n_mentions"))
 

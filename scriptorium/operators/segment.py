@@ -7,7 +7,7 @@ generator here shuffles unless its contract says so.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -153,7 +153,7 @@ def _pack(parts: Column, step, close) -> Column:
 
 def pack_sentences(df: DataFrame, max_size: int = 3500, prefix: Column | str = "", column: str = "text") -> DataFrame:
     """C-06: greedy packing under a size that counts the prefix; a sentence too long for a
-    chunk of its own is cut and marked ``...``."""
+    chunk of its own goes on in further chunks, so every character is in one."""
     pre = F.lit(prefix) if isinstance(prefix, str) else prefix
     room = F.lit(max_size) - F.length(pre)
 
@@ -163,15 +163,16 @@ def pack_sentences(df: DataFrame, max_size: int = 3500, prefix: Column | str = "
 
     def step(acc: Column, s: Column) -> Column:
         cand = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
-        cut = F.concat(pre, F.left(s, room - 3), F.lit("..."))
-        return (
-            F.when(F.length(cand) <= room, F.struct(acc["done"].alias("done"), cand.alias("cur")))
-            .when(F.length(s) > room, F.struct(
-                F.concat(emit(acc), F.array(cut)).alias("done"), F.lit("").alias("cur")))
-            .otherwise(F.struct(emit(acc).alias("done"), s.alias("cur")))
-        )
+        return F.when(F.length(cand) <= room, F.struct(acc["done"].alias("done"), cand.alias("cur"))).otherwise(
+            F.struct(emit(acc).alias("done"), s.alias("cur")))
+
+    def pieces(s: Column) -> Column:
+        last = F.floor((F.length(s) - 1) / room).cast("int")
+        return F.when(last == 0, F.array(s)).otherwise(F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.substring(s, i * room + 1, room)))
 
     sents = F.filter(F.transform(tx.split_sentences(column), tx.strip), lambda s: s != "")
+    sents = F.flatten(F.transform(sents, pieces))
     return _explode(df, _pack(sents, step, emit), "chunk_no", "chunk", column)
 
 
@@ -195,73 +196,78 @@ BLOCK = "array<struct<kind:string,text:string,figures:array<string>>>"
 CHUNK_TYPE = "array<struct<text:string,figures:array<string>,section_title:string>>"
 
 
-def _pack_one(blocks, size: int, overlap: int) -> list[tuple]:
-    """Pack the ordered blocks of one document; see ``pack_blocks``."""
-    chunks: list[tuple] = []
-    text, figs, title, carry = "", set(), None, ""
-
-    def tail(body: str) -> str:
-        return (body[-overlap:] if len(body) > overlap else body) if overlap > 0 else ""
-
-    def put(body: str, note: str, used: list[str]) -> None:
-        lead = carry if carry and chunks else ""
-        chunks.append((lead + body + note, used, title))
-
-    def flush() -> None:
-        nonlocal text, figs, title, carry
-        if not text.strip():
-            return
-        used = sorted(figs)
-        note = "\nFigures used in this chunk: " + ", ".join(used) if used else ""
-        put(text.rstrip(), note, used)
-        chunks[-1] = (chunks[-1][0].strip(), *chunks[-1][1:])
-        carry = tail(text.strip())
-        text, figs, title = "", set(), None
-
-    for b in blocks:
-        body, used = b["text"] or "", sorted(set(b["figures"] if b["figures"] is not None else []))
-        if b["kind"] == "head":
-            if body:
-                if text and len(text) + len(body) + 2 > size:
-                    flush()
-                text += ("\n" if text else "") + body + "\n"
-                title = body
-        elif len(body) > size:
-            flush()
-            pos = 0
-            while pos < len(body):
-                end = pos + size
-                part = body[pos:end]
-                if end < len(body) and (space := part.rfind(" ")) > 100:
-                    part, end = part[:space], pos + space
-                put(part.strip(), "\n\nFigures used in this chunk: " + ", ".join(used) + "\n" if used else "", used)
-                carry = tail(part.strip())
-                pos = end
-        else:
-            if text and len(text) + len(body) + 1 > size:
-                flush()
-            text += body + "\n"
-            figs.update(used)
-    flush()
-    return chunks
+def _pieces(body: Column, size: int) -> Column:
+    """A long text in pieces of at most ``size`` characters that end at a space where one lies beyond the 100th character."""
+
+    def cut(acc: Column, _: Column) -> Column:
+        window = F.substring(body, acc["at"] + 1, F.lit(size))
+        space = F.length(window) - F.instr(F.reverse(window), " ")
+        n = F.when((acc["at"] + size < F.length(body)) & window.contains(" ") & (space > 100), space).otherwise(F.length(window))
+        return tx.let(n, lambda k: F.when(k > 0, F.struct(
+            F.array_append(acc["parts"], tx.strip(F.substring(body, acc["at"] + 1, k))).alias("parts"), (acc["at"] + k).alias("at"))).otherwise(acc))
+
+    turns = F.sequence(F.lit(0), F.floor(F.length(body) / min(size, 101)).cast("int"))
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
+    return F.aggregate(turns, start, cut, lambda acc: acc["parts"])
+
+
+def _packed_blocks(blocks: Column, size: int, overlap: int) -> Column:
+    """Chunks of one document's blocks, as a fold over them: the chunks so far and the open one."""
+
+    def state(done, text, figs, title, carry) -> Column:
+        return F.struct(done.alias("done"), text.alias("text"), figs.alias("figs"), title.alias("title"), carry.alias("carry"))
+
+    def tail(body: Column) -> Column:
+        return F.right(body, F.lit(overlap)) if overlap > 0 else F.lit("")
+
+    def lead(done: Column, carry: Column) -> Column:
+        return F.when(F.size(done) > 0, carry).otherwise("")
+
+    def chunk(text: Column, figs: Column, title: Column) -> Column:
+        return F.struct(text.alias("text"), figs.alias("figures"), title.alias("section_title"))
+
+    def note(figs: Column, before: str, after: str) -> Column:
+        return F.when(F.size(figs) > 0, F.concat(F.lit(before + "Figures used in this chunk: "), F.array_join(figs, ", "), F.lit(after))).otherwise("")
+
+    def closed(acc: Column) -> Column:
+        used = F.array_sort(F.array_distinct(acc["figs"]))
+        body = tx.strip(F.concat(lead(acc["done"], acc["carry"]), F.regexp_replace(acc["text"], "(?U)\\s+$", ""), note(used, "\n", "")))
+        return F.when(tx.strip(acc["text"]) == "", acc).otherwise(state(
+            F.array_append(acc["done"], chunk(body, used, acc["title"])), F.lit(""), F.array().cast("array<string>"),
+            F.lit(None).cast("string"), tail(tx.strip(acc["text"]))))
+
+    def room(acc: Column, more: Column, next_: Callable[[Column], Column]) -> Column:
+        full = (acc["text"] != "") & (F.length(acc["text"]) + more > size)
+        return tx.let(F.when(full, closed(acc)).otherwise(acc), next_)
+
+    def long(acc: Column, body: Column, figs: Column) -> Column:
+        add = lambda a, part: state(
+            F.array_append(a["done"], chunk(F.concat(lead(a["done"], a["carry"]), part, note(figs, "\n\n", "\n")), figs, a["title"])),
+            a["text"], a["figs"], a["title"], tail(part))
+        return tx.let(closed(acc), lambda a: F.aggregate(_pieces(body, size), a, add))
+
+    def step(acc: Column, b: Column) -> Column:
+        body = F.coalesce(b["text"], F.lit(""))
+        figs = F.array_sort(F.array_distinct(F.coalesce(b["figures"], F.array().cast("array<string>"))))
+        head = room(acc, F.length(body) + 2, lambda a: state(
+            a["done"], F.concat(a["text"], F.when(a["text"] == "", "").otherwise("\n"), body, F.lit("\n")), a["figs"], body, a["carry"]))
+        short = room(acc, F.length(body) + 1, lambda a: state(
+            a["done"], F.concat(a["text"], body, F.lit("\n")), F.concat(a["figs"], figs), a["title"], a["carry"]))
+        return F.when((b["kind"] == "head") & (body == ""), acc).when(b["kind"] == "head", head).when(
+            F.length(body) > size, long(acc, body, figs)).otherwise(short)
+
+    empty = state(F.array().cast(CHUNK_TYPE), F.lit(""), F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(""))
+    return F.aggregate(blocks, empty, step, lambda acc: closed(acc)["done"])
 
 
 def pack_blocks(df: DataFrame, size: int = 4000, overlap: int = 0, blocks: str = "blocks") -> DataFrame:
     """C-08: section-aware packing of head / p / formula blocks into chunks.
 
-    ``blocks`` holds one document's ordered blocks, so the sequential part stays inside a row
-    and documents are packed in parallel in Arrow batches without a shuffle.
+    ``blocks`` holds one document's ordered blocks, so the sequential part is a fold inside the row, without a shuffle.
     """
 
-    @F.pandas_udf(CHUNK_TYPE)
-    def pack(col: pd.Series) -> pd.Series:
-        return pd.Series([
-            [{"text": t, "figures": f, "section_title": s} for t, f, s in _pack_one(bs, size, overlap)]
-            for bs in col
-        ])
-
     keep = [c for c in df.columns if c != blocks]
-    out = df.select(*keep, F.posexplode(pack(F.col(blocks).cast(BLOCK))).alias("chunk_no", "__c"))
+    out = df.select(*keep, F.posexplode(_packed_blocks(F.col(blocks).cast(BLOCK), size, overlap)).alias("chunk_no", "__c"))
     return out.select(*keep, "chunk_no", "__c.*")
 
 

@@ -21,33 +21,33 @@ def union_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def dedupe_evidence(df: DataFrame, key: Sequence[str], order: Sequence[str], prefix: int = 4000, column: str = "text") -> DataFrame:
-    """H-02: first row in ``order`` of each normal text (first ``prefix`` characters), blank texts dropped.
+def dedupe_evidence(df: DataFrame, key: Sequence[str], order: Sequence[str], column: str = "text") -> DataFrame:
+    """H-02: first row in ``order`` of each whole normal text, blank texts dropped.
 
-    Only key, hash and order are grouped; the rows themselves are fetched by their order columns.
+    Rows are grouped by the hash of the text; the aggregate carries the first row and merges copies before the shuffle.
     """
     norm = F.lower(tx.squash(F.coalesce(column, F.lit(""))))
     rest = [c for c in df.columns if c not in key]
-    hashed = df.withColumn("__n", norm).filter(F.col("__n") != "").withColumn("__h", F.sha1(F.left("__n", F.lit(prefix)))).drop("__n")
+    hashed = df.withColumn("__n", norm).filter(F.col("__n") != "").withColumn("__h", F.sha2("__n", 256)).drop("__n")
     kept = hashed.groupBy(*key, "__h").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))
     return kept.select(*key, "__r.*").select(df.columns)
 
 
-def merge_fact_banks(banks: Sequence[DataFrame], key: Sequence[str], order: Sequence[str], prefix: int = 2000, column: str = "line") -> DataFrame:
+def merge_fact_banks(banks: Sequence[DataFrame], key: Sequence[str], order: Sequence[str], column: str = "line") -> DataFrame:
     """H-03: tagged lines of all banks, first of each body kept whatever its tag; untagged lines dropped."""
     tagged = [b.withColumn("bank_no", F.lit(i)) for i, b in enumerate(banks)]
     rows = reduce(DataFrame.unionByName, tagged)
     s = tx.strip(column)
     rows = rows.filter(s.startswith("[") & s.contains("]"))
     tag, body = F.regexp_extract(s, "^([^\\]]*\\])", 1), F.regexp_extract(s, "^[^\\]]*\\]([\\s\\S]*)$", 1)
-    rows = rows.withColumn("__h", F.sha1(F.left(F.lower(tx.squash(body)), F.lit(prefix)))).withColumn(
+    rows = rows.withColumn("__h", F.sha2(F.lower(tx.squash(body)), 256)).withColumn(
         "fact", tx.strip(F.concat(tag, F.lit(" "), tx.strip(body))))
     kept = rows.groupBy(*key, "__h").agg(F.min_by(F.struct("bank_no", *order, "fact"), F.struct("bank_no", *order)).alias("r"))
     return kept.select(*key, "r.*")
 
 
-def merge_edges(edges: DataFrame, cap: int = 3, key: str = "slide_uid", order: Sequence[str] = ("pos",)) -> DataFrame:
-    """H-04: distinct edges, self and untyped ones dropped, the first ``cap`` of each slide.
+def merge_edges(edges: DataFrame, cap: int | None = None, key: str = "slide_uid", order: Sequence[str] = ("pos",)) -> DataFrame:
+    """H-04: distinct edges, self and untyped ones dropped, in order; with ``cap`` the first so many of each slide.
 
     ``edges``: key, src, dst, type, label and the order columns.
     """
@@ -55,7 +55,8 @@ def merge_edges(edges: DataFrame, cap: int = 3, key: str = "slide_uid", order: S
     e = e.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("type") != "") & (F.col("src") != F.col("dst")))
     first = e.groupBy(key, "src", "dst", "type", "label").agg(F.min(F.struct(*order)).alias("__f"))
     w = Window.partitionBy(key).orderBy("__f")
-    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).drop("__f")
+    ranked = first.withColumn("rank", F.row_number().over(w)).drop("__f")
+    return ranked if cap is None else ranked.filter(F.col("rank") <= cap)
 
 
 def first_seen(df: DataFrame, column: str) -> DataFrame:

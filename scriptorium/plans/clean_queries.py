@@ -253,7 +253,7 @@ def b23(t):
 
 
 def _ids(cond: str) -> str:
-    return f"array_to_string(list_slice([x FOR x IN [{q.strip('z')} FOR z IN string_split(text, chr(10))] IF x <> '' AND {cond}], 1, 3), '|')"
+    return f"array_to_string([x FOR x IN [{q.strip('z')} FOR z IN string_split(text, chr(10))] IF x <> '' AND {cond}], '|')"
 
 
 @query("b24_filter_ids", rf"""

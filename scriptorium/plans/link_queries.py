@@ -196,12 +196,12 @@ def d11(t):
 
 @query("d12_supplement_link", f"""
 WITH c AS (SELECT conv_id, turn AS chunk_no, lower(text) AS low FROM conversations WHERE role = 'assistant'),
-s AS (SELECT conv_id, turn AS section_no, unnest(list_slice({q.words('lower(text)')}, 1, 8)) AS term FROM conversations WHERE role = 'user')
+s AS (SELECT conv_id, turn AS section_no, unnest({q.words('lower(text)')}) AS term FROM conversations WHERE role <> 'assistant')
 SELECT conv_id, chunk_no, (SELECT min(section_no) FROM s WHERE s.conv_id = c.conv_id AND contains(c.low, s.term)) AS section_no FROM c""")
 def d12(t):
     c = t.conversations
     chunks = c.filter(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("chunk_no"), "text")
-    secs = c.filter(F.col("role") == "user").select("conv_id", F.col("turn").alias("section_no"), F.col("text").alias("summary"))
+    secs = c.filter(F.col("role") != "assistant").select("conv_id", F.col("turn").alias("section_no"), F.col("text").alias("summary"))
     return link.supplement_link(chunks, secs, "conv_id")
 
 

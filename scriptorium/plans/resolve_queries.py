@@ -77,18 +77,16 @@ def f04(t):
 
 
 @query("f02_primary_per_part", """
-SELECT bullet_id, slide_uid AS primary_slide_uid, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY bullet_id ORDER BY round(score, 9) DESC, priority DESC, slide_uid DESC) AS rn FROM (
-    SELECT l_partkey AS bullet_id, l_suppkey::VARCHAR AS slide_uid, l_quantity / 50 AS priority, (l_quantity / 50) * CASE l_returnflag WHEN 'A' THEN 1.2 WHEN 'N' THEN 0.85 ELSE 1.0 END AS score FROM lineitem)) WHERE rn = 1""".replace(
-    "AS primary_slide_uid, score", "AS primary_slide_uid, round(score, 6) AS score").replace("round(score, 9)", "score"))
+SELECT bullet_id, slide_uid AS primary_slide_uid, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY bullet_id ORDER BY score DESC, priority DESC, idx) AS rn FROM (
+    SELECT l_partkey AS bullet_id, l_suppkey AS idx, l_suppkey::VARCHAR AS slide_uid, l_quantity / 50 AS priority, (l_quantity / 50) * CASE l_returnflag WHEN 'A' THEN 1.2 WHEN 'N' THEN 0.85 ELSE 1.0 END AS score FROM lineitem)) WHERE rn = 1""")
 def f02b(t):
-    """Placement at table scale: parts are bullets, suppliers slides, ties to the larger supplier text."""
+    """Placement at table scale: parts are bullets, suppliers slides in the order of their keys."""
     li = t.lineitem.select(
         F.col("l_partkey").alias("bullet_id"), F.col("l_suppkey").cast("string").alias("slide_uid"), (F.col("l_quantity") / 50).alias("priority"),
         F.when(F.col("l_returnflag") == "A", "strong").when(F.col("l_returnflag") == "N", "weak").otherwise("medium").alias("exclusivity"))
-    s = li.withColumn("score", F.col("priority") * resolve.weight("exclusivity"))
-    best = s.groupBy("bullet_id").agg(F.max(F.struct("score", "priority", "slide_uid")).alias("m"))
-    return best.select("bullet_id", F.col("m.slide_uid").alias("primary_slide_uid"), F.round("m.score", 6).alias("score"))
+    order = t.supplier.select(F.col("s_suppkey").cast("string").alias("slide_uid"), F.col("s_suppkey").alias("idx"))
+    return resolve.primary_per_bullet(li, order, early_bonus=0.0)
 
 
 TOK = lambda x: f"list_distinct([y FOR y IN regexp_extract_all(lower({x}), '[a-z0-9]+') IF length(y) >= 4])"
@@ -238,7 +236,7 @@ def f16(t):
 
 @query("f17_cumulative_coverage", f"""
 SELECT conv_id, kind, item, min(turn) AS first_group, count(*) AS n_mentions FROM (
-  SELECT conv_id, turn, 'concept' AS kind, array_to_string(list_slice({q.words('l')}, 1, 6), ' ') AS item FROM (SELECT conv_id, turn, unnest({q.lines('text')}) AS l FROM conversations)
+  SELECT conv_id, turn, 'concept' AS kind, array_to_string({q.words('l')}, ' ') AS item FROM (SELECT conv_id, turn, unnest({q.lines('text')}) AS l FROM conversations)
   UNION ALL SELECT conv_id, turn, 'keyword', w FROM (SELECT conv_id, turn, unnest({q.words('text')}) AS w FROM conversations)) WHERE item <> '' GROUP BY ALL""")
 def f17(t):
     c = t.conversations

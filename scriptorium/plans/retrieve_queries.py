@@ -64,12 +64,9 @@ def g05(t):
     return retrieve.top_papers(p, tie=["l_orderkey", "l_linenumber"]).drop("year")
 
 
-@query("g06_natural_order", "SELECT doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY substring(source, 4)::INTEGER, doc_id)::INTEGER AS r FROM documents")
+@query("g06_natural_order", "SELECT doc_id, source, 'src' || lpad(substring(source, 4), 20, '0') AS key FROM documents")
 def g06(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy(retrieve.natural_key("source"), "doc_id")
-    return t.documents.select("doc_id", "source", F.row_number().over(w).alias("r"))
+    return retrieve.natural_order(t.documents.select("doc_id", "source", retrieve.natural_key("source").alias("key")), "source")
 
 
 @query("g07_snippet", "SELECT doc_id, left(text, 1000) AS head, right(text, 200) AS tail FROM documents")

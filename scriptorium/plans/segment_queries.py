@@ -84,8 +84,7 @@ def c05(t):
 def packed(parts: str, size: str, prefix: str, fits: str, joined: str, body: str) -> str:
     """Chunks of greedy packing: the state of done chunks and the open one is reduced over the parts."""
     emit = f"CASE WHEN {body} = '' THEN a.done ELSE list_append(a.done, {prefix} || {body}) END"
-    long = f"WHEN length(x.cur) > {size} THEN {{done: list_append({emit}, {prefix} || left(x.cur, {size} - 3) || '...'), cur: ''}}" if prefix != "''" else ""
-    step = f"CASE WHEN {fits} THEN {{done: a.done, cur: {joined}}} {long} ELSE {{done: {emit}, cur: x.cur}} END"
+    step = f"CASE WHEN {fits} THEN {{done: a.done, cur: {joined}}} ELSE {{done: {emit}, cur: x.cur}} END"
     red = f"list_reduce(list_concat([{{done: []::VARCHAR[], cur: ''}}], [{{done: []::VARCHAR[], cur: s}} FOR s IN {parts}]), lambda a, x: {step})"
     return f"(SELECT * EXCLUDE (a), {emit} AS chunks FROM (SELECT *, {red} AS a FROM src))"
 
@@ -93,7 +92,8 @@ def packed(parts: str, size: str, prefix: str, fits: str, joined: str, body: str
 def notion_packed(size: int, prefix: str) -> str:
     room = f"({size} - length({prefix}))"
     joined = "CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || ' ' || x.cur END"
-    return packed(q.sentences("text"), room, prefix, f"length({joined}) <= {room}", joined, "a.cur")
+    pieces = f"flatten([[substring(s, i * {room} + 1, {room}) FOR i IN range(0, (length(s) - 1) // {room} + 1)] FOR s IN {q.sentences('text')}])"
+    return packed(pieces, room, prefix, f"length({joined}) <= {room}", joined, "a.cur")
 
 
 @query("c06_pack_sentences", f"""

@@ -37,7 +37,7 @@ def compare(spark, con, fn, sql, sf) -> tuple[bool, str]:
     spent = time.time() - t0
     got = canonical([tuple(r) for r in raw])
     if sql is None:
-        return True, f"rows={len(got)} spark={spent:.1f}s (no SQL)"
+        return False, f"rows={len(got)} spark={spent:.1f}s: no SQL to compare with"
     rel = con.sql(sql)
     if sorted(rel.columns) != cols:
         return False, f"columns {cols} vs {sorted(rel.columns)}"

@@ -99,7 +99,7 @@ def test_results_conclusions_ids(spark):
     chunks = spark.createDataFrame([(1, 0, "a"), (1, 1, "In summary, b"), (1, 2, "overall"), (2, 0, "x")], "doc_id long, n int, text string")
     assert {r.doc_id: r.conclusion_at for r in clean.first_conclusion(chunks, "doc_id", "n").collect()} == {1: 1, 2: -1}
     ids = clean.filter_ids(spark.createDataFrame([("2301.01234\nabc\n12\ncs.LG\nmath.ST\nq-bio.GN\nstat.ML",)], "raw string"), "category")
-    assert ids.first().ids == ["cs.LG", "math.ST", "q-bio.GN"]
+    assert ids.first().ids == ["cs.LG", "math.ST", "q-bio.GN", "stat.ML"]
 
 
 @pytest.mark.parametrize("variant,want", [("folded", "Ecole_a.b_(c)"), ("basic", "École_a.b_(c)"), ("path", "École!_a.b_(c)"), ("short", "École!_a.b_(c)"), ("title", "École_ab_c")])

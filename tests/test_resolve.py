@@ -143,10 +143,10 @@ def test_plan_checks(spark):
 def test_sets(spark):
     e = spark.createDataFrame([("s", i, a, b, t) for i, (a, b, t) in enumerate([(0, 1, "x"), (0, 1, "x "), (1, 1, "x"), (1, 2, ""), (2, 3, "y"), (3, 4, "y"), (4, 5, "y")])],
                               "slide_uid string, pos int, src int, dst int, type string").withColumn("label", F.lit(None).cast("string"))
-    assert rows(sets.merge_edges(e), "rank", "src", "dst") == [(1, 0, 1), (2, 2, 3), (3, 3, 4)]
+    assert rows(sets.merge_edges(e, 3), "rank", "src", "dst") == [(1, 0, 1), (2, 2, 3), (3, 3, 4)]
     d = spark.createDataFrame([(1, "A  b"), (2, "a B"), (3, " "), (4, "x" * 4000 + "1"), (5, "x" * 4000 + "2")], "n int, text string").withColumn("k", F.lit(1))
     once = sets.dedupe_evidence(d, ["k"], ["n"])
-    assert rows(once, "n") == [(1,), (4,)] and rows(sets.dedupe_evidence(once, ["k"], ["n"]), "n") == [(1,), (4,)]
+    assert rows(once, "n") == [(1,), (4,), (5,)] and rows(sets.dedupe_evidence(once, ["k"], ["n"]), "n") == [(1,), (4,), (5,)]
     c = spark.createDataFrame([(1, "main", 1, "aa"), (1, "main", 2, "bb PARA cc"), (1, "sup", 1, "s"), (2, "main", 1, "x PARA")], "doc_id int, kind string, chunk_no int, text string")
     p = spark.createDataFrame([(1, "PARA"), (2, "PARA")], "doc_id int, para string")
     assert rows(sets.shift_boundary(c, p), "doc_id", "kind", "chunk_no", "text") == [

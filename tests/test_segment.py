@@ -41,16 +41,14 @@ def test_sliding_and_overlap(spark):
 
 def pack(sents, size, prefix):
     done, cur = [], ""
-    for s in sents:
+    room = size - len(prefix)
+    for s in (s[k:k + room] for s in sents for k in range(0, len(s), room)):
         joined = f"{cur} {s}" if cur else s
-        if len(prefix + joined) <= size:
+        if len(joined) <= room:
             cur = joined
             continue
         done += [prefix + cur] if cur else []
         cur = s
-        if len(prefix + s) > size:
-            done.append((prefix + s)[:size - 3] + "...")
-            cur = ""
     return done + ([prefix + cur] if cur else [])
 
 
@@ -60,6 +58,9 @@ def test_packing(spark):
     for i, t in enumerate(ts):
         sents = [s.strip() for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()]
         assert got.get(i, []) == pack(sents, 60, "Notion: n\n\n")
+    giant = " ".join(f"w{k}" for k in range(3000))
+    chunks = by_doc(seg.pack_sentences(docs(spark, giant), 500), "chunk")[0]
+    assert "".join(chunks) == giant and max(map(len, chunks)) <= 500
     got = by_doc(seg.pack_sentences_simple(docs(spark, *ts), 40), "chunk")
     for i, t in enumerate(ts):
         kept = "".join(" ".join(got.get(i, [])).split())
@@ -197,3 +198,60 @@ def test_absurd_numbers_do_not_stop_a_job(spark):
     assert r.slide_from is None and r.slides[0].slide_id is None
     assert seg.split_exercises(docs(spark, f"a {big}. Bcd"), "A").filter("item_no = 1").first().placement is None
     assert seg.find_reference_block(docs(spark, f"References\n{big}. a\n2. b\n3. c")).first().block_start == 0
+
+
+def packed_blocks(blocks, size, overlap):
+    """C-08 by its definition: texts that grow until the next block would not fit, with the tail of the chunk before."""
+    chunks, text, figs, title, carry = [], "", set(), None, ""
+    tail = lambda t: t[-overlap:] if overlap else ""
+    lead = lambda: carry if chunks else ""
+
+    def close():
+        nonlocal text, figs, title, carry
+        if text.strip():
+            used = sorted(figs)
+            note = "\nFigures used in this chunk: " + ", ".join(used) if used else ""
+            chunks.append(((lead() + text.rstrip() + note).strip(), used, title))
+            carry, text, figs, title = tail(text.strip()), "", set(), None
+
+    for kind, body, own in blocks:
+        own = sorted(set(own or []))
+        if kind == "head" and not body:
+            continue
+        if kind != "head" and len(body) > size:
+            close()
+            at = 0
+            while at < len(body):
+                part = body[at:at + size]
+                if at + size < len(body) and part.rfind(" ") > 100:
+                    part = part[:part.rfind(" ")]
+                note = "\n\nFigures used in this chunk: " + ", ".join(own) + "\n" if own else ""
+                chunks.append((lead() + part.strip() + note, own, title))
+                carry, at = tail(part.strip()), at + len(part)
+            continue
+        if text and len(text) + len(body) + (2 if kind == "head" else 1) > size:
+            close()
+        text += ("\n" if text and kind == "head" else "") + body + "\n"
+        if kind == "head":
+            title = body
+        else:
+            figs |= set(own)
+    close()
+    return chunks
+
+
+def test_pack_blocks_against_brute_force(spark):
+    rng = random.Random(9)
+    kinds = ["head", "p", "p", "formula"]
+    cases = []
+    for k in range(60):
+        blocks = [(rng.choice(kinds), " ".join("x" * rng.randint(1, 9) for _ in range(rng.choice([0, 3, 20, 120]))), rng.choice([None, [], ["f2", "f1", "f2"]]))
+                  for _ in range(rng.randint(0, 9))]
+        cases.append((k, blocks))
+    df = spark.createDataFrame(cases, "doc_id long, blocks array<struct<kind:string,text:string,figures:array<string>>>")
+    for size, overlap in ((150, 0), (60, 7), (300, 20)):
+        got = {k: [] for k, _ in cases}
+        for r in sorted(seg.pack_blocks(df, size, overlap).collect(), key=lambda r: (r.doc_id, r.chunk_no)):
+            got[r.doc_id].append((r.text, r.figures, r.section_title))
+        for k, blocks in cases:
+            assert got[k] == packed_blocks(blocks, size, overlap), (k, size)
