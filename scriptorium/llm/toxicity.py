@@ -36,13 +36,15 @@ REPORTING = frozenset("said says quote quoted wrote reported called alleged sagt
 
 def train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows to learn from: ``(doc_id, toxic, text)`` where crc32 of the id modulo 5 is not 0, at most ``SAMPLE`` a class."""
-    lab = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lab = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     lab = lab.where(crc_bucket("doc_id", 5) != 0)
     # in slices, so that no window holds a class and each keeps its share; the bound is SAMPLE + 64 a class
     slice_ = F.pmod(F.xxhash64("doc_id"), F.lit(64))
     own = Window.partitionBy("toxic", slice_).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     lab = lab.withColumn("__k", F.row_number().over(own)).where(F.col("__k") <= -(-SAMPLE // 64)).drop("__k")
-    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").join(lab, "doc_id")
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    # at most 2 (SAMPLE + 64) pairs of numbers, so they travel to the texts and no text is shuffled
+    return texts.join(F.broadcast(lab), "doc_id")
 
 
 def terms(text: str) -> set[str]:
@@ -257,10 +259,12 @@ def independent(rows: DataFrame, keys: int = 4) -> DataFrame:
 
     A row goes if an earlier one, in the order of the texts' hashes, shares one of ``keys`` least hashes of its three-word shingles.
     """
-    rows = rows.mapInArrow(partial(sketched, keys=keys), "y double, text string, " + ", ".join(f"k{k} long" for k in range(keys)))
-    for k in range(keys):
-        rows = rows.withColumn(f"r{k}", F.row_number().over(Window.partitionBy(f"k{k}").orderBy(F.xxhash64("text"))))
-    return rows.where(F.greatest(*[f"r{k}" for k in range(keys)]) == 1).select("y", "text")
+    names = [f"k{k}" for k in range(keys)]
+    rows = rows.mapInArrow(partial(sketched, keys=keys), "y double, text string, " + ", ".join(f"{n} long" for n in names))
+    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("y").alias("y"), F.first(F.struct("text", *names)).alias("r"))
+    seen = rows.select("h", F.posexplode(F.array(*[f"r.{n}" for n in names])).alias("i", "k"))
+    first = seen.groupBy("i", "k").agg(F.min("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(first.where(F.col("n") == keys), "h", "left_semi").select("y", "r.text")
 
 
 def choose(rows: DataFrame) -> list[str]:
