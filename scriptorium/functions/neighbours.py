@@ -1,8 +1,8 @@
 """Previous-row logic that stays even when one key holds a large share of all rows.
 
-A window over a key puts the whole key in one task. Here a key is cut into buckets of its
-numeric order; a window works inside a bucket, and the few rows that cross a border come from a
-table with one row per bucket.
+A window over a key puts the whole key in one task. Here a key's range of order values is cut
+into as many buckets as its row count asks for, whatever the spacing; a window works inside a
+bucket, and the few rows that cross a border come from a table with one row per bucket.
 """
 
 from __future__ import annotations
@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 SPAN = 10_000
 
 
-def _bucketed(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn("__b", F.floor(F.col(order) / span))
+def _bucketed(df: DataFrame, keys: Sequence[str], order: str, span: int) -> DataFrame:
+    """Bucket ``__b`` of each row, about ``span`` rows each where the order is even; rows without an order come first."""
+    at = F.col(order).cast("double")
+    n = df.groupBy(*keys).agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"), F.ceil(F.count(F.lit(1)) / span).alias("__n"))
+    width = F.greatest((F.col("__hi") - F.col("__lo")) / F.col("__n"), F.lit(1e-9))
+    return df.join(n, list(keys)).withColumn("__b", F.coalesce(F.least(F.floor((at - F.col("__lo")) / width), F.col("__n") - 1), F.lit(-1))).drop("__lo", "__hi", "__n")
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: str, cols: Mapping[str, Column], span: int = SPAN) -> DataFrame:
     """Add ``out: value of the row before in the key`` for each of ``cols``, null on a key's first row."""
-    b = _bucketed(df, order, span).withColumn("__v", F.struct(*[c.alias(n) for n, c in cols.items()]))
+    b = _bucketed(df, keys, order, span).withColumn("__v", F.struct(*[c.alias(n) for n, c in cols.items()]))
     at = [*keys, "__b"]
     inside = b.withColumn("__in", F.lag("__v").over(Window.partitionBy(*at).orderBy(order)))
     edges = b.groupBy(*at).agg(F.max_by("__v", order).alias("__last"))
@@ -33,7 +37,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: str, cols: Mapping[str,
 def carried(df: DataFrame, keys: Sequence[str], order: str, cols: Mapping[str, Column], span: int = SPAN) -> DataFrame:
     """Add ``out: latest non-null value up to this row`` for each of ``cols``."""
     at = [*keys, "__b"]
-    b = _bucketed(df, order, span)
+    b = _bucketed(df, keys, order, span)
     for n, c in cols.items():
         b = b.withColumn(n, c)
     w = Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -1,9 +1,10 @@
 """Joins: fuzzy, range, containment and lookup (D).
 
 A comparison of every left row with every right row of a key is never emitted as pairs.
-Both sides are cut into blocks of at most ``BLOCK`` rows by position; one row per block
-pair goes to a scorer that returns only results, and an aggregation merges blocks. A key
-that holds a third of the data therefore becomes many equal tasks, and results stay exact.
+Both sides are cut into blocks of about ``BLOCK`` rows by a hash of the position, so the spacing of
+positions does not matter; one row per block pair goes to a scorer that returns only results, and an
+aggregation merges blocks. The join of blocks is salted, so a key that holds a third of the data
+becomes many equal tasks before pairs exist, and results stay exact.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import similarity as sim
 from scriptorium.functions import text as tx
-from scriptorium.session import BROADCAST_ROWS, broadcast_if_small, spread
+from scriptorium.session import BROADCAST_ROWS, broadcast_if_small, compute_partitions, spread
 
 BLOCK = 256
 
@@ -27,18 +28,29 @@ def _keys(key: str | Sequence[str]) -> list[str]:
 
 
 def blocks(df: DataFrame, key: Sequence[str], pos: str, fields: Sequence[str], name: str, size: int = BLOCK) -> DataFrame:
-    """Rows of a key to arrays of at most ``size`` rows; ``pos`` numbers the rows of a key."""
+    """Rows of a key to arrays of about ``size`` rows in no order; ``pos`` numbers the rows of a key, with gaps or without."""
     item = F.struct(F.col(pos).cast("long").alias("pos"), *fields)
-    return df.groupBy(*key, F.floor(F.col(pos) / size).alias(f"{name}_block")).agg(
-        F.collect_list(item).alias(f"{name}_items"))
+    dealt = df.join(_block_counts(df, key, size), list(key)).withColumn("__b", F.pmod(F.xxhash64(pos), F.col("__n")))
+    return dealt.groupBy(*key, F.col("__b").alias(f"{name}_block")).agg(F.collect_list(item).alias(f"{name}_items"))
+
+
+def _block_counts(df: DataFrame, key: Sequence[str], size: int) -> DataFrame:
+    return df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).alias("__n"))
 
 
 def block_pairs(left: DataFrame, right: DataFrame, key: Sequence[str], lpos: str, rpos: str,
                 lfields: Sequence[str], rfields: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """Equi-join of block arrays on the key, spread evenly for scoring."""
-    lb = blocks(left, key, lpos, lfields, "l", size)
-    rb = blocks(right, key, rpos, rfields, "r", size)
-    return spread(lb.join(rb, list(key)), *key, "l_block", "r_block")
+    """Equi-join of block arrays on the key, spread evenly for scoring.
+
+    Left blocks are dealt to salts and right blocks copied to each salt in use, at most one per left block, so no
+    task joins all blocks of a hot key.
+    """
+    salts = F.lit(compute_partitions(left.sparkSession)).cast("long")
+    lb = blocks(left, key, lpos, lfields, "l", size).withColumn("__salt", F.pmod("l_block", salts))
+    copies = _block_counts(left, key, size).withColumn("__n", F.least("__n", salts))
+    rb = blocks(right, key, rpos, rfields, "r", size).join(copies, list(key))
+    rb = rb.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
+    return spread(lb.join(rb, [*key, "__salt"]), *key, "l_block", "r_block")
 
 
 MATCH = "array<struct<l:long,r:long,score:double>>"
@@ -328,11 +340,12 @@ def resolve_title(papers: DataFrame, candidates: DataFrame, policy: str = "best>
         raise ValueError(f"unknown policy: {policy}")
     pairs = candidates.join(papers.select(key, "title"), key)
     scored = spread(pairs, key, "cand_rank").withColumn("score", sim.ratio("title", "cand_title"))
-    kept = scored.filter(F.col("score") >= cut if policy == "best>=" else F.col("score") > cut)
+    # The cut is made in the aggregate: a filter would be pushed below the spread and score every pair there as well.
+    over = F.col("score") >= cut if policy == "best>=" else F.col("score") > cut
     row = F.struct("cand_rank", "cand_title", "score")
-    pick = F.min_by(row, "cand_rank") if policy == "first>" else F.max_by(
-        row, F.struct("score", -F.col("cand_rank")))
-    return kept.groupBy(key).agg(pick.alias("m")).select(
+    pick = F.min_by(row, F.when(over, F.col("cand_rank"))) if policy == "first>" else F.max_by(
+        row, F.when(over, F.struct("score", -F.col("cand_rank"))))
+    return scored.groupBy(key).agg(pick.alias("m")).filter(F.col("m").isNotNull()).select(
         key, "m.cand_rank", "m.cand_title", F.round("m.score", 6).alias("score"))
 
 

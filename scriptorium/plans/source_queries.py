@@ -19,9 +19,9 @@ def nodes(t):
 
 
 @query("a03_read_bibliography", """
-SELECT c_nationkey AS doc_id, 'b' || c_custkey AS bib_id, c_name AS title, c_mktsegment AS authors, CASE WHEN c_custkey % 2 = 0 THEN '1999' ELSE 'UNKNOWN' END AS year FROM customer WHERE c_custkey % 5 <> 0""")
+SELECT c_custkey // 20 AS doc_id, 'b' || c_custkey AS bib_id, c_name AS title, c_mktsegment AS authors, CASE WHEN c_custkey % 2 = 0 THEN '1999' ELSE 'UNKNOWN' END AS year FROM customer WHERE c_custkey % 5 <> 0""")
 def a03(t):
-    b = t.customer.select(F.col("c_nationkey").alias("doc_id"), "c_custkey", F.concat(
+    b = t.customer.select(F.floor(F.col("c_custkey") / 20).alias("doc_id"), "c_custkey", F.concat(
         F.lit("ID: b"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.concat(F.lit("\nTitle: "), "c_name")),
         F.lit("\nAuthors: "), "c_mktsegment", F.lit("\nYear: "), F.when(F.col("c_custkey") % 2 == 0, "1999").otherwise("UNKNOWN"), F.lit("\nIDNOS:\n - None")).alias("b"))
     text = b.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "b"))), lambda x: x["b"]), "\n" + "-" * 50 + "\n\n").alias("text"))
@@ -84,12 +84,12 @@ def a11(t):
 
 
 def deck_tables(t):
-    """Regions as decks, nations as groups, customers as slides with one candidate per order."""
-    n = t.nation.select(F.col("n_regionkey").cast("string").alias("deck_id"), F.col("n_nationkey").alias("group_index"), F.col("n_name").alias("group_id"))
-    g = n.select("*", F.col("group_id").alias("group_name"), *[F.lit(None).cast("string").alias(c) for c in ("purpose", "scope", "transition", "supmat_notes")],
+    """25 customers in a row as a deck, their nations as groups, customers as slides with one candidate per order."""
+    c = t.customer.select(F.floor(F.col("c_custkey") / 25).cast("string").alias("deck_id"), "c_custkey", F.col("c_nationkey").alias("group_index"), "c_name")
+    c = c.join(t.nation.select(F.col("n_nationkey").alias("group_index"), F.col("n_name").alias("group_id")), "group_index")
+    g = c.select("deck_id", "group_index", "group_id").distinct().select("*", F.col("group_id").alias("group_name"), *[F.lit(None).cast("string").alias(c) for c in ("purpose", "scope", "transition", "supmat_notes")],
                  F.array(F.lit("Figure 1")).alias("available_figures"))
-    c = t.customer.select(F.col("c_custkey"), F.col("c_nationkey").alias("group_index"), F.col("c_name"))
-    s = n.join(c, "group_index").select("deck_id", "group_index", "group_id", F.col("group_id").alias("group_name"), F.concat("group_id", F.lit("::Slide_"), F.col("c_custkey").cast("string")).alias("slide_uid"),
+    s = c.select("deck_id", "group_index", "group_id", F.col("group_id").alias("group_name"), F.concat("group_id", F.lit("::Slide_"), F.col("c_custkey").cast("string")).alias("slide_uid"),
                                         F.col("c_custkey").cast("int").alias("slide_id"), F.col("c_name").alias("plan"), F.lit("").alias("slide_context"), F.lit(None).cast("string").alias("figure_used"))
     o = t.orders.select(F.col("o_custkey").cast("int").alias("slide_id"), F.col("o_orderkey").cast("int").alias("pos"), F.concat(F.lit("BP_"), F.col("o_orderkey").cast("string")).alias("bullet_id"),
                         (F.col("o_orderkey") % 100 / 100.0).alias("priority"), F.lit("medium").alias("exclusivity"), F.col("o_orderpriority").alias("argument"))
@@ -99,7 +99,7 @@ def deck_tables(t):
 
 
 @query("a12_plan_round_trip", """
-SELECT n_regionkey::VARCHAR AS deck_id, n_name AS group_id, n_name || '::Slide_' || c_custkey AS slide_uid, 'BP_' || o_orderkey AS bullet_id, (o_orderkey % 100) / 100.0::DOUBLE AS priority, o_orderpriority AS argument
+SELECT (c_custkey // 25)::VARCHAR AS deck_id, n_name AS group_id, n_name || '::Slide_' || c_custkey AS slide_uid, 'BP_' || o_orderkey AS bullet_id, (o_orderkey % 100) / 100.0::DOUBLE AS priority, o_orderpriority AS argument
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""".replace("(o_orderkey % 100) / 100.0::DOUBLE", "((o_orderkey % 100) / 100.0)::DOUBLE"))
 def a12(t):
     """Write the nested plan (A-13), read it back (A-12), list its candidates."""
@@ -108,7 +108,7 @@ def a12(t):
 
 
 @query("a13_build_plan_counts", """
-SELECT n_regionkey::VARCHAR AS deck_id, count(DISTINCT n_nationkey)::INTEGER AS n_groups, count(DISTINCT c_custkey)::INTEGER AS n_slides FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+SELECT (c_custkey // 25)::VARCHAR AS deck_id, count(DISTINCT c_nationkey)::INTEGER AS n_groups, count(*)::INTEGER AS n_slides FROM customer GROUP BY 1""")
 def a13(t):
     p = plan.parse_plans(plan.build_plan(deck_tables(t)))
     return p.select("deck_id", F.size("plan.groups").alias("n_groups"), F.aggregate(

@@ -7,6 +7,9 @@ DataFrame logic. Header and references have a regular structure and are read by
 
 from __future__ import annotations
 
+import re
+import xml.etree.ElementTree as ET
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,13 +24,50 @@ XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
 SUPPLEMENT_TYPES = ["annex", "appendix", "supplementary-material", "supplementary"]
 
 
-def _flatten(xml: str) -> list[dict]:
-    """Ordered div, head, p, formula, figure and bibl nodes of one document; none if it does not parse."""
-    import xml.etree.ElementTree as ET
+# An ampersand that opens no entity known to XML.
+BARE_AMP = "&(?!(?:#[0-9]+|#x[0-9A-Fa-f]+|amp|lt|gt|quot|apos);)"
+
+
+class _Tree(ET.TreeBuilder):
+    """Tree that can be closed while elements are open."""
+
+    def __init__(self):
+        super().__init__()
+        self.open: list[str] = []
+
+    def start(self, tag, attrs):
+        self.open.append(tag)
+        return super().start(tag, attrs)
+
+    def end(self, tag):
+        self.open.pop()
+        return super().end(tag)
+
+    def rest(self):
+        while self.open:
+            self.end(self.open[-1])
+        return self.close()
+
 
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError:
+def _parse(xml: str) -> tuple[ET.Element | None, str | None]:
+    """Root of the document and, if it is not well-formed, the reason. What stands before the error is kept."""
+    reason = None
+    for text in (xml, re.sub(BARE_AMP, "&amp;", xml)):
+        tree = _Tree()
+        parser = ET.XMLParser(target=tree)
+        try:
+            parser.feed(text)
+            parser.close()
+            return tree.close(), reason
+        except ET.ParseError as e:
+            reason = reason or str(e)
+    return (tree.rest() if tree.open else None), reason
+
+
+def _flatten(xml: str) -> list[dict]:
+    """Ordered div, head, p, formula, figure and bibl nodes of one document, as far as it can be read."""
+    root, _ = _parse(xml)
+    if root is None:
         return []
     rows: list[dict] = []
     count = {"div": 0, "para": 0}
@@ -80,7 +120,11 @@ def _flatten(xml: str) -> list[dict]:
 
 
 def tei_nodes(df: DataFrame, key: str = "doc_id", column: str = "tei") -> DataFrame:
-    """Node rows of each document in reading order, flattened in Arrow batches."""
+    """Node rows of each document in reading order, flattened in Arrow batches.
+
+    A bare ampersand is text; a document that breaks off or whose tags do not match gives the nodes before that place.
+    ``tei_rejects`` names all such documents.
+    """
 
     @F.pandas_udf(NODE)
     def nodes(col: pd.Series) -> pd.Series:
@@ -89,6 +133,17 @@ def tei_nodes(df: DataFrame, key: str = "doc_id", column: str = "tei") -> DataFr
     return df.select(key, F.inline(nodes(column)))
 
 
+def tei_rejects(df: DataFrame, key: str = "doc_id", column: str = "tei") -> DataFrame:
+    """Documents that are not well-formed: key, ``reason`` and ``n_nodes`` that could be read all the same."""
+
+    @F.pandas_udf("struct<reason:string,n_nodes:int>")
+    def check(col: pd.Series) -> pd.DataFrame:
+        found = [(_parse(x or "")[1], x or "") for x in col]
+        return pd.DataFrame({"reason": [r for r, _ in found], "n_nodes": [len(_flatten(x)) if r else 0 for r, x in found]})
+
+    return df.select(key, check(F.col(column)).alias("c")).select(key, "c.*").filter(F.col("reason").isNotNull())
+
+
 AUTHOR = "struct<persName:struct<forename:array<struct<_VALUE:string,_type:string>>,surname:string>>"
 TITLE = "array<struct<_VALUE:string,_level:string,_type:string>>"
 IDNO = "array<struct<_VALUE:string,_type:string>>"
@@ -110,8 +165,8 @@ def _either(c: Column, kind: str) -> Column:
 
 
 def _cut(c: Column | str, tag: str) -> Column:
-    """The first element of that name as XML text."""
-    return F.regexp_extract(tx.col(c), f"(?s)<{tag}\\b.*?</{tag}>", 0)
+    """The first element of that name as XML text, bare ampersands escaped."""
+    return F.regexp_replace(F.regexp_extract(tx.col(c), f"(?s)<{tag}\\b.*?</{tag}>", 0), BARE_AMP, "&amp;")
 
 
 def tei_metadata(df: DataFrame, key: str = "doc_id", column: str = "tei") -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from scriptorium.functions import similarity as sim
 from scriptorium.operators import link, resolve
 
@@ -198,3 +200,15 @@ def test_passages(spark):
     docs = spark.createDataFrame([(1, " ".join(body[:12]) + "\n" + " ".join(body[12:])), (2, "other")], "doc_id long, text string")
     p = spark.createDataFrame([(7, "zz " + " ".join(body[10:21]).upper()), (8, "short")], "item_id long, text string")
     assert [(r.item_id, r.doc_id, r.word_at, r.line_no, r.n_windows) for r in link.match_passages(p, docs).collect()] == [(7, 1, 10, 0, 2)]
+
+
+def test_blocks_with_sparse_positions_and_a_hot_key(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    left = spark.range(900).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("k"), (F.col("id") * 1000).alias("num"),
+                                   F.concat(F.lit("row "), F.col("id").cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, words)), (F.col("id") % 5 + 1).cast("int"))).alias("text"))
+    blocks = link.blocks(left, ["k"], "num", ["text"], "l", 50).filter("k = 0").collect()
+    assert len(blocks) <= 6 and sum(len(b.l_items) for b in blocks) == 300
+    found = link.best_match(left, left, "k", 0.25, 50).collect()
+    assert len(found) == 900 and all(r.num == r.right_num and r.score == 1.0 for r in found)
+    pairs = link.block_pairs(left, left, ["k"], "num", "num", ["text"], ["text"], 50)
+    assert pairs.filter("k = 0").count() == len(blocks) ** 2

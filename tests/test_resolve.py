@@ -217,3 +217,16 @@ def test_previous_and_carried_across_buckets(spark):
     for span in (7, 10_000):
         assert {(r.k, r.n): r.p for r in previous(df, ["k"], "n", {"p": F.col("n")}, span).collect()} == prev
         assert {(r.k, r.n): r.c for r in carried(df, ["k"], "n", {"c": F.col("v")}, span).collect()} == last
+
+
+def test_buckets_follow_the_rows_and_not_the_spacing(spark):
+    from scriptorium.functions.neighbours import _bucketed, previous
+
+    n = 3000
+    df = spark.range(n).select(F.when(F.col("id") < n // 3, 0).otherwise(F.col("id")).alias("k"), (F.col("id") * 1_000_003).alias("n"))
+    sizes = {(r.k, r["__b"]): r["count"] for r in _bucketed(df, ["k"], "n", 100).groupBy("k", "__b").count().collect() if r.k == 0}
+    assert len(sizes) == 10 and max(sizes.values()) <= 110
+    got = {r.n: r.p for r in previous(df, ["k"], "n", {"p": F.col("n")}, 100).filter("k = 0").collect()}
+    assert got == {i * 1_000_003: (i - 1) * 1_000_003 if i else None for i in range(n // 3)}
+    odd = spark.createDataFrame([(1, None), (1, 5), (1, 3)], "k int, n long")
+    assert {(r.n, r.p) for r in previous(odd, ["k"], "n", {"p": F.col("n")}).collect()} == {(None, None), (3, None), (5, 3)}

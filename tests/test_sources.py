@@ -139,3 +139,20 @@ def test_sentence_stream(spark):
     r = files.parse_sentence_stream(spark.createDataFrame([(1, t)], "pair_id int, text string")).orderBy("rec").collect()
     assert [(x.ok, x.num, x.fig, x.div, x.para, x.text) for x in r] == [
         (True, 1, None, "DIV01", "PARA02", "First one."), (True, 12, "FIG003", None, None, "caption text"), (False, None, None, None, None, ""), (True, 3, None, None, None, "two lines")]
+
+
+def test_tei_that_is_not_well_formed(spark):
+    bare = TEI.replace("First part.", "Salt & pepper &amp; R&D.")
+    cut = TEI[:TEI.index("Extra text of the supplement") + 10]
+    crossed = TEI.replace("</p></div>", "</q></div>", 1)
+    df = spark.createDataFrame([(1, TEI), (2, bare), (3, cut), (4, crossed), (5, "no xml"), (6, None)], "doc_id long, tei string")
+    whole = df.filter("doc_id = 1")
+    count = {r.doc_id: r["count"] for r in tei.tei_nodes(df).groupBy("doc_id").count().collect()}
+    assert count[1] == count[2] and 0 < count[3] < count[1] and 0 < count[4] < count[1] and set(count) == {1, 2, 3, 4}
+    last = tei.tei_nodes(df.filter("doc_id = 3")).orderBy(F.desc("seq")).first()
+    assert last.text.endswith("Extra text")
+    rejects = {r.doc_id: r for r in tei.tei_rejects(df).collect()}
+    assert set(rejects) == {2, 3, 4, 5, 6} and all(r.reason for r in rejects.values())
+    assert [rejects[i].n_nodes for i in (2, 3, 4, 5, 6)] == [count[2], count[3], count[4], 0, 0]
+    assert "Salt & pepper & R&D." in tei.tei_metadata(df.filter("doc_id = 2")).first().abstract
+    assert tei.tei_references(df.filter("doc_id = 2")).count() == tei.tei_references(whole).count()
