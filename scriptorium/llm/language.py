@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +20,7 @@ DOCS, WORDS, STEPS, BATCH = 400, 40_000, 500, 256
 HIDDEN, SPAN = 16, 32
 #: Words a worker remembers, and words of one pass through the network.
 MEMORY, PASS = 400_000, 4096
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
