@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import similarity as sim
 from scriptorium.functions import text as tx
-from scriptorium.session import BROADCAST_ROWS, broadcast_if_small, compute_partitions, spread
+from scriptorium.session import BROADCAST_ROWS, broadcast_if_small, compute_partitions, fits, spread
 
 BLOCK = 256
 
@@ -250,9 +250,8 @@ def link_notions(notions: DataFrame, sentences: DataFrame, threshold: float = 90
     def links(norm: str, index: _NotionIndex) -> list[dict]:
         return [{"notion": index.items[i]["notion"], "line": index.items[i]["line"]} for i in index.links(norm)]
 
-    few = listed.limit(max_local + 1).collect()
-    if len(few) <= max_local:
-        local = spark.sparkContext.broadcast([r.asDict() for r in few])
+    if fits(listed, max_local):
+        local = spark.sparkContext.broadcast([r.asDict() for r in listed.collect()])
 
         @F.pandas_udf(link_type)
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.session import broadcast_if_small, compute_partitions, spread
+from scriptorium.session import broadcast_if_small, compute_partitions, fits, spread
 
 Q_BLOCK, V_BLOCK, MAX_LOCAL_QUERIES, MAX_CELLS = 512, 4096, 20_000, 4_000_000
 
@@ -33,27 +33,36 @@ def _keep_top(ids: np.ndarray, raw: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scan_stores(queries: list, batches):
-    """Running top-k of every query over the vectors of one partition, in constant memory per query."""
+    """Running top-k of every query over the vectors of one partition, in constant memory per query.
+
+    A query with its k found keeps their least score as a floor; one comparison of the score matrix with the floors leaves
+    the few scores that can still matter.
+    """
     stores: dict[str, tuple] = {}
     for store in {q["__s"] for q in queries}:
         mine = [q for q in queries if q["__s"] == store]
         stores[store] = (mine, np.array([q["embedding"] for q in mine], dtype="float64"),
-                         [(np.empty(0, "int64"), np.empty(0)) for _ in mine])
+                         [(np.empty(0, "int64"), np.empty(0)) for _ in mine], np.full(len(mine), -np.inf))
     for pdf in batches:
         for store, part in pdf.groupby("__s"):
             if store not in stores:
                 continue
-            mine, matrix, best = stores[store]
+            mine, matrix, best, floor = stores[store]
             ids, vectors = part["vec_id"].to_numpy("int64"), np.array(part["embedding"].tolist(), dtype="float64")
             width = max(1, MAX_CELLS // len(mine))
             for at in range(0, len(ids), width):
                 scores = matrix @ vectors[at:at + width].T
-                for i, q in enumerate(mine):
-                    all_ids = np.concatenate([best[i][0], ids[at:at + width]])
-                    all_raw = np.concatenate([best[i][1], scores[i]])
-                    keep = _keep_top(all_ids, all_raw, int(q["k"]))
+                may = ~(scores < floor[:, None])
+                for i in np.flatnonzero(may.any(axis=1)):
+                    new, k = np.flatnonzero(may[i]), int(mine[i]["k"])
+                    all_ids = np.concatenate([best[i][0], ids[at:at + width][new]])
+                    all_raw = np.concatenate([best[i][1], scores[i][new]])
+                    keep = _keep_top(all_ids, all_raw, k)
                     best[i] = (all_ids[keep], all_raw[keep])
-    for store, (mine, _, best) in stores.items():
+                    if len(keep) == k > 0:
+                        # scores compare at 9 decimals, so one that ties after rounding lies above this
+                        floor[i] = all_raw[keep].min() - 2e-9
+    for store, (mine, _, best, _) in stores.items():
         rows = [(store, q["query_id"], int(q["k"]), int(v), float(r)) for q, (vs, rs) in zip(mine, best) for v, r in zip(vs, rs)]
         yield pd.DataFrame(rows, columns=["__s", "query_id", "k", "vec_id", "raw"])
 
@@ -69,9 +78,8 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
     q = queries.select(F.col(store) if store else F.lit("all"), "query_id", "embedding", F.col("k").cast("long").alias("k")).toDF("__s", "query_id", "embedding", "k")
     v = vectors.select(F.col(store) if store else F.lit("all"), "vec_id", "embedding").toDF("__s", "vec_id", "embedding")
     qtype = dict(queries.dtypes)["query_id"]
-    few = q.limit(MAX_LOCAL_QUERIES + 1).collect()
-    if len(few) <= MAX_LOCAL_QUERIES:
-        local = queries.sparkSession.sparkContext.broadcast([r.asDict() for r in few])
+    if fits(q, MAX_LOCAL_QUERIES):
+        local = queries.sparkSession.sparkContext.broadcast([r.asDict() for r in q.collect()])
         hits = v.mapInPandas(lambda batches: _scan_stores(local.value, batches),
                              f"__s string, query_id {qtype}, k long, vec_id long, raw double")
     else:

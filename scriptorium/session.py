@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only when a count proves it below this many rows.
-BROADCAST_ROWS = 200_000
+# A side is broadcast only when a probe proves it within this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def build_session(app: str = "scriptorium", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,14 +27,26 @@ def build_session(app: str = "scriptorium", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the table is proven to hold at most ``max_rows`` rows.
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the table holds at most so many rows and bytes; the probe takes no more than ``max_rows + 1`` rows."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            width = width + 8 * F.greatest(F.size(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + F.octet_length(F.to_json(F.struct(c)))
+        else:
+            width = width + 8
+    n, size = df.select(width.alias("w")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("w")).first()
+    return n <= max_rows and (size or 0) <= max_bytes
 
-    The probe reads no more than ``max_rows + 1`` rows; beyond it the frame is returned
-    unhinted, so the planner joins by shuffle.
-    """
-    few = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only if ``fits`` proves the table small; else the planner joins by shuffle."""
+    return F.broadcast(df) if fits(df, max_rows) else df
 
 
 def reuse(df: DataFrame) -> DataFrame:

@@ -230,3 +230,26 @@ def test_buckets_follow_the_rows_and_not_the_spacing(spark):
     assert got == {i * 1_000_003: (i - 1) * 1_000_003 if i else None for i in range(n // 3)}
     odd = spark.createDataFrame([(1, None), (1, 5), (1, 3)], "k int, n long")
     assert {(r.n, r.p) for r in previous(odd, ["k"], "n", {"p": F.col("n")}).collect()} == {(None, None), (3, None), (5, 3)}
+
+
+def test_knn_floor_over_many_batches(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (400, 4)).astype(float)  # many equal scores
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    q = df.filter("vec_id < 40").select(F.col("vec_id").alias("query_id"), "embedding", F.lit(3).alias("k"))
+    want = {(i, j) for i in range(40) for j in sorted(range(400), key=lambda j: (-float(v[i] @ v[j]), j))[:3]}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        assert {(r.query_id, r.vec_id) for r in retrieve.knn(q, df.coalesce(2)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_size_probe_counts_rows_and_bytes(spark):
+    from scriptorium.session import fits
+
+    df = spark.range(10).select("id", F.repeat(F.lit("x"), 100).alias("t"), F.array(F.col("id")).alias("a"), F.struct("id").alias("s"))
+    assert fits(df) and fits(df, 10) and not fits(df, 9)
+    assert fits(df, max_bytes=2000) and not fits(df, max_bytes=1000)
+    assert fits(df.filter("false"), 0)
