@@ -373,6 +373,33 @@ def test_substring(spark, scratch):
     assert substring.repeated_passages(frame(spark, []), scratch).count() == 0
 
 
+def test_substring_passages_of_one_chain(spark, scratch):
+    """Two passages with 30 to 80 other words between them, and a passage with a chance seed after it."""
+    rng, rows, want = random.Random(21), [], {}
+    for n, gap in enumerate((30, 40, 60, 80)):
+        one, two = words(rng, 60), words(rng, 60)
+        for d in (0, 1):
+            rows.append((2 * n + d, " ".join([words(rng, 80), one, words(rng, gap), two, words(rng, 80)]), "en", "s"))
+        want[2 * n] = [one, two]
+    one, seed = words(rng, 60), words(rng, 5)
+    rows += [(10 + d, " ".join([words(rng, 80), one, words(rng, 40), seed, words(rng, 80)]), "en", "s") for d in (0, 1)]
+    want[10] = [one]
+    got, text = substring.repeated_passages(frame(spark, rows), scratch).collect(), {i: t for i, t, *_ in rows}
+    for i, passages in want.items():
+        found = [text[i + 1][r["start"]:r["stop"]].split() for r in got if (r["doc_id"], r["other_id"]) == (i + 1, i)]
+        for p in passages:
+            assert any(substring.common(p.split(), f) >= 58 for f in found), (i, len(found))
+    for r in got:
+        a, b = text[r["doc_id"]][r["start"]:r["stop"]].split(), text[r["other_id"]][r["other_start"]:r["other_stop"]].split()
+        assert min(len(a), len(b)) >= 50 and 2 * substring.common(a, b) >= 0.8 * (len(a) + len(b))
+    for _ in range(100):
+        a, b = [rng.choice("abc") for _ in range(rng.randint(0, 12))], [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+        i, j = substring.traced(a, b)
+        both = [(x, y) for x, y in zip(i.tolist(), j.tolist()) if x >= 0 and y >= 0]
+        assert len(both) == substring.common(a, b) and all(a[x] == b[y] for x, y in both)
+        assert i[i >= 0].tolist() == list(range(len(a))) and j[j >= 0].tolist() == list(range(len(b)))
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage on its own input, on a fixture of all kinds of documents."""
     import corpus_pipeline as cp
