@@ -400,6 +400,32 @@ def test_substring_passages_of_one_chain(spark, scratch):
         assert i[i >= 0].tolist() == list(range(len(a))) and j[j >= 0].tolist() == list(range(len(b)))
 
 
+@pytest.mark.parametrize("step", [1, 1000, 10**12])
+def test_substring_neighbours_at_any_spacing(spark, scratch, monkeypatch, step):
+    """Two documents with a passage meet although the first occurrences of its seeds are scattered, near or far apart in ids."""
+    rng = random.Random(22)
+    one = words(rng, 60).split()
+    rows = [(k, " ".join([words(rng, 20), *one[5 * k:5 * k + 9], words(rng, 20)]), "en", "s") for k in range(12)]
+    rows += [(k, words(rng, 60), "en", "s") for k in range(12, 60)]
+    rows += [(i, " ".join([words(rng, 60), *one, words(rng, 60)]), "en", "s") for i in (60, 75, 90)]
+    rows = [(i * step - 7 * step, *r) for i, *r in rows]
+    for hot in (1024, 2):
+        monkeypatch.setattr(substring, "HOT", hot)
+        got = substring.repeated_passages(frame(spark, rows), scratch).collect()
+        assert {((r["doc_id"] // step) + 7, (r["other_id"] // step) + 7) for r in got} == {(75, 60), (90, 75)}
+
+
+def test_substring_previous_document(spark):
+    rng = random.Random(23)
+    rows = [(h, d, p, p + 5) for h in range(4) for d in rng.sample(range(-300, 300), 40) for p in rng.sample(range(1000), rng.randint(1, 3))]
+    df = spark.createDataFrame(rows, "h long, doc long, p int, e int")
+    for hot, width in ((False, 1), (True, 1), (True, 50), (True, 10**6)):
+        for r in substring.before(df, ["h"], F.lit(hot), width).collect():
+            docs = [d for h, d, *_ in rows if h == r["h"] and d < r["doc"]]
+            want = min((d, p, e) for h, d, p, e in rows if h == r["h"] and d == max(docs)) if docs else None
+            assert (tuple(r["prev"]) if r["prev"] else None) == want
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage on its own input, on a fixture of all kinds of documents."""
     import corpus_pipeline as cp
