@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from scriptorium.llm import (bpe, embed_dedup, exact_dedup, language, line_dedup, mixing, sharding, simhash, substring,
+from scriptorium.llm import (bpe, embed_dedup, exact_dedup, language, line_dedup, minhash, mixing, sharding, simhash, substring,
                              toxicity)
 from scriptorium.llm.common import Scratch, components, deal
 
@@ -446,6 +446,36 @@ def test_substring_changed_and_periodic(spark, scratch):
     assert found[0] == 5 and found[10] == found[8] == 25 and found[6] >= 24 and found[5] >= 22, found
 
 
+def test_near_copies_of_the_pipeline(spark, scratch, monkeypatch):
+    """Groups against five-word Jaccard 0.8 over all pairs, with hot buckets dealt to small parts too."""
+    import corpus_pipeline as cp
+
+    rng, rows = random.Random(25), odd_rows()
+    for g in range(30):
+        base = words(rng, 150).split()
+        for c in range(8):
+            own = list(base)
+            for k in rng.sample(range(150), c if g % 2 else c // 2):
+                own[k] = words(rng, 1, "xyz")
+            rows.append((1000 + g * 10 + c, " ".join(own), "en", "s"))
+
+    def shingles(text):
+        ws = (text or "").lower().split()
+        return frozenset(tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
+
+    sets = {i: shingles(t) for i, t, *_ in rows if i is not None}
+    near = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = union_find(near, set(sets))
+    for part in (512, 3):
+        monkeypatch.setattr(minhash, "PART_ROWS", part)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(frame(spark, rows), scratch).collect()}
+        assert got == want
+    kept = cp.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert set(kept.columns) == set(frame(spark, []).columns)
+    assert sorted(i for i in (r["doc_id"] for r in kept.collect()) if i is not None) == sorted(set(want.values()))
+    assert minhash.near_groups(frame(spark, []), scratch).count() == 0
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage on its own input, on a fixture of all kinds of documents."""
     import corpus_pipeline as cp
