@@ -37,7 +37,7 @@ def cycle_order(shares_: DataFrame) -> DataFrame:
 
     Block i of a source with ``a`` of ``q`` slots is released at floor(i q / a) and due at ceil((i + 1) q / a). In every slot the
     released block with the earliest deadline goes first, ties to the earlier source; then all deadlines hold, and in every
-    prefix a source is less than one block from its weight. The cycle repeats, so its size depends on ``CYCLE`` and
+    prefix a source is less than one block from its share of the slots; these are rounded weights, so the distance from the weight itself grows with the cycles. The cycle repeats, so its size depends on ``CYCLE`` and
     the number of sources alone; it is computed within one row.
     """
     one = shares_.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "slots"))), lambda s: s["slots"].cast("long")).alias("a"))
