@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import (bpe, embed_dedup, exact_dedup, language, line_dedup, mixing, sharding, simhash, substring,
+from scriptorium.llm import (bpe, embed_dedup, exact_dedup, language, line_dedup, mixing, packing, sharding, simhash, substring,
                              toxicity)
 from scriptorium.llm.common import Scratch
 
@@ -65,7 +65,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), Scratch(spark))
+    return out.pieces.drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_language_id, op3_substring_dedup, op4_embedding_dedup, op5_mix_sources, op6_byte_bpe, op7_toxicity,
-    op8_exact_dedup, op9_shard, op10_simhash_dedup)} | {"pipeline": corpus_pipeline.run}
+    op8_exact_dedup, op9_shard, op10_simhash_dedup, op11_packing)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {"op4_embedding_dedup": embed_dedup.SQL, "op5_mix_sources": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL}
