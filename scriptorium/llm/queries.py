@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import (bpe, embed_dedup, exact_dedup, language, line_dedup, mixing, packing, sharding, simhash, substring,
+from scriptorium.llm import (bpe, embed_dedup, exact_dedup, language, lexical, line_dedup, mixing, negatives, packing, sharding, simhash, substring,
                              toxicity)
 from scriptorium.llm.common import Scratch
 
@@ -70,7 +70,19 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.pieces.drop("row")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector counts under the next label."""
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), Scratch(spark))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"), Scratch(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_language_id, op3_substring_dedup, op4_embedding_dedup, op5_mix_sources, op6_byte_bpe, op7_toxicity,
-    op8_exact_dedup, op9_shard, op10_simhash_dedup, op11_packing)} | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op4_embedding_dedup": embed_dedup.SQL, "op5_mix_sources": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    op8_exact_dedup, op9_shard, op10_simhash_dedup, op11_packing, op12_hard_negatives, op13_ranked_search)} | {"pipeline": corpus_pipeline.run}
+SQL: dict[str, str] = {"op4_embedding_dedup": embed_dedup.SQL, "op5_mix_sources": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL,
+                       "op12_hard_negatives": negatives.SQL, "op13_ranked_search": lexical.SQL}
