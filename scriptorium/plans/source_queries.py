@@ -14,8 +14,12 @@ from scriptorium.session import reuse
 from scriptorium.sources import files, plan, tei
 
 
+def nodes_of(documents):
+    return tei.tei_nodes(derive.tei_documents(documents))
+
+
 def nodes(t):
-    return tei.tei_nodes(derive.tei_documents(t.documents))
+    return nodes_of(t.documents)
 
 
 @query("a03_read_bibliography", """
@@ -170,12 +174,35 @@ def a19(t):
     return files.with_references(t.conversations.select("conv_id", "turn", "text"), refs, "conv_id")
 
 
-@query("c16_supp_boundary", f"""
-SELECT doc_id, boundary IS NOT NULL AS has_boundary FROM (SELECT doc_id, CASE WHEN len({q.lines('text')}) > 12 AND length({q.squash(q.lines('text') + '[13]')}) >= 30 THEN 1 END AS boundary FROM documents)""")
+#: The lines of documents with a supplement: the annex opens as the document does; every third has a heading before it, every
+#: third a paragraph behind the bibliography.
+SUPP_LINES = f"""[CASE WHEN i = 13 THEN ls[1] WHEN i = 6 AND doc_id % 3 = 1 THEN 'Supplementary Methods' ELSE x END FOR x, i IN ls]"""
+SUPP_HEAD = "|".join(segment.SUPPLEMENT_HEADINGS)
+
+
+@query("c16_supp_boundary", rf"""
+WITH d AS (SELECT doc_id, lang, source, {SUPP_LINES} AS ls FROM (SELECT *, {q.lines('text')} AS ls FROM documents)),
+l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS pos FROM d),
+n AS (SELECT doc_id, 0 AS ord, {q.squash("coalesce(ls[1], '') || ' Ann ' || lang")} AS t FROM d UNION ALL SELECT doc_id, 1, source FROM d
+  UNION ALL SELECT doc_id, 10 + pos // 4 * 10 + pos % 4, CASE WHEN pos % 4 = 0 THEN {q.squash('x')} ELSE {q.squash("x || '  [x' || (doc_id % 5) || ']'")} END FROM l
+  UNION ALL SELECT doc_id, 14 + pos // 4 * 10, 'alpha = beta + ' || (pos // 4) || ' (' || (pos // 4) || ')' FROM l WHERE pos % 4 = 0
+  UNION ALL SELECT doc_id, 15 + pos // 4 * 10, {q.squash('left(x, 60)')} FROM l WHERE pos % 4 = 0
+  UNION ALL SELECT doc_id, 1000000 + k, CASE WHEN k < 4 THEN 'Work ' || k || ' of ' || doc_id || ' ' ELSE '' END || 'Ann S' || k || ' ' || source || ' 10.1103/' || doc_id || '.' || k FROM d, range(5) r(k)
+  UNION ALL SELECT doc_id, 2000000, 'see: Fig. 1 of the whole work; ' || lang || '. End' FROM d WHERE doc_id % 3 = 2),
+o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM n WHERE t <> ''),
+b AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY ord) AS full_text,
+    least(min(begins) FILTER (WHERE ord >= 40 AND ord < 1000000 AND n_lines > 12), min(begins) FILTER (WHERE {q.n_words('t')} <= 6 AND regexp_matches(t, '(?i)^(?:{SUPP_HEAD})\b')),
+      min(begins) FILTER (WHERE ord = 2000000) + 5) AS boundary FROM o JOIN (SELECT doc_id, len(ls) AS n_lines FROM d) USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(boundary AS INTEGER) AS boundary, md5(CASE WHEN boundary IS NULL THEN full_text ELSE {q.strip('substr(full_text, 1, CAST(boundary AS BIGINT))')} END) AS main,
+  md5(CASE WHEN boundary IS NULL THEN '' ELSE {q.strip('substr(full_text, CAST(boundary AS BIGINT) + 1)')} END) AS supp FROM b""")
 def c16(t):
-    """The fourth div of the derived TEI is an annex; documents with fewer divs have no supplement."""
-    b = tei.supp_boundary(reuse(nodes(t)))
-    return tei.split_at_boundary(b).select("doc_id", F.col("boundary").isNotNull().alias("has_boundary"))
+    """The fourth div is an annex whose heading repeats the first; some documents have a heading before it, some a paragraph after the references."""
+    ls = F.transform(tx.lines("text"), lambda x, i: F.when(i == 12, derive.first_line()).when((i == 5) & (F.col("doc_id") % 3 == 1), "Supplementary Methods").otherwise(x))
+    n = nodes_of(t.documents.withColumn("text", F.array_join(ls, "\n")))
+    behind = t.documents.filter("doc_id % 3 = 2").select("doc_id", F.lit(1 << 30).alias("seq"), F.lit("p").alias("kind"), F.concat(
+        F.lit("see: Fig. 1 of the whole work; "), "lang", F.lit(". End")).alias("text"))
+    b = tei.supp_boundary(n.unionByName(behind, allowMissingColumns=True))
+    return tei.split_at_boundary(b).select("doc_id", "boundary", F.md5("main").alias("main"), F.md5("supp").alias("supp"))
 
 
 @query("tei_to_chunks")

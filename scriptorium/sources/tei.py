@@ -322,45 +322,47 @@ def citation_marks(nodes: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Da
     return sents, marks.select(key, "bib_id", (F.col("b") + F.col("o")).alias("pos"))
 
 
+def first_sentence_at(c: Column) -> Column:
+    """Offset of the first sentence of more than ten characters, or 0 in a text of more than ten characters without one; else null.
+
+    Points of common abbreviations end no sentence.
+    """
+    for short in ("e.g.", "i.e.", "Fig.", "etc."):
+        c = F.regexp_replace(c, "\\b" + short.replace(".", "\\."), short.replace(".", "\u2024"))
+    found = F.nullif(F.regexp_extract(c, "([A-Z0-9][^.!?]{10,}?[.!?])", 1), F.lit(""))
+    return F.coalesce(F.instr(c, found) - 1, F.when(F.length(c) > 10, 0))
+
+
 def supp_boundary(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """C-16: where the supplement starts in the document's running text (0-based), null if nowhere.
 
-    The earliest of four candidates: a div marked as supplement, a short heading or paragraph that
-    opens with a supplement term, a short line that does, and the first sentence after the last
-    bibliography entry. ``full_text`` joins the nodes' texts by newline.
+    ``full_text`` joins the texts of the leaf nodes by newline, so a node starts where the lengths of those before it end, whatever
+    its text; a text that opens like an earlier one is not mistaken for it. The earliest of three places counts: a div marked as
+    supplement, a short heading, paragraph or other line that opens with a supplement term, and the first sentence after the last
+    bibliography entry. A document's text is one cell, so it is bound to 2 GB.
     """
     from scriptorium.operators.segment import SUPPLEMENT_HEADINGS
 
     opens = lambda c: c.rlike("(?i)^(?:" + "|".join(SUPPLEMENT_HEADINGS) + ")\\b")
     t = tx.squash("text")
-    leaf = F.col("kind").isin("head", "p", "formula", "figure", "bibl")
+    leaf = F.col("kind").isin("head", "p", "formula", "figure", "bibl") & (t != "")
     marked = (F.col("kind") == "div") & (F.lower(F.coalesce("typ", F.lit(""))).isin("annex", "appendix", "supplementary")
                                          | F.lower(F.coalesce("n", F.lit(""))).rlike("^s\\d+") | F.lower(F.coalesce("xml_id", F.lit(""))).rlike("^s\\d+"))
-    short = F.col("kind").isin("head", "p") & (tx.word_count(t) <= 6) & opens(t)
     bib_no = F.coalesce(F.nullif(F.regexp_extract("xml_id", "(\\d+)", 1), F.lit("")).try_cast("int"), F.lit(-1))
     docs = nodes.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(leaf & (t != ""), F.struct("seq", t.alias("t"))))), lambda x: x["t"]), "\n").alias("full_text"),
-        F.min_by(t, F.when(marked, F.col("seq"))).alias("struct_text"),
-        F.min_by(t, F.when(short, F.struct(F.when(F.col("kind") == "head", 0).otherwise(1), F.col("seq")))).alias("head_text"),
+        F.array_sort(F.collect_list(F.when(leaf, F.struct("seq", t.alias("t"))))).alias("leaves"),
+        F.array_sort(F.collect_list(F.when(F.col("kind").isin("p", "div", "head", "bibl"), F.struct("seq", "kind")))).alias("parts"),
+        F.min(F.when(marked, F.col("seq"))).alias("marked"),
+        F.min(F.when(leaf & (tx.word_count(t) <= 6) & opens(t), F.col("seq"))).alias("line"),
         F.max_by("seq", F.when(F.col("kind") == "bibl", F.struct(bib_no, -F.col("seq")))).alias("last_bib"))
-    after = nodes.join(docs.select(key, "last_bib"), key).filter(
-        (F.col("seq") > F.col("last_bib")) & F.col("kind").isin("p", "div", "head", "bibl")).groupBy(key).agg(
-        F.min_by(F.struct("kind", t.alias("t")), "seq").alias("nx"))
-    d = docs.join(after.filter(F.col("nx.kind") != "bibl").select(key, F.col("nx.t").alias("next_text")), key, "left")
-    first_line = F.get(F.filter(F.split("full_text", "\n"), lambda x: (tx.word_count(x) <= 6) & opens(x)), F.lit(0))
-    sentence = F.coalesce(F.nullif(F.regexp_extract("next_text", "([A-Z0-9][^.!?]{10,}?[.!?])", 1), F.lit("")), F.left("next_text", F.lit(200)))
-    d = d.withColumn("line_text", first_line).withColumn("after_text", F.when(F.length(sentence) > 10, sentence)).withColumn(
-        "struct_text", F.left("struct_text", F.lit(80)))
-
-    def place(c: str) -> Column:
-        """Exact, then case-insensitive, then by the first 30 characters."""
-        s, full = tx.squash(c), F.col("full_text")
-        tries = [(full, s), (F.lower(full), F.lower(s))]
-        head = F.when(F.length(s) >= 30, F.left(s, F.lit(30)))
-        tries += [(full, head), (F.lower(full), F.lower(head))]
-        return F.when(s != "", F.coalesce(*[F.nullif(F.instr(a, b), F.lit(0)) for a, b in tries]) - 1)
-
-    return d.select(key, "full_text", F.least(*[place(c) for c in ("struct_text", "head_text", "line_text", "after_text")]).alias("boundary"))
+    after = F.get(F.filter("parts", lambda x: x["seq"] > F.col("last_bib")), F.lit(0))
+    docs = docs.withColumn("after", F.when(after["kind"] != "bibl", after["seq"]))
+    at = lambda seq: F.get(F.filter("leaves", lambda x: x["seq"] >= seq), F.lit(0))
+    start = lambda seq: F.when(at(seq).isNotNull(), F.aggregate(
+        F.filter("leaves", lambda x: x["seq"] < seq), F.lit(0), lambda n, x: n + F.length(x["t"]) + 1))
+    behind = start(F.col("after")) + first_sentence_at(at(F.col("after"))["t"])
+    return docs.select(key, F.array_join(F.col("leaves.t"), "\n").alias("full_text"),
+                       F.least(start(F.col("marked")), start(F.col("line")), behind).alias("boundary"))
 
 
 def split_at_boundary(df: DataFrame) -> DataFrame:
