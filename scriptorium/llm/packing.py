@@ -25,8 +25,8 @@ SIZE, END = 2048, 1
 SLACK, CUT = 0.01, 64
 #: Units of text that a worker remembers, and all their ids; full memories start anew.
 UNITS, UNIT_IDS = 1_000_000, 8_000_000
-#: Bytes of text encoded at a time (or one longer text), and pieces ranked by one task.
-SLICE, RANKED = 8 << 20, 100_000
+#: Bytes of text encoded at a time (or one longer text), and pieces of a length that are ranked together.
+SLICE, RANKED = 8 << 20, 512
 
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
@@ -315,7 +315,7 @@ def pack(docs: DataFrame, vocabulary: str, scratch: Scratch, size: int = SIZE, e
     A document is its ids and ``end``; one longer than ``size`` is cut at multiples of it. The histogram of piece lengths, at
     most ``size`` rows, is packed shortest pack first on the driver; each class of alike packs becomes a range of sequences,
     and a piece finds its place by its rank among the pieces of its length. A length may be that of a third of all pieces, so ranks are
-    counted within parts of ``RANKED`` rows. If the packs would be padded by more than ``slack``, pieces are cut to fill them.
+    counted within parts of about ``RANKED`` pieces. If the packs would be padded by more than ``slack``, pieces are cut to fill them.
 
     A null text counts as empty and has the id ``end`` alone. Repeated rows and null ids are rows like others; an empty table
     gives no rows; other columns are not read. The vocabulary is read by the driver and broadcast: its size is fixed.
@@ -331,8 +331,8 @@ def pack(docs: DataFrame, vocabulary: str, scratch: Scratch, size: int = SIZE, e
     pieces = tokens.drop("ids")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     planned = plan(histogram, size, slack)
-    parts = -(-sum(histogram.values()) // RANKED) or 1
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    parts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length long, parts int")
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     base = base.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
