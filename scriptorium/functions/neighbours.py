@@ -1,7 +1,7 @@
-"""Previous-row logic that stays even when one key holds a large share of all rows.
+"""Previous-row logic and ranks that stay even when one key holds a large share of all rows.
 
-A window over a key puts the whole key in one task. Here a key's range of order values is cut
-into as many buckets as its row count asks for, whatever the spacing; a window works inside a
+A window over a key puts the whole key in one task. Here the rows of a key with more than ``SPAN`` rows are
+cut into buckets at quantiles of the order value, however it is spaced; a window works inside a
 bucket, and the few rows that cross a border come from a table with one row per bucket.
 """
 
@@ -12,15 +12,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = 10_000
+#: Rows of a key that one window may hold, and buckets of a key with more.
+SPAN, BUCKETS = 10_000, 256
 
 
 def _bucketed(df: DataFrame, keys: Sequence[str], order: str, span: int) -> DataFrame:
-    """Bucket ``__b`` of each row, about ``span`` rows each where the order is even; rows without an order come first."""
+    """Bucket ``__b`` of each row: 0 in a key with at most ``span`` rows, else one of ``BUCKETS`` by quantile; rows without an order come first."""
     at = F.col(order).cast("double")
-    n = df.groupBy(*keys).agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"), F.ceil(F.count(F.lit(1)) / span).alias("__n"))
-    width = F.greatest((F.col("__hi") - F.col("__lo")) / F.col("__n"), F.lit(1e-9))
-    return df.join(n, list(keys)).withColumn("__b", F.coalesce(F.least(F.floor((at - F.col("__lo")) / width), F.col("__n") - 1), F.lit(-1))).drop("__lo", "__hi", "__n")
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > span).select(*keys)
+    cuts = df.join(large, list(keys), "left_semi").groupBy(*keys).agg(
+        F.percentile_approx(at, [i / BUCKETS for i in range(1, BUCKETS)], 16 * BUCKETS).alias("__cuts"))
+    bucket = F.when(F.col("__cuts").isNull(), 0).when(at.isNull(), -1).otherwise(F.size(F.filter("__cuts", lambda c: c < at)))
+    return df.join(cuts, list(keys), "left").withColumn("__b", bucket).drop("__cuts")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], out: str, span: int = SPAN) -> DataFrame:
+    """Add ``out``: the rank of the row in its key from 1, by ``order`` and then ``ties``."""
+    at = [*keys, "__b"]
+    b = _bucketed(df, keys, order, span)
+    sizes = b.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*at, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(*at).orderBy(order, *ties))
+    return b.withColumn(out, own).join(sizes, at).withColumn(out, (F.col(out) + F.col("__base")).cast("int")).select(*df.columns, out)
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: str, cols: Mapping[str, Column], span: int = SPAN) -> DataFrame:

@@ -124,6 +124,9 @@ class RatioBlock:
 
     def __init__(self, rights: list[str]):
         self.rights = rights
+        self.first: dict[str, int] = {}
+        for j, r in enumerate(rights):
+            self.first.setdefault(r, j)
         self.lengths = np.array([len(r) for r in rights])
         sizes = [len(r) // 8 + 1 for r in rights]
         self.starts = np.cumsum([0, *sizes[:-1]])
@@ -166,7 +169,9 @@ class RatioBlock:
         return None
 
     def best(self, left: str, least: float) -> tuple[int, float] | None:
-        """Most similar right string with a positive ratio of at least ``least``, the first on a tie."""
+        """Most similar right string with a positive ratio of at least ``least``, the first on a tie. Only equal strings have ratio 1."""
+        if (equal := self.first.get(left)) is not None and least <= 1.0:
+            return equal, 1.0
         bounds = self.bounds(left)
         found: tuple[int, float] | None = None
         for j in np.argsort(-bounds, kind="stable").tolist():

@@ -2,8 +2,8 @@
 
 A comparison of every left row with every right row of a key is never emitted as pairs.
 Both sides are cut into blocks of about ``BLOCK`` rows by a hash of the position, so the spacing of
-positions does not matter; one row per block pair goes to a scorer that returns only results, and an
-aggregation merges blocks. The join of blocks is salted, so a key that holds a third of the data
+positions does not matter; one row per pair of blocks goes to a scorer that returns only results, and an
+aggregation merges blocks. Rows are dealt straight to those pairs, so a key that holds a third of the data
 becomes many equal tasks before pairs exist, and results stay exact.
 """
 
@@ -40,17 +40,24 @@ def _block_counts(df: DataFrame, key: Sequence[str], size: int) -> DataFrame:
 
 def block_pairs(left: DataFrame, right: DataFrame, key: Sequence[str], lpos: str, rpos: str,
                 lfields: Sequence[str], rfields: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """Equi-join of block arrays on the key, spread evenly for scoring.
+    """Cells ``(key, l_items, r_items)`` in which every left row of a key meets every right row of it once.
 
-    Left blocks are dealt to salts and right blocks copied to each salt in use, at most one per left block, so no
-    task joins all blocks of a hot key.
+    A key with few rows is one cell. One with many is cut into blocks on both sides, and a row goes to the cells of all blocks of the other
+    side, so a hot key becomes many tasks of bounded size. Rows are dealt straight to their cells: the texts are shuffled once.
     """
-    salts = F.lit(compute_partitions(left.sparkSession)).cast("long")
-    lb = blocks(left, key, lpos, lfields, "l", size).withColumn("__salt", F.pmod("l_block", salts))
-    copies = _block_counts(left, key, size).withColumn("__n", F.least("__n", salts))
-    rb = blocks(right, key, rpos, rfields, "r", size).join(copies, list(key))
-    rb = rb.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
-    return spread(lb.join(rb, [*key, "__salt"]), *key, "l_block", "r_block")
+    ks = list(key)
+    side = lambda df, l, r: df.select(*ks, F.lit(l).alias("__l"), F.lit(r).alias("__r"))
+    counts = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*ks).agg(
+        F.ceil(F.sum("__l") / size).alias("__nl"), F.ceil(F.sum("__r") / size).alias("__nr")).filter("__nl > 0 and __nr > 0")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda pos, n: F.pmod(F.xxhash64(pos), F.col(n))
+    lrows = left.select(*ks, F.col(lpos).alias("__p"), F.struct(F.col(lpos).cast("long").alias("pos"), *lfields).alias("__item")).join(counts, ks)
+    rrows = right.select(*ks, F.col(rpos).alias("__p"), F.struct(F.col(rpos).cast("long").alias("pos"), *rfields).alias("__item")).join(counts, ks)
+    lrows = lrows.select(*ks, own("__p", "__nl").alias("l_block"), every("__nr").alias("r_block"), F.col("__item").alias("__l"))
+    rrows = rrows.select(*ks, every("__nl").alias("l_block"), own("__p", "__nr").alias("r_block"), F.col("__item").alias("__r"))
+    dealt = spread(lrows.unionByName(rrows, allowMissingColumns=True), *ks, "l_block", "r_block")
+    cells = dealt.groupBy(*ks, "l_block", "r_block").agg(F.collect_list("__l").alias("l_items"), F.collect_list("__r").alias("r_items"))
+    return cells.filter((F.size("l_items") > 0) & (F.size("r_items") > 0))
 
 
 MATCH = "array<struct<l:long,r:long,score:double>>"

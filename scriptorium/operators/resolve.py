@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.functions.neighbours import carried, previous
+from scriptorium.functions.neighbours import carried, numbered, previous
 from scriptorium.session import reuse, spread
 
 # Weight of each exclusivity, usage ranks and cut-offs.
@@ -204,15 +204,14 @@ def formula_context(anchored: DataFrame, sentences: DataFrame, n: int = 2, key:
 def interleave(sentences: DataFrame, formulas: DataFrame, key: str = "doc_id") -> DataFrame:
     """F-11: formulas placed after their sentence (``num``) and the stream renumbered from 1.
 
-    New number = old rank of the sentence plus the formulas before it; a window over the document.
+    New number = old rank of the sentence plus the formulas before it; a document with very many sentences is ranked in parts.
     """
     label = F.coalesce("label", F.lit(""))
     text = tx.squash(F.concat(F.when(label != "", F.concat(F.lit("Formula "), label, F.lit(": "))).otherwise("Formula: "), F.col("formula_text")))
     f = formulas.select(key, "num", F.lit(1).alias("kind"), F.col("formula_no").cast("long").alias("seq"),
                         F.concat(F.lit("FORMULA;"), F.col("xml_id")).alias("meta"), text.alias("text"))
     s = sentences.select(key, "num", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), "meta", "text")
-    w = Window.partitionBy(key).orderBy("num", "kind", "seq")
-    return s.unionByName(f).withColumn("new_num", F.row_number().over(w)).select(key, "new_num", "kind", "meta", "text")
+    return numbered(s.unionByName(f), [key], "num", ["kind", "seq"], "new_num").select(key, "new_num", "kind", "meta", "text")
 
 
 def carry_previous(df: DataFrame, key: str, order: str, n: int | None = None, column: str = "text") -> DataFrame:
@@ -377,9 +376,9 @@ class _Blocks:
 
 def check_ranges(plans: DataFrame, key: str = "doc_id") -> DataFrame:
     """F-16: groups whose slide range does not start right after the previous one."""
-    w = Window.partitionBy(key).orderBy("slide_from")
-    want = F.coalesce(F.lag("slide_to").over(w), F.lit(0)) + 1
-    return plans.filter(F.col("slide_from").isNotNull()).withColumn("want", want).filter(F.col("slide_from") != F.col("want")).select(
+    ranged = plans.filter(F.col("slide_from").isNotNull()).select(key, "header", "slide_from", "slide_to")
+    want = F.coalesce("__before", F.lit(0)) + 1
+    return previous(ranged, [key], "slide_from", {"__before": F.col("slide_to")}).withColumn("want", want).filter(F.col("slide_from") != F.col("want")).select(
         key, "header", F.lit("range").alias("kind"), F.concat(F.lit("expected start "), F.col("want").cast("string")).alias("detail"))
 
 

@@ -224,13 +224,21 @@ def f15(t):
 
 @query("f16_check_plan", f"""
 WITH p AS (SELECT conv_id * 1000 + turn AS doc_id, i, x, '===SLIDE_GROUP: Group ' || (i + 1) || ' | Slides ' || (2 * i + 1) || '–' || (2 * i + 2) || '===' AS header FROM {PLAN_LINES}),
+r AS (SELECT *, 2 * i + 1 + (i % 3 = 2)::INTEGER AS f, 2 * i + 2 + (i % 5 = 4)::INTEGER AS e FROM p),
+g AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY f), 0) + 1 AS want FROM r),
 w AS (SELECT *, {q.n_words('x')} AS n FROM p)
-SELECT doc_id, header, 'transition' AS kind, CASE WHEN i % 2 = 0 OR {q.strip('x')} = '' OR lower({q.strip('x')}) IN ('none', 'n/a') THEN 'weak or missing' ELSE 'very short' END AS detail FROM w WHERE i % 2 = 0 OR n < 6
+SELECT doc_id, header, 'range' AS kind, 'expected start ' || want AS detail FROM g WHERE f <> want
+UNION ALL SELECT doc_id, header, 'count', 'declared ' || (e - f + 1) || ', found 2' FROM r WHERE e - f + 1 <> 2
+UNION ALL SELECT doc_id, header, 'transition' AS kind, CASE WHEN i % 2 = 0 OR {q.strip('x')} = '' OR lower({q.strip('x')}) IN ('none', 'n/a') THEN 'weak or missing' ELSE 'very short' END AS detail FROM w WHERE i % 2 = 0 OR n < 6
 UNION ALL SELECT doc_id, header, 'focus', 'slide ' || (2 * i + 1) || ': ' || n || ' words' FROM w WHERE n < 6 OR n > 22
 UNION ALL SELECT doc_id, header, 'focus', 'slide ' || (2 * i + 2) || ': 3 words' FROM w
 UNION ALL SELECT doc_id, NULL, 'figure', 'reused ' || (i % 3) FROM p GROUP BY doc_id, i % 3 HAVING count(*) > 1""")
 def f16(t):
-    p = parsed_plans(t).withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    """Every third group starts a slide late and every fifth ends one late."""
+    i = F.col("slide_from").cast("int") / 2
+    p = parsed_plans(t).withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("i", F.floor(i))
+    p = p.withColumn("slide_from", F.col("slide_from") + (F.col("i") % 3 == 2).cast("int")).withColumn(
+        "slide_to", F.col("slide_to") + (F.col("i") % 5 == 4).cast("int"))
     return resolve.check_plan(p, p)
 
 
