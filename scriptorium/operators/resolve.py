@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.functions.neighbours import carried, numbered, previous
-from scriptorium.session import reuse, spread
+from scriptorium.session import cut, reuse, spread
 
 # Weight of each exclusivity, usage ranks and cut-offs.
 WEIGHTS = {"strong": 1.20, "medium": 1.00, "weak": 0.85}
@@ -286,92 +286,64 @@ def parse_instructions(df: DataFrame, column: str = "line") -> DataFrame:
 
 
 def apply_instructions(right: DataFrame, left: DataFrame, ops: DataFrame, key: str = "pair_id") -> DataFrame:
-    """F-15: right-hand sentence table after the operations.
+    """F-15: right-hand sentence table after the operations, which take effect in order of ``op_no``.
 
     ``right``: key, num, block (null = main), text. ``left``: key, num, text. ``ops``: key, op_no, block, op,
-    what, id, after_type, after_id. Figure operations append to their figure; main operations put
+    what, id, after_type, after_id; ``num`` and ``op_no`` are unique in a key. Figure operations append to their figure; main operations put
     the sentence after its anchor, or at the end when the anchor is unknown.
     Output: key, block, pos (1-based in the block), source, num, text.
+
+    The operations are not replayed one by one. Each row and each operation is an occurrence of a sentence, and an occurrence never
+    moves: it hangs below the anchor's latest earlier occurrence, before what was put there earlier, or at the end of a
+    block. The final order is that of these trees; only the last occurrence of a sentence is seen. Trees become lists by
+    joins, and pointer jumping ranks a list of n occurrences in log n rounds, so one document may be spread over all tasks.
     """
-    rows = right.select(key, F.lit(0).alias("stage"), F.col("num").alias("seq"), "block", F.lit("keep").alias("op"),
-                        F.lit("right").alias("what"), F.col("num").alias("id"), F.lit(None).cast("string").alias("after_type"),
-                        F.lit(None).cast("long").alias("after_id"), "text")
+    main, text = F.lit(None).cast("string"), F.coalesce("text", F.concat(F.lit("[MISSING "), F.upper("what"), F.lit(" "), F.col("id").cast("string"), F.lit("]")))
     source = right.select(key, F.lit("right").alias("what"), F.col("num").alias("id"), "text").unionByName(
         left.select(key, F.lit("left").alias("what"), F.col("num").alias("id"), "text"))
+    # ``o`` names an occurrence: even for rows, odd for operations; ``at`` orders the ends of blocks
+    rows = right.select(key, (F.col("num") * 2).cast("long").alias("o"), F.lit(-(1 << 62)).alias("t"), F.col("num").cast("long").alias("at"),
+                        "block", F.lit("right").alias("what"), F.col("num").cast("long").alias("id"), main.alias("a_what"), F.lit(None).cast("long").alias("a_id"), "text")
+    anchored = F.col("block").isNull() & F.col("after_type").isin("left", "right") & F.col("after_id").isNotNull() & ~(
+        (F.col("after_type") == F.col("what")) & (F.col("after_id") == F.col("id")))
     steps = ops.join(source, [key, "what", "id"], "left").select(
-        key, F.lit(1).alias("stage"), F.col("op_no").alias("seq"), "block", "op", "what", "id", "after_type", "after_id",
-        F.coalesce("text", F.concat(F.lit("[MISSING "), F.upper("what"), F.lit(" "), F.col("id").cast("string"), F.lit("]"))).alias("text"))
-    ordered = spread(rows.unionByName(steps), key).sortWithinPartitions(key, "stage", "seq")
-    names = [key, "block", "pos", "source", "num", "text"]
-
-    def replay(batches):
-        """One document at a time; its blocks are linked lists, so each operation is constant time."""
-        deck = None
-        for pdf in batches:
-            out: list[tuple] = []
-            for r in pdf.itertuples(index=False):
-                k = getattr(r, key)
-                if deck is None or deck.key != k:
-                    out += deck.rows() if deck else []
-                    deck = _Blocks(k)
-                deck.apply(r)
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(deck.rows() if deck else [], columns=names)
-
-    return ordered.mapInPandas(
-        replay, f"{key} {dict(right.dtypes)[key]}, block string, pos int, source string, num long, text string")
-
-
-class _Blocks:
-    """Sentence order of one document as a linked list per block."""
-
-    def __init__(self, key):
-        self.key, self.text, self.next, self.prev, self.home, self.head, self.tail = key, {}, {}, {}, {}, {}, {}
-
-    def _unlink(self, n) -> None:
-        before, after, h = self.prev.pop(n), self.next.pop(n), self.home.pop(n)
-        if before is None:
-            self.head[h] = after
-        else:
-            self.next[before] = after
-        if after is None:
-            self.tail[h] = before
-        else:
-            self.prev[after] = before
-
-    def _link(self, n, h, before) -> None:
-        before = self.tail.get(h) if before is None else before
-        after = None if before is None else self.next[before]
-        self.home[n], self.prev[n], self.next[n] = h, before, after
-        if before is None:
-            self.head[h] = n
-        else:
-            self.next[before] = n
-        if after is None:
-            self.tail[h] = n
-        else:
-            self.prev[after] = n
-
-    def apply(self, r) -> None:
-        block = None if pd.isna(r.block) else r.block
-        node, anchor = (r.what, int(r.id)), None
-        if node in self.home:
-            self._unlink(node)
-        self.text[node] = r.text
-        if r.stage == 1 and block is None and r.after_type in ("left", "right") and not pd.isna(r.after_id):
-            anchor = (r.after_type, int(r.after_id))
-        known = anchor in self.home
-        self._link(node, self.home[anchor] if known else block, anchor if known else None)
-
-    def rows(self) -> list[tuple]:
-        out = []
-        for h, n in self.head.items():
-            pos = 0
-            while n is not None:
-                pos += 1
-                out.append((self.key, h, pos, n[0], n[1], self.text[n]))
-                n = self.next[n]
-        return out
+        key, (F.col("op_no") * 2 + 1).cast("long").alias("o"), F.col("op_no").cast("long").alias("t"), (F.col("op_no") + F.lit(1 << 60)).cast("long").alias("at"), "block", "what",
+        F.col("id").cast("long").alias("id"), F.when(anchored, F.col("after_type")).alias("a_what"), F.when(anchored, F.col("after_id")).cast("long").alias("a_id"), text.alias("text"))
+    occ = cut(rows.unionByName(steps))
+    asked = occ.filter(F.col("a_what").isNotNull()).select(key, F.col("a_what").alias("what"), F.col("a_id").alias("id"), "t", F.lit(None).cast("long").alias("seen"), F.col("o").alias("asker"))
+    events = occ.select(key, "what", "id", "t", F.col("o").alias("seen"), F.lit(None).cast("long").alias("asker")).unionByName(asked)
+    parents = carried(events, [key, "what", "id"], "t", {"parent": F.col("seen")}).filter(F.col("asker").isNotNull() & F.col("parent").isNotNull())
+    below = cut(parents.select(key, F.col("asker").alias("o"), "parent", "t"))
+    places = _tree_places(below, key)
+    last = occ.groupBy(key, "what", "id").agg(F.max_by("o", "t").alias("o"))
+    seen = occ.join(last.select(key, "o"), [key, "o"], "left_semi").join(places, [key, "o"], "left")
+    root = occ.select(key, F.col("o").alias("root"), "block", "at")
+    out = seen.drop("block", "at").withColumn("root", F.coalesce("root", "o")).join(root, [key, "root"])
+    out = out.withColumn("rank", F.coalesce("rank", F.lit(0).cast("long"))).withColumn("home", F.coalesce(F.concat(F.lit("block "), "block"), F.lit("main")))
+    return numbered(out, [key, "home"], "at", ["rank"], "pos").select(key, "block", "pos", F.col("what").alias("source"), F.col("id").alias("num"), "text")
+
+
+def _tree_places(below: DataFrame, key: str) -> DataFrame:
+    """Preorder places in trees of ``(key, o, parent, t)``, later children first: ``(key, o, root, rank)``, the root's rank being 0."""
+    younger = previous(below, [key, "parent"], "t", {"next": F.col("o")})  # the child put there before stands behind
+    first = below.groupBy(key, F.col("parent").alias("o")).agg(F.max_by("o", "t").alias("first"))
+    # behind a subtree comes the next child of the nearest ancestor that has one
+    ends = cut(younger.select(key, "o", F.col("next").alias("to"), F.when(F.col("next").isNull(), F.col("parent")).alias("via")))
+    while not (open_ := ends.filter("to is null and via is not null")).isEmpty():
+        up = ends.select(key, F.col("o").alias("via"), F.col("to").alias("to2"), F.col("via").alias("via2"))
+        moved = open_.join(up, [key, "via"], "left").select(key, "o", F.col("to2").alias("to"), F.when(F.col("to2").isNull(), F.col("via2")).alias("via"))
+        ends = cut(ends.filter("to is not null or via is null").unionByName(moved))
+    nodes = below.select(key, "o").unionByName(first.select(key, "o")).distinct()
+    links = nodes.join(first, [key, "o"], "left").join(ends.select(key, "o", "to"), [key, "o"], "left")
+    # list ranking: how many occurrences follow, and which is the last
+    lists = cut(links.select(key, "o", F.coalesce("first", "to").alias("next"), F.when(F.coalesce("first", "to").isNull(), 0).otherwise(1).cast("long").alias("left"),
+                             F.coalesce("first", "to", "o").alias("end")))
+    while not (open_ := lists.filter("next is not null")).isEmpty():
+        on = lists.select(key, F.col("o").alias("next"), F.col("next").alias("next2"), F.col("left").alias("left2"), F.col("end").alias("end2"))
+        moved = open_.join(on, [key, "next"]).select(key, "o", F.col("next2").alias("next"), (F.col("left") + F.col("left2")).alias("left"), F.col("end2").alias("end"))
+        lists = cut(lists.filter("next is null").unionByName(moved))
+    roots = lists.join(below.select(key, "o"), [key, "o"], "left_anti").select(key, "end", F.col("o").alias("root"), F.col("left").alias("all"))
+    return lists.join(roots, [key, "end"]).select(key, "o", "root", (F.col("all") - F.col("left")).alias("rank"))
 
 
 def check_ranges(plans: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -209,17 +209,26 @@ def f14(t):
 
 
 @query("f15_apply_instructions", f"""
-WITH l AS {LINES}, n AS (SELECT doc_id, max(pos) AS m FROM l GROUP BY 1),
-k AS (SELECT l.doc_id, pos, l AS text, CASE WHEN m > 0 AND pos = m THEN 0.5 ELSE pos END AS ord FROM l JOIN n USING (doc_id))
-SELECT doc_id AS pair_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord)::INTEGER AS pos, text FROM k""")
+WITH l AS {LINES}, n AS (SELECT doc_id, max(pos) + 1 AS n FROM l GROUP BY 1),
+k AS (SELECT doc_id, l AS text, 'right' AS source, pos AS num, CASE WHEN pos % 7 = 5 AND (pos < n - 1 OR n = 1) THEN 'FIG001' END AS block,
+    CASE WHEN pos = 0 THEN 1e9 WHEN pos < n - 1 THEN pos WHEN n > 2 THEN 1.5 ELSE 0.9 END AS ord FROM l JOIN n USING (doc_id)
+  UNION ALL SELECT doc_id, CASE WHEN i = 5 THEN '[MISSING LEFT 5]' ELSE 'left ' || i || ' of ' || n END, 'left', i, CASE WHEN i = 4 THEN 'FIG001' END,
+    CASE i WHEN 2 THEN 0.2 WHEN 3 THEN 0.3 WHEN 4 THEN 1e9 ELSE 1e9 + 1 END FROM n, range(2, 6) r(i))
+SELECT doc_id AS pair_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY ord)::INTEGER AS pos, source, num::BIGINT AS num, text FROM k""")
 def f15(t):
-    """Move the last line of each document after its first."""
+    """Insertions in a row, two moves of the last line, the first line at the end, a figure operation, and an unknown anchor with a missing text."""
+    n = F.size(tx.lines("text"))
+    last = F.when(n > 1, n - 1).cast("string")
     right = t.documents.select(F.col("doc_id").alias("pair_id"), F.posexplode(tx.lines("text")).alias("num", "text")).select(
-        "pair_id", F.col("num").cast("long").alias("num"), F.lit(None).cast("string").alias("block"), "text")
-    raw = t.documents.filter(F.size(tx.lines("text")) > 1).select(F.col("doc_id").alias("pair_id"), F.lit(None).cast("string").alias("block"), F.lit(1).alias("op_no"), F.concat(
-        F.lit("MOVE RIGHT "), (F.size(tx.lines("text")) - 1).cast("string"), F.lit(" (main) AFTER RIGHT 0  # back")).alias("line"))
-    ops = resolve.parse_instructions(raw)
-    return resolve.apply_instructions(right, right.drop("block"), ops).select("pair_id", "pos", "text")
+        "pair_id", F.col("num").cast("long").alias("num"), F.when(F.col("num") % 7 == 5, "FIG001").alias("block"), "text")
+    left = t.documents.filter(n > 0).select(F.col("doc_id").alias("pair_id"), F.explode(F.sequence(F.lit(2).cast("long"), F.lit(4).cast("long"))).alias("num"), n.alias("n")).select(
+        "pair_id", "num", F.concat(F.lit("left "), F.col("num").cast("string"), F.lit(" of "), F.col("n").cast("string")).alias("text"))
+    lines = [F.concat(F.lit("MOVE RIGHT "), last, F.lit(" (main) AFTER RIGHT 0  # back")), F.lit("INSERT LEFT 2 AFTER RIGHT 0"), F.lit("insert left 3 after left 2"),
+             F.when(n > 2, F.concat(F.lit("MOVE RIGHT "), last, F.lit(" AFTER RIGHT 1"))), F.lit("PLACE RIGHT 0 AT END OF DOCUMENT"),
+             F.lit("PLACE LEFT 4 AT BEGINNING OF FIGURE"), F.lit("INSERT LEFT 5 AFTER RIGHT 99999999")]
+    raw = t.documents.filter(n > 0).select(F.col("doc_id").alias("pair_id"), F.posexplode(F.array(*lines)).alias("op_no", "line")).filter("line is not null")
+    ops = resolve.parse_instructions(raw.withColumn("block", F.when(F.col("op_no") == 5, "FIG001")))
+    return resolve.apply_instructions(right, left, ops)
 
 
 @query("f16_check_plan", f"""

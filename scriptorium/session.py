@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,15 +51,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a costly result that feeds several branches.
+def cut(df: DataFrame) -> DataFrame:
+    """Compute the table now and cut its lineage, as loops need.
 
     The result goes to the shared folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
-    costs a read and not a recomputation. Without that folder the frame is returned as it is.
+    costs a read and not a recomputation. Only a local session without that setting gets a folder of its own.
     """
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a costly result that feeds several branches."""
+    return cut(df)
 
 
 def compute_partitions(spark: SparkSession) -> int:

@@ -104,6 +104,52 @@ def test_reorder_and_apply(spark):
     assert got == {None: ["r1", "r3", "r2", "l3", "r4"], "FIG001": ["r8", "r7", "l7"]}
 
 
+def replayed(right, left, ops):
+    """The operations one by one, on plain lists."""
+    texts = {("right", n): t for n, _, t in right} | {("left", n): t for n, t in left}
+    lists, home = {}, {}
+    for n, b, _ in right:
+        lists.setdefault(b, []).append(("right", n))
+        home["right", n] = b
+    for block, what, i, after_type, after_id in ops:
+        node, anchor = (what, i), (after_type, after_id)
+        if node in home:
+            lists[home.pop(node)].remove(node)
+        if block is None and anchor in home:
+            home[node] = home[anchor]
+            at = lists[home[node]]
+            at.insert(at.index(anchor) + 1, node)
+        else:
+            home[node] = block
+            lists.setdefault(block, []).append(node)
+    return {b: [(*n, texts.get(n, f"[MISSING {n[0].upper()} {n[1]}]")) for n in x] for b, x in lists.items() if x}
+
+
+def test_random_operations_against_a_replay(spark):
+    """Long chains of insertions, moves of moved sentences, anchors that move later, unknown anchors and figures."""
+    rights, lefts, steps, want = [], [], [], {}
+    for d in range(12):
+        right = [(n, "FIG" if n % 5 == 4 else None, f"{d}r{n}") for n in range(RNG.randint(0, 12))]
+        left = [(n, f"{d}l{n}") for n in range(30)]
+        ops = [(None, "left", i, "left", i - 1) for i in range(1, 25)] if d == 0 else []
+        for _ in range(0 if d == 1 else 40):
+            ops.append((RNG.choice([None, None, None, "FIG", "NEW"]), RNG.choice(["left", "right"]), RNG.randint(0, 14),
+                        RNG.choice(["left", "right", "end", "fig_begin"]), RNG.randint(0, 14)))
+        ops = [(b, w, i, a, n if a in ("left", "right") else None) for b, w, i, a, n in ops]
+        rights += [(d, *r) for r in right]
+        lefts += [(d, *x) for x in left]
+        steps += [(d, i, b, "move", w, x, a, n) for i, (b, w, x, a, n) in enumerate(ops)]
+        want |= {(d, b): x for b, x in replayed(right, left, ops).items()}
+    out = resolve.apply_instructions(
+        spark.createDataFrame(rights, "pair_id int, num long, block string, text string"), spark.createDataFrame(lefts, "pair_id int, num long, text string"),
+        spark.createDataFrame(steps, "pair_id int, op_no int, block string, op string, what string, id long, after_type string, after_id long"))
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.pair_id, str(r.block), r.pos)):
+        got.setdefault((r.pair_id, r.block), []).append((r.source, r.num, r.text))
+        assert r.pos == len(got[r.pair_id, r.block])
+    assert got == want
+
+
 def test_instruction_text(spark):
     ls = ["INSERT LEFT 003 AFTER RIGHT 002  # no match", "MOVE RIGHT 5 (FIG1 wrong) AFTER LEFT 3", "PLACE RIGHT 007 AT BEGINNING OF FIGURE", "INSERT LEFT 9 AT END OF DOCUMENT", "======", "# note"]
     got = resolve.parse_instructions(spark.createDataFrame([(i, x) for i, x in enumerate(ls)], "n int, line string"))
