@@ -61,14 +61,14 @@ def shuffle_key(c: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, ties: list[str], out: str) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: str, ties: list[str], out: str, bits: int = 12) -> DataFrame:
     """Gapless rank from 0 within ``keys``, which hold no nulls, by the 60-bit key ``order`` and then ``ties``.
 
-    A key may hold a third of all rows, so no window spans a key: rows are numbered within 4,096 ranges of the
-    order key, and a range starts where the counts of the earlier ranges end. The counts are at most 4,096 rows a key.
+    A key may hold a third of all rows, so no window spans a key: rows are numbered within 2^bits ranges of the
+    order key, and a range starts where the counts of the earlier ranges end. The counts are at most 2^bits rows a key.
     """
     part, base = f"{out}__part", f"{out}__base"
-    df = df.withColumn(part, F.shiftright(order, 48).cast("int"))
+    df = df.withColumn(part, F.shiftright(order, 60 - bits).cast("int"))
     totals = df.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(part).alias("__part"),
