@@ -269,6 +269,37 @@ def test_sharding(spark, scratch):
     assert sharding.shard(frame(spark, []), scratch).count() == 0
 
 
+def test_alignment_in_linear_memory(monkeypatch):
+    """Halved alignments are as long as whole ones; two texts of 200,000 words fit in little memory, equal ones cost nothing."""
+    import tracemalloc
+
+    rng = random.Random(33)
+    for k in range(300):
+        a, b = ([rng.choice("abcd"[:rng.randint(1, 4)]) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        if k % 3 == 0:
+            b = a[:5] + b + a[-4:]
+        dp = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                dp[i + 1][j + 1] = dp[i][j] + 1 if x == y else max(dp[i][j + 1], dp[i + 1][j])
+        assert substring.common(a, b) == dp[-1][-1]
+        for table in (1, 40, 1 << 25):
+            monkeypatch.setattr(substring, "TABLE", table)
+            left, right = substring.traced(a, b)
+            both = (left >= 0) & (right >= 0)
+            assert both.sum() == dp[-1][-1] and all(a[i] == b[j] for i, j in zip(left[both], right[both]))
+            assert left[left >= 0].tolist() == list(range(len(a))) and right[right >= 0].tolist() == list(range(len(b)))
+    long = words(rng, 200_000).split()
+    edited = [w if i % 97 else "other" for i, w in enumerate(long)]
+    assert substring.common(long, list(long)) == 200_000 and substring.alike(" ".join(long), " ".join(edited))
+    some, changed = long[:40_000], edited[:40_000]
+    tracemalloc.start()
+    left, right = substring.traced(some, changed)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert ((left >= 0) & (right >= 0)).sum() >= sum(x == y for x, y in zip(some, changed))
+
+
 @pytest.mark.parametrize("size, single", [(2, 0), (5, 0), (2, 1500)])
 def test_sharding_keeps_groups_together(spark, scratch, size, single):
     """All rows in pairs, in fives, and pairs beside unlinked rows: a perfect assignment exists, and nearly all of it is found."""
