@@ -280,53 +280,68 @@ def collect_blocks(df: DataFrame, key: str, order: str, kind: str = "kind", text
         lambda b: F.struct(b["kind"], b["text"], b["figures"])).alias("blocks"))
 
 
-def _recursive(text: str, base: int, size: int, overlap: int, seps: Sequence[str]) -> list[tuple[int, str]]:
-    """(offset, chunk): cut at the coarsest separator present, merge neighbours up to ``size`` with overlap."""
-    sep, rest = next((s, seps[i + 1:]) for i, s in enumerate(seps) if s in text)
-    cuts = [m.start() for m in re.finditer(re.escape(sep), text)] if sep else range(1, len(text))
-    edges = [0, *cuts, len(text)]
-    out: list[tuple[int, str]] = []
-    run: list[tuple[int, str]] = []
-    total = 0
-
-    def close() -> None:
-        body = "".join(p for _, p in run)
-        if body.strip():
-            out.append((run[0][0] + len(body) - len(body.lstrip()), body.strip()))
-
-    for a, b in zip(edges, edges[1:]):
-        if a == b:
-            continue
-        if b - a >= size and rest:
-            close()
-            run, total = [], 0
-            out.extend(_recursive(text[a:b], base + a, size, overlap, rest))
-            continue
-        if run and total + b - a > size:
-            close()
-            while run and (total > overlap or total + b - a > size):
-                total -= len(run.pop(0)[1])
-        run.append((base + a, text[a:b]))
-        total += b - a
-    close()
-    return out
+_PIECES, _RUN = "array<struct<start:int,text:string,done:boolean>>", "array<struct<s:int,t:string>>"
+
+
+def _lead(c: Column) -> Column:
+    """Characters of white space before the text."""
+    return F.length(c) - F.length(F.regexp_replace(c, "^[ \\t\\n\\x0B\\f\\r]+", ""))
+
+
+def _closed(run: Column) -> Column:
+    """The chunk of a run of neighbours, none if it is blank."""
+    return tx.let(F.array_join(F.transform(run, lambda r: r["t"]), ""), lambda body: F.when(tx.strip(body) == "", F.array().cast(_PIECES)).otherwise(
+        F.array(F.struct((run[0]["s"] + _lead(body)).alias("start"), tx.strip(body).alias("text"), F.lit(True).alias("done")))))
+
+
+def _merged(piece: Column, sep: str, size: int, overlap: int) -> Column:
+    """Cut before each separator; neighbours shorter than ``size`` form chunks that share up to ``overlap``, longer ones stay open."""
+    none, empty = F.array().cast(_PIECES), F.array().cast(_RUN)
+    parts = F.transform(F.split(piece["text"], re.escape(sep), -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(sep), p)))
+
+    def step(acc: Column, part: Column) -> Column:
+        n, run, out, pos = F.length(part), acc["run"], acc["out"], acc["pos"]
+        total = F.when(F.size(run) > 0, pos - F.get(run, F.lit(0))["s"]).otherwise(0)
+        long, over = n >= size, (total > 0) & (total + n > size)
+        shared = F.filter(run, lambda r: r["s"] >= pos - F.least(F.lit(overlap), F.lit(size) - n))
+        closed = F.when(F.size(run) > 0, _closed(run)).otherwise(none)
+        open_ = F.array(F.struct(pos.alias("start"), part.alias("text"), F.lit(False).alias("done")))
+        out = F.when(n == 0, out).when(long, F.concat(out, closed, open_)).when(over, F.concat(out, closed)).otherwise(out)
+        more = F.concat(F.when(over, shared).otherwise(run), F.array(F.struct(pos.alias("s"), part.alias("t"))))
+        return F.struct(out.cast(_PIECES).alias("out"), F.when(n == 0, run).when(long, empty).otherwise(more).cast(_RUN).alias("run"), (pos + n).alias("pos"))
+
+    start = F.struct(none.alias("out"), empty.alias("run"), piece["start"].alias("pos"))
+    return F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], F.when(F.size(acc["run"]) > 0, _closed(acc["run"])).otherwise(none)))
+
+
+def _windowed(piece: Column, size: int, overlap: int) -> Column:
+    """A piece without separators in windows of ``size`` characters."""
+    step = size - min(overlap, size - 1)
+    last = F.greatest(F.lit(0), F.ceil((F.length(piece["text"]) - size) / step)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array(F.struct((piece["start"] + i * step).alias("s"), F.substring(piece["text"], i * step + 1, F.lit(size)).alias("t"))))
+    return F.flatten(F.transform(cuts, _closed))
 
 
 def recursive_chunks(df: DataFrame, model: str = "BAAI/bge-small-en-v1.5", size: int | None = None,
                      overlap: int | None = None, column: str = "text") -> DataFrame:
-    """C-09: recursive separator split with the model's preset; ``start`` is the offset of the chunk."""
+    """C-09: recursive separator split with the model's preset; ``start`` is the offset of the chunk.
+
+    The recursion is unrolled: each level cuts the pieces still open at its separator, and what holds none waits for the next level.
+    """
     _, preset_size, preset_overlap = MODEL_PRESETS.get(model, UNKNOWN_MODEL_PRESET)
     limit = preset_size if size is None else size
     shared = preset_overlap if overlap is None else overlap
+    items = F.array(F.struct(F.lit(0).alias("start"), F.coalesce(column, F.lit("")).alias("text"), F.lit(False).alias("done"))).cast(_PIECES)
 
-    @F.pandas_udf("array<struct<start:int,chunk:string>>")
-    def split(col: pd.Series) -> pd.Series:
-        seps = ("\n\n", "\n", ". ", " ", "")
-        return pd.Series([[{"start": i, "chunk": c} for i, c in _recursive(t or "", 0, limit, shared, seps)] for t in col])
+    def cut(sep: str):
+        return lambda x: F.when(x["done"] | ~x["text"].contains(F.lit(sep)), F.array(x)).otherwise(_merged(x, sep, limit, shared))
 
+    for sep in ("\n\n", "\n", ". ", " "):
+        items = F.flatten(F.transform(items, cut(sep)))
+    items = F.flatten(F.transform(items, lambda x: F.when(x["done"], F.array(x)).otherwise(_windowed(x, limit, shared))))
     keep = [c for c in df.columns if c != column]
-    out = df.select(*keep, F.posexplode(split(F.col(column))).alias("chunk_no", "__c"))
-    return out.select(*keep, "chunk_no", "__c.start", "__c.chunk")
+    out = df.select(*keep, F.posexplode(items).alias("chunk_no", "__c"))
+    return out.select(*keep, "chunk_no", "__c.start", F.col("__c.text").alias("chunk"))
 
 
 # --- figures, references, sections ---------------------------------------------------------

@@ -121,7 +121,38 @@ def c08(t):
     return seg.pack_blocks(docs(t).select("doc_id", block.alias("blocks")), 1200, 100).withColumn("figures", F.array_join("figures", ","))
 
 
-@query("c09_recursive_chunks")
+def recursive_sql(size: int, overlap: int) -> str:
+    """The recursion level by level, each level a fold over the pieces of every text that is still open."""
+
+    def chunk(run: str) -> str:
+        body = f"array_to_string([r.t FOR r IN {run}], '')"
+        return (f"CASE WHEN len({run}) = 0 OR {q.strip(body)} = '' THEN [] ELSE [{{'start': ({run})[1].s + length({body}) - length(ltrim({body}, {q.WS})), "
+                f"'text': {q.strip(body)}, 'done': true}}] END")
+
+    items = "[{'start': 0::BIGINT, 'text': text, 'done': false}]"
+    for k, sep in enumerate(("chr(10) || chr(10)", "chr(10)", "'. '", "' '")):
+        a, e, x, n = f"a{k}", f"e{k}", f"x{k}", f"length(e{k}.p)"
+        total = f"CASE WHEN len({a}.run) > 0 THEN {a}.pos - {a}.run[1].s ELSE 0 END"
+        over = f"({total} > 0 AND {total} + {n} > {size})"
+        piece = f"[{{'start': {a}.pos, 'text': {e}.p, 'done': false}}]"
+        out = f"CASE WHEN {n} = 0 THEN {a}.out WHEN {n} >= {size} THEN {a}.out || {chunk(a + '.run')} || {piece} WHEN {over} THEN {a}.out || {chunk(a + '.run')} ELSE {a}.out END"
+        run = (f"CASE WHEN {n} = 0 THEN {a}.run WHEN {n} >= {size} THEN [] ELSE (CASE WHEN {over} THEN [r FOR r IN {a}.run IF r.s >= {a}.pos - least({overlap}, {size} - {n})] "
+               f"ELSE {a}.run END) || [{{'s': {a}.pos, 't': {e}.p}}] END")
+        none = "'out': []::STRUCT(\"start\" BIGINT, \"text\" VARCHAR, done BOOLEAN)[], 'run': []::STRUCT(s BIGINT, t VARCHAR)[]"
+        parts = f"[{{{none}, 'pos': 0::BIGINT, 'p': CASE WHEN i = 1 THEN p ELSE {sep} || p END}} FOR p, i IN string_split({x}.text, {sep})]"
+        fold = f"list_reduce([{{{none}, 'pos': {x}.start, 'p': ''}}] || {parts}, lambda {a}, {e}: {{'out': {out}, 'run': {run}, 'pos': {a}.pos + {n}, 'p': ''}})"
+        done = f"[f.out || {chunk('f.run')} FOR f IN [{fold}]][1]"
+        items = f"flatten(list_transform({items}, lambda {x}: CASE WHEN {x}.done OR NOT contains({x}.text, {sep}) THEN [{x}] ELSE {done} END))"
+    step = size - min(overlap, size - 1)
+    cut = f"substr(y.text, i * {step} + 1, {size})"
+    windows = (f"[{{'start': y.start + i * {step} + length({cut}) - length(ltrim({cut}, {q.WS})), 'text': {q.strip(cut)}, 'done': true}} "
+               f"FOR i IN range(0, 1 + greatest(0, ceil((length(y.text) - {size}) / {step})::BIGINT)) IF {q.strip(cut)} <> '']")
+    items = f"flatten(list_transform({items}, lambda y: CASE WHEN y.done THEN [y] ELSE {windows} END))"
+    return f"""SELECT doc_id, (k - 1)::INTEGER AS chunk_no, c.start::INTEGER AS "start", c.text AS chunk FROM (
+      SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS k FROM (SELECT doc_id, {items} AS cs FROM documents))"""
+
+
+@query("c09_recursive_chunks", recursive_sql(*seg.MODEL_PRESETS["all-MiniLM-L6-v2"][1:]))
 def c09(t):
     return seg.recursive_chunks(docs(t), "all-MiniLM-L6-v2")
 

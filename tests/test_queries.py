@@ -22,7 +22,7 @@ def con():
 
 
 #: Measures that SQL lacks and recursive steps; their operators are tested by brute force in the other modules.
-NO_SQL = {"a10_tei_sentences", "c08_pack_blocks", "c09_recursive_chunks", "d01_best_match", "d02_resolve_claims", "d03_sequence_diff",
+NO_SQL = {"a10_tei_sentences", "c08_pack_blocks", "d01_best_match", "d02_resolve_claims", "d03_sequence_diff",
           "d04_link_notions", "d09_resolve_title", "d10_match_page", "tei_to_chunks", "u01_ratio", "u03_fuzzy_ratios"}
 
 

@@ -93,6 +93,38 @@ def test_recursive_chunks(spark):
     assert seg.recursive_chunks(docs(spark, "x" * 9000), "all-MiniLM-L6-v2").agg(F.max(F.length("chunk"))).first()[0] == 1000
 
 
+def recursive(text, base, size, overlap, seps):
+    """The recursion as it is defined, character by character at the end."""
+    sep, rest = next((s, seps[i + 1:]) for i, s in enumerate(seps) if s in text)
+    pieces = [sep * (i > 0) + p for i, p in enumerate(text.split(sep))] if sep else list(text)
+    out, run, at = [], [], base
+    chunk = lambda: [(run[0][0] + len(b) - len(b.lstrip()), b.strip()) for b in ["".join(p for _, p in run)] if b.strip()]
+    for p in pieces:
+        total = sum(len(x) for _, x in run)
+        if len(p) >= size and rest:
+            out += chunk() + recursive(p, at, size, overlap, rest)
+            run = []
+        elif p:
+            if run and total + len(p) > size:
+                out += chunk()
+                while run and (sum(len(x) for _, x in run) > overlap or sum(len(x) for _, x in run) + len(p) > size):
+                    run.pop(0)
+            run.append((at, p))
+        at += len(p)
+    return out + chunk()
+
+
+def test_recursive_chunks_against_the_recursion(spark):
+    rng = random.Random(8)
+    ts = ["".join(rng.choice(["a", "bc", "defg" * 9, " ", "  ", ". ", "\n", "\n\n", "\t", "é🙂"]) for _ in range(rng.randint(0, 90))) for _ in range(120)] + ["", "x" * 95, " " * 50]
+    for size, overlap in ((12, 4), (25, 0), (40, 30)):
+        got = {}
+        for r in seg.recursive_chunks(docs(spark, *ts), size=size, overlap=overlap).orderBy("doc_id", "chunk_no").collect():
+            got.setdefault(r.doc_id, []).append((r.start, r.chunk))
+        for i, t in enumerate(ts):
+            assert got.get(i, []) == recursive(t, 0, size, overlap, ("\n\n", "\n", ". ", " ", "")), (i, t)
+
+
 def test_safe_sentences(spark):
     t = "See Fig. 3 and e.g. this one of Dr. Smith et al. in the text. It works well here now.\nNo end here (ok sure it is.)\nlower start goes on and on"
     got = by_doc(seg.split_sentences_safe(docs(spark, t), 3), "sentence", "sent_no")[0]
