@@ -41,6 +41,15 @@ def d01(t):
     return link.best_match(left, right, key)
 
 
+@query("d01_best_near_name", """
+SELECT p.p_brand, p.p_partkey AS num, o.right_num, round(2 * length(p_name) / (2 * length(p_name) + 1), 4) AS score
+FROM part p JOIN (SELECT p_brand, p_name, min(p_partkey) AS right_num FROM part GROUP BY ALL) o USING (p_brand, p_name)""")
+def d01b(t):
+    """Every part name against the marked names of its brand: no other name can be as similar as its own with one character more."""
+    left = t.part.select("p_brand", F.col("p_partkey").alias("num"), F.col("p_name").alias("text"))
+    return link.best_match(left, left.withColumn("text", F.concat("text", F.lit("!"))), "p_brand")
+
+
 @query("d02_resolve_claims")
 def d02(t):
     left, right, key = aligned(t)
@@ -79,6 +88,21 @@ def d03b(t):
     return link.sequence_diff(left, left.filter(F.col("num") % 5 != 4), "doc_id").select("doc_id", "num", "kind")
 
 
+@query("d03_near_copies", """
+WITH r AS (SELECT *, 2.0 * length(name) / (2 * length(name) + length(note)) AS ratio FROM (
+  SELECT *, p_name || ' / ' || p_name || ' / ' || p_name AS name, CASE p_partkey % 3 WHEN 0 THEN ' (an edited copy)' WHEN 1 THEN ' (new)' ELSE ' ' || repeat('0', 99) END AS note FROM part))
+SELECT p_partkey AS id, 0::BIGINT AS num, CASE WHEN ratio > 0.7 THEN 1::BIGINT END AS right_num, CASE WHEN ratio > 0.7 THEN round(ratio, 6)::DOUBLE END AS score,
+  CASE WHEN ratio > 0.7 THEN length(note)::INTEGER END AS char_diff, CASE WHEN ratio > 0.7 THEN 'possible_misplaced' ELSE 'missing' END AS kind
+FROM r WHERE ratio <= 0.7 OR length(note) >= 15""")
+def d03c(t):
+    """A part's name against a copy with a long note, with a short one, or with far too much behind it; its brand is the same on both sides."""
+    name = F.concat_ws(" / ", "p_name", "p_name", "p_name")
+    note = F.when(F.col("p_partkey") % 3 == 0, " (an edited copy)").when(F.col("p_partkey") % 3 == 1, " (new)").otherwise(" " + "0" * 99)
+    side = lambda num, name: t.part.select(F.col("p_partkey").alias("id"), F.explode(F.array(
+        F.struct(F.lit(num).cast("long").alias("num"), name.alias("text")), F.struct(F.lit(7).cast("long").alias("num"), F.col("p_brand").alias("text")))).alias("s")).select("id", "s.*")
+    return link.sequence_diff(side(0, name), side(1, F.concat(name, note)), "id").select("id", "num", "right_num", "score", "char_diff", "kind")
+
+
 def part_notions(t):
     return t.part.groupBy(F.col("p_name").alias("notion")).agg(F.min("p_partkey").cast("int").alias("line"))
 
