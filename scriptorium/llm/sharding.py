@@ -77,7 +77,9 @@ def propagate(linked: DataFrame, load: list[int], share: int, turn: int, bits: i
     admitted = F.col("turn") < lookup(allowed, F.col("shard") * shards + F.col("target"))
     moved = moving.withColumn("shard", F.when(admitted, F.col("target")).otherwise(F.col("shard")))
     cols = linked.columns
-    return scratch.keep(moved.select(*cols).union(rows.where("target is null").select(*cols))), int(kept)
+    done = scratch.keep(moved.select(*cols).union(rows.where("target is null").select(*cols)))
+    scratch.drop(held, wish, rows)
+    return done, int(kept)
 
 
 def shard(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,8 +106,10 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, id_col: str =
     bits = max(4, (total // (shards * RANKED)).bit_length())
     best, idle, turn = -1, 0, 0
     while sum(now) and idle < PATIENCE:
-        linked, kept = propagate(linked, now, int(total * (1 + SLACK) / shards) + 1, turn, bits, scratch)
-        now, turn = loads(linked, shards), turn + 1
+        after, kept = propagate(linked, now, int(total * (1 + SLACK) / shards) + 1, turn, bits, scratch)
+        if turn:
+            scratch.drop(linked)
+        linked, now, turn = after, loads(after, shards), turn + 1
         best, idle = max(best, kept), 0 if kept > best else idle + 1
     # exact shares: the fullest shards keep the odd rows
     load = [a + b for a, b in zip(alone, now)]
