@@ -10,7 +10,6 @@ becomes many equal tasks before pairs exist, and results stay exact.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -436,18 +435,18 @@ def anchor_formulas(formulas: DataFrame, sentences: DataFrame, cut: float = 0.55
         out = []
         for fs, ss in zip(lefts, rights):
             order = sorted(ss, key=lambda x: x["pos"])
+            tails = [s for s in order if s["__tail"]]
+            block: sim.RatioBlock | None = None
             rows = []
             for f in fs:
                 a = f["__a"]
                 inside = next((s["pos"] for s in order if a and a in s["__t"]), None)
                 near, best = None, 0.0
-                if a and inside is None:
-                    for s in order:
-                        if not s["__tail"]:
-                            continue
-                        sm = SequenceMatcher(None, a, s["__tail"])
-                        if sm.quick_ratio() > best and (r := sm.ratio()) > best:
-                            near, best = s["pos"], r
+                if a and inside is None and tails:
+                    # the bound tells which tails can reach the cut at all
+                    block = block or sim.RatioBlock([s["__tail"] for s in tails])
+                    if m := block.best(a, cut):
+                        near, best = tails[m[0]]["pos"], m[1]
                 rows.append({"formula_no": f["pos"], "inside": inside, "near": near, "score": best, "last": order[-1]["pos"]})
             out.append(rows)
         return pd.Series(out)

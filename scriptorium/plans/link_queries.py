@@ -240,15 +240,22 @@ def d13(t):
     return link.containing_paragraph(sents, paras)
 
 
+TAIL = lambda x: rf"lower(array_to_string(regexp_extract_all({q.squash(x)}, '{q.WORD}+')[-14:], ' '))"
+
+
 @query("d14_anchor_formulas", f"""
-WITH k AS (SELECT doc_id, {q.lines('text')} AS ls FROM documents)
-SELECT doc_id, list_position([contains(lower(x), lower(a)) FOR x IN ls], true)::BIGINT - 1 AS num, 'contained' AS how FROM (SELECT doc_id, ls, right(ls[len(ls) // 2 + 1], 30) AS a FROM k)""")
+WITH k AS (SELECT doc_id, ls, [{TAIL('x')} FOR x IN ls] AS tails, len(ls) // 2 + 1 AS mid FROM (SELECT doc_id, {q.lines('text')} AS ls FROM documents))
+SELECT doc_id, 1 AS formula_no, list_position([contains(lower(x), lower(right(ls[mid], 30))) FOR x IN ls], true)::BIGINT - 1 AS num, 'contained' AS how FROM k
+UNION ALL SELECT doc_id, 2, list_position(tails, tails[mid])::BIGINT - 1, 'similar' FROM k WHERE tails[mid] <> ''
+UNION ALL SELECT doc_id, 3, len(ls)::BIGINT - 1, 'last' FROM k WHERE len(ls) > 0""")
 def d14(t):
-    """A formula anchored to the end of the middle line of each document."""
-    s = t.documents.select("doc_id", F.posexplode(tx.lines("text")).alias("num", "text"))
-    a = t.documents.select("doc_id", F.lit(1).alias("formula_no"), tx.let(tx.lines("text"), lambda ls: F.right(
-        F.get(ls, (F.size(ls) / 2).cast("int")), F.lit(30))).alias("anchor"))
-    return link.anchor_formulas(a, s).select("doc_id", "num", "how")
+    """Three formulas a document: one behind the middle line, one whose anchor differs from that line's end by a character, one that fits nowhere."""
+    ls, mid = tx.lines("text"), F.get(tx.lines("text"), (F.size(tx.lines("text")) / 2).cast("int"))
+    s = t.documents.select("doc_id", F.posexplode(ls).alias("num", "text"))
+    tail = F.lower(link.tail_words(mid, 14))
+    anchors = F.array(F.right(mid, F.lit(30)), F.when(tail != "", F.concat(tail, F.lit("\u2030"))), F.when(F.size(ls) > 0, F.lit("\u2030" * 9)))
+    a = t.documents.select("doc_id", F.posexplode(anchors).alias("i", "anchor")).filter("i = 0 or anchor is not null")
+    return link.anchor_formulas(a.select("doc_id", (F.col("i") + 1).alias("formula_no"), "anchor"), s).select("doc_id", "formula_no", "num", "how")
 
 
 @query("d15_assign_figures", f"""
