@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scriptorium.operators import retrieve
 from scriptorium.plans import derive
 from scriptorium.plans import sqltext as q
 from scriptorium.plans.registry import query
+from scriptorium.session import shared_folder
 from scriptorium.streaming import ingest
 
 RAW = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -48,6 +51,19 @@ def g02(t):
     return retrieve.retrieve_evidence(s, v, use_sup=True, use_lit=True).drop("text")
 
 
+@query("g03_ingest", "SELECT doc_id, length(text)::INTEGER AS n, md5(text) AS digest FROM documents")
+def g03(t):
+    """Documents that arrive in two lots, the second with other texts for some that are known already."""
+    base = f"{shared_folder(t.spark)}/ingest-{uuid.uuid4().hex}"
+    docs = t.documents.select("doc_id", "text")
+    lots = [docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 <> 0").unionByName(docs.filter("doc_id % 6 = 0").withColumn("text", F.lit("again")))]
+    for lot in lots:
+        lot.write.mode("append").parquet(f"{base}/src")
+        ingest.ingest_incremental(t.spark, f"{base}/src", f"{base}/dst", f"{base}/state", "doc_id long, text string", buckets=16,
+                                  transform=lambda d: d.withColumn("n", F.length("text"))).awaitTermination()
+    return t.spark.read.parquet(f"{base}/dst").select("doc_id", "n", F.md5("text").alias("digest"))
+
+
 @query("g04_cached_compute", """
 SELECT doc_id, length(text)::INTEGER AS n, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'cache' ELSE 'new' END AS origin FROM documents""")
 def g04(t):

@@ -51,18 +51,27 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own; a cluster without it is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute the table now and cut its lineage, as loops need.
 
-    The result goes to the shared folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
-    costs a read and not a recomputation. Only a local session without that setting gets a folder of its own.
+    The result goes to the shared folder, so a lost executor costs a read and not a recomputation.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

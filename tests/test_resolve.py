@@ -241,6 +241,27 @@ def test_incremental_ingest(spark, tmp_path):
     assert rows(spark.read.parquet(dst), "doc_id", "text", "n") == [(1, "a", 1), (2, "b", 1), (3, "ccc", 3)]
 
 
+def test_ingest_reads_touched_buckets_and_survives_replay(spark, tmp_path):
+    src, dst, chk = (str(tmp_path / x) for x in ("src", "dst", "chk"))
+    schema = "doc_id long, text string"
+    run = lambda: ingest.ingest_incremental(spark, src, dst, chk, schema, buckets=16).awaitTermination()
+    spark.createDataFrame([(i, f"t{i}") for i in range(200)], schema).coalesce(1).write.parquet(src)
+    run()
+    spark.createDataFrame([(7, "again"), (1000, "new")], schema).coalesce(1).write.mode("append").parquet(src)
+    run()
+    want = sorted([(i, f"t{i}") for i in range(200)] + [(1000, "new")])
+    assert rows(spark.read.parquet(dst), "doc_id", "text") == want
+    some = ingest.written(spark, dst, [3])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [key_bucket" in plan.replace("isnotnull(key_bucket#", "key_bucket#") or "key_bucket" in plan.split("PartitionFilters")[1][:120]
+    assert 0 < len(some.filter("doc_id >= 0").collect()) < 40
+    # the commit of the last batch is lost: it runs again over its own partitions, even if one of them is gone
+    (tmp_path / "chk" / "commits" / "1").unlink()
+    (tmp_path / "chk" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert rows(spark.read.parquet(dst), "doc_id", "text") == want
+
+
 def test_cache(spark):
     req = spark.createDataFrame([("a",), ("b",), ("b",)], "key string")
     cache = spark.createDataFrame([("a", 1), ("z", 9)], "key string, v int")
