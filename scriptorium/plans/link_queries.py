@@ -290,9 +290,9 @@ def d18(t):
 
 
 @query("d19_papers_by_notion", """
-SELECT p_partkey AS notion, l_orderkey FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 49) ON p_partkey = l_partkey""")
+SELECT p_partkey AS notion, l_orderkey FROM part LEFT JOIN lineitem ON p_partkey = l_partkey""")
 def d19(t):
-    papers = t.lineitem.filter(F.col("l_quantity") > 49).select(F.col("l_partkey").alias("notion"), "l_orderkey")
+    papers = t.lineitem.select(F.col("l_partkey").alias("notion"), "l_orderkey")
     return link.papers_by_notion(papers, t.part.select(F.col("p_partkey").alias("notion")))
 
 

@@ -93,15 +93,15 @@ TOK = lambda x: f"list_distinct([y FOR y IN regexp_extract_all(lower({x}), '[a-z
 
 
 @query("f05_effective_priority", f"""
-WITH u AS (SELECT conv_id, turn, 'B' || turn AS bullet_id, text, {q.lines('text')} AS ls FROM conversations WHERE turn > 0),
+WITH u AS (SELECT conv_id, turn, 'B' || turn AS bullet_id, text FROM conversations WHERE turn > 0),
 s AS (SELECT conv_id, text AS plan, role FROM conversations WHERE turn = 0),
 c AS (SELECT conv_id, 'B' || (turn % 2) AS bullet_id, max((length(text) % 100) / 100.0) AS top FROM conversations WHERE conv_id % 3 > 0 GROUP BY ALL),
-j AS (SELECT u.conv_id, u.bullet_id, top, len(list_intersect({TOK('ls[1]')}, {TOK("plan || ' ' || role")})) AS overlap,
+j AS (SELECT u.conv_id, u.bullet_id, top, len(list_intersect({TOK('text')}, {TOK("plan || ' ' || role")})) AS overlap,
   CASE WHEN u.conv_id % 3 = 0 THEN 0.7 ELSE greatest(0.65, coalesce(top, 0.65)) END AS base FROM u JOIN s USING (conv_id) LEFT JOIN c USING (conv_id, bullet_id))
 SELECT conv_id AS slide_uid, bullet_id, overlap::INTEGER AS overlap, round(greatest(0, least(1, CASE WHEN overlap > 0 THEN least(0.95, base + least(0.15, 0.03 * overlap)) ELSE base END))::DOUBLE, 6) AS priority FROM j""")
 def f05(t):
     c = t.conversations
-    u = c.filter(F.col("turn") > 0).select(F.col("conv_id").alias("slide_uid"), F.concat(F.lit("B"), F.col("turn").cast("string")).alias("bullet_id"), derive.first_line().alias("bullet_text"))
+    u = c.filter(F.col("turn") > 0).select(F.col("conv_id").alias("slide_uid"), F.concat(F.lit("B"), F.col("turn").cast("string")).alias("bullet_id"), F.col("text").alias("bullet_text"))
     cands = c.filter(F.col("conv_id") % 3 > 0).select(F.col("conv_id").alias("slide_uid"), F.concat(F.lit("B"), (F.col("turn") % 2).cast("string")).alias("bullet_id"),
                                                      (F.length("text") % 100 / 100.0).alias("priority"))
     s = c.filter(F.col("turn") == 0).select(F.col("conv_id").alias("slide_uid"), F.col("text").alias("plan"), F.col("role").alias("slide_context"))
@@ -278,12 +278,12 @@ def f19(t):
 
 
 @query("f20_leftover_figures", f"""
-WITH a AS (SELECT DISTINCT g, event_type AS figure, min(event_id) AS fig_no FROM (SELECT *, event_id % 7 AS g FROM events) WHERE g < 6 GROUP BY ALL),
-u AS (SELECT DISTINCT event_id % 7 AS g, event_type AS figure FROM events WHERE event_id % 7 < 6 AND value > 400),
+WITH a AS (SELECT DISTINCT g, event_type AS figure, min(event_id) AS fig_no FROM (SELECT *, event_id % 7 AS g FROM events) GROUP BY ALL),
+u AS (SELECT DISTINCT event_id % 7 AS g, event_type AS figure FROM events WHERE value > 400),
 b AS (SELECT g, arg_max(slide_uid, sid) AS base FROM ({SLIDES_SQL}) GROUP BY 1)
 SELECT 'G' || a.g AS group_id, figure, base || '::Figure_' || row_number() OVER (PARTITION BY a.g ORDER BY fig_no) AS slide_uid FROM a ANTI JOIN u USING (g, figure) JOIN b USING (g)""")
 def f20(t):
-    e = t.events.withColumn("group_id", F.concat(F.lit("G"), (F.col("event_id") % 7).cast("string"))).filter(F.col("event_id") % 7 < 6)
+    e = t.events.withColumn("group_id", F.concat(F.lit("G"), (F.col("event_id") % 7).cast("string")))
     avail = e.groupBy("group_id", F.col("event_type").alias("figure")).agg(F.min("event_id").alias("fig_no"))
     used = e.filter(F.col("value") > 400).select("group_id", F.col("event_type").alias("figure"))
     s = slides(t).withColumn("group_id", F.regexp_extract("slide_uid", "^(G\\d+)", 1))

@@ -172,11 +172,11 @@ def c10(t):
 
 @query("c11_split_panels", f"""
 SELECT doc_id, label, {q.strip('panel')} AS panel FROM (
-  SELECT doc_id, unnest(['a', 'b', 'c']) AS label, unnest(['a) ' || regexp_replace(left(a, 300), '[()]', '', 'g'), 'b) ' || lang || ' second panel', 'C) ' || source || ' third panel']) AS panel
-  FROM (SELECT doc_id, lang, source, {q.strip('ls[1]')} AS a FROM (SELECT *, {q.lines('text')} AS ls FROM documents)))
+  SELECT doc_id, unnest(['a', 'b', 'c']) AS label, unnest(['a) ' || regexp_replace(a, '[()]', '', 'g'), 'b) ' || lang || ' second panel', 'C) ' || source || ' third panel']) AS panel
+  FROM (SELECT doc_id, lang, source, {q.squash('text')} AS a FROM documents))
 WHERE length({q.strip('panel')}) > 10""")
 def c11(t):
-    body = F.regexp_replace(F.left(tx.strip(derive.first_line()), F.lit(300)), "[()]", "")
+    body = F.regexp_replace(tx.squash("text"), "[()]", "")
     d = t.documents.select("doc_id", F.concat(F.lit("(a) "), body, F.lit(" (b) "), F.col("lang"), F.lit(" second panel C) "), F.col("source"), F.lit(" third panel")).alias("text"))
     return seg.split_panels(d).select("doc_id", "label", "panel")
 
@@ -290,12 +290,11 @@ def c22(t):
 
 
 @query("c23_normalize_refs", f"""
-SELECT doc_id, {q.squash('ls[1]')} || ' . (fig fig_' || (doc_id % 4) || ': 3(a)) and (fig 7: Figure 7) (fig unknown: b)' AS text,
+SELECT doc_id, {q.squash('t')} || ' . (fig fig_' || (doc_id % 4) || ': 3(a)) and (fig 7: Figure 7) (fig unknown: b)' AS text,
   array_to_string(list_sort(['fig_' || (doc_id % 4) || ': 3(a)', '7: Figure 7', 'unknown: b']), ',') AS figures
-FROM (SELECT doc_id, {q.lines("translate(text, '<>&()', '     ')")} AS ls FROM documents)""")
+FROM (SELECT doc_id, translate(text, '<>&()', '     ') AS t FROM documents)""")
 def c23(t):
-    line = derive.first_line(F.translate("text", "<>&()", "     "))
-    d = t.documents.select("doc_id", F.concat(line, F.lit(
+    d = t.documents.select("doc_id", F.concat(F.translate("text", "<>&()", "     "), F.lit(
         " <ref type=\"bibr\" target=\"#b1\">[1]</ref>. <ref target=\"#fig_"), (F.col("doc_id") % 4).cast("string"), F.lit(
         "\" type=\"figure\">3(a)</ref> and <ref type=\"figure\">Figure 7</ref> <ref type=\"figure\">b</ref>")).alias("text"))
     return seg.normalize_refs(d).select("doc_id", "text", F.array_join("figures", ",").alias("figures"))
