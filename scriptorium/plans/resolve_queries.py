@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.operators import clean, link, report, resolve, segment
-from scriptorium.plans import derive
+from scriptorium.operators import clean, link, report, resolve
 from scriptorium.plans import sqltext as q
 from scriptorium.plans.clean_queries import CANDIDATES_SQL, event_candidates
 from scriptorium.plans.registry import query

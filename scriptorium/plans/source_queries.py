@@ -81,10 +81,13 @@ def a10(t):
     return tei.tei_sentences(nodes(t))
 
 
-@query("a11_tei_formulas", """
-SELECT doc_id, (i + 1) AS formula_no, 'formula_' || i AS xml_id, '(' || i || ')' AS label, 'alpha = beta + ' || i AS formula_text FROM (SELECT doc_id, unnest(range(0, greatest(1, (len(string_split(text, chr(10))) + 3) // 4))) AS i FROM documents)""")
+@query("a11_tei_formulas", rf"""
+WITH f AS (SELECT doc_id, unnest(range(0, greatest(1, (len(string_split(text, chr(10))) + 3) // 4))) AS i FROM documents),
+p AS (SELECT f.doc_id, i, arg_max(l, pos) AS l FROM f JOIN {LINES} x ON x.doc_id = f.doc_id AND pos % 4 > 0 AND pos < 4 * (i + 1) GROUP BY ALL)
+SELECT f.doc_id, f.i + 1 AS formula_no, 'formula_' || f.i AS xml_id, '(' || f.i || ')' AS label, 'alpha = beta + ' || f.i AS formula_text,
+  coalesce(array_to_string(regexp_extract_all(l || ' x' || (f.doc_id % 5), '{q.WORD}+')[-12:], ' '), '') AS anchor FROM f LEFT JOIN p ON p.doc_id = f.doc_id AND p.i = f.i""")
 def a11(t):
-    return tei.tei_formulas(nodes(t)).select("doc_id", "formula_no", "xml_id", "label", "formula_text")
+    return tei.tei_formulas(nodes(t)).select("doc_id", "formula_no", "xml_id", "label", "formula_text", "anchor")
 
 
 def deck_tables(t):

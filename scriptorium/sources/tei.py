@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.functions.neighbours import carried, numbered
 from scriptorium.operators.link import tail_words
 
 NODE = ("array<struct<seq:int,div:int,para:int,kind:string,xml_id:string,typ:string,n:string,label:string,"
@@ -271,15 +272,13 @@ def tei_sentences(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def tei_formulas(nodes: DataFrame, n: int = 12, key: str = "doc_id") -> DataFrame:
     """A-11: formulas of 10 or more characters with label and the last ``n`` words of the paragraph before."""
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    last_p = F.last(F.when(F.col("kind") == "p", F.col("tight")), ignorenulls=True).over(w)
-    f = nodes.filter("in_body").withColumn("__p", last_p).filter(F.col("kind") == "formula")
+    f = carried(nodes.filter("in_body"), [key], "seq", {"__p": F.when(F.col("kind") == "p", F.col("tight"))}).filter(F.col("kind") == "formula")
     label = tx.squash(F.coalesce("label", F.lit("")))
     raw = tx.squash("tight")
     f = f.withColumn("label", label).withColumn("formula_text", F.when(
         F.col("label") != "", tx.squash(F.replace(raw, F.col("label"), F.lit("")))).otherwise(raw))
-    return f.filter(F.length("formula_text") >= 10).select(
-        key, F.row_number().over(Window.partitionBy(key).orderBy("seq")).cast("long").alias("formula_no"),
+    return numbered(f.filter(F.length("formula_text") >= 10), [key], "seq", [], "formula_no").select(
+        key, F.col("formula_no").cast("long").alias("formula_no"),
         F.coalesce("xml_id", F.lit("formula_unknown")).alias("xml_id"), "label", "formula_text",
         tail_words(F.coalesce("__p", F.lit("")), n).alias("anchor"))
 
