@@ -20,7 +20,8 @@ def _bucketed(df: DataFrame, keys: Sequence[str], order: str, span: int) -> Data
     """Bucket ``__b`` of each row: 0 in a key with at most ``span`` rows, else one of ``BUCKETS`` by quantile; rows without an order come first."""
     at = F.col(order).cast("double")
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > span).select(*keys)
-    cuts = df.join(large, list(keys), "left_semi").groupBy(*keys).agg(
+    # keys of ``large`` are unique, so this is a semi-join; written as one it would be pushed below a union, whose sides need not end with equal partitions
+    cuts = df.join(large, list(keys)).groupBy(*keys).agg(
         F.percentile_approx(at, [i / BUCKETS for i in range(1, BUCKETS)], 16 * BUCKETS).alias("__cuts"))
     bucket = F.when(F.col("__cuts").isNull(), 0).when(at.isNull(), -1).otherwise(F.size(F.filter("__cuts", lambda c: c < at)))
     return df.join(cuts, list(keys), "left").withColumn("__b", bucket).drop("__cuts")

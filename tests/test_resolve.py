@@ -338,3 +338,25 @@ def test_size_probe_counts_rows_and_bytes(spark):
     assert fits(df) and fits(df, 10) and not fits(df, 9)
     assert fits(df, max_bytes=2000) and not fits(df, max_bytes=1000)
     assert fits(df.filter("false"), 0)
+
+
+def test_interleave_keeps_joins_above_the_union(spark):
+    s = spark.range(0, 4000, 1, 8).select(F.pmod("id", F.lit(40)).alias("doc_id"), F.floor(F.col("id") / 40).alias("num"), F.lit("m").alias("meta"), F.concat(F.lit("s"), "id").alias("text"))
+    f = s.filter("num % 3 = 0").select("doc_id", "num", F.lit(1).cast("long").alias("formula_no"), F.lit("x").alias("xml_id"), F.lit("").alias("label"), F.lit("a").alias("formula_text"))
+    df = resolve.interleave(s, f)
+    # below a union a semi-join may leave its sides with unequal partitions, which fails at run time
+    assert "LeftSemi" not in df._jdf.queryExecution().optimizedPlan().toString()
+    out = df.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("new_num").alias("m"), F.countDistinct("new_num").alias("d")).collect()
+    assert len(out) == 40 and all(r.n == r.m == r.d == 134 for r in out)
+
+
+def test_knn_cells_copy_rows_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "Q_BLOCK", 500)
+    monkeypatch.setattr(retrieve, "V_BLOCK", 100)
+    rows_ = spark.range(2000).select(F.lit("a").alias("__s"), F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    q = rows_.select("__s", F.col("vec_id").alias("query_id"), "embedding", F.lit(2).cast("long").alias("k"))
+    dealt = retrieve._deal(q, rows_).cache()
+    cells = dealt.groupBy("__s", "qb", "vb").agg(F.sum(1 - F.col("side")).alias("q"), F.sum("side").alias("v")).collect()
+    assert sum(r.q * r.v for r in cells) == 2000 * 2000
+    assert dealt.count() <= 2000 * (4 + 8) and dealt.filter("side = 1").count() == 2000 * 4
+    dealt.unpersist()
