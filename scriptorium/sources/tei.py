@@ -9,17 +9,25 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import text as tx
 from scriptorium.functions.neighbours import carried, numbered
 from scriptorium.operators.link import tail_words
 
-NODE = ("array<struct<seq:int,div:int,para:int,kind:string,xml_id:string,typ:string,n:string,label:string,"
-        "text:string,tight:string,in_body:boolean,refs:array<struct<typ:string,target:string,text:string>>>>")
+NODE = ("seq int, div int, para int, kind string, xml_id string, typ string, n string, label string, "
+        "text string, tight string, in_body boolean, refs array<struct<typ:string,target:string,text:string>>")
+_REF = pa.struct([(c, pa.string()) for c in ("typ", "target", "text")])
+_NODE = pa.struct([(c, pa.int32()) for c in ("seq", "div", "para")] + [(c, pa.string()) for c in (
+    "kind", "xml_id", "typ", "n", "label", "text", "tight")] + [("in_body", pa.bool_()), ("refs", pa.list_(_REF))])
+#: Nodes, and characters of documents, after which their rows leave the worker.
+FLUSH_NODES, FLUSH_CHARS = 2_000, 1 << 20
 XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
 # Div types that hold supplementary material.
 SUPPLEMENT_TYPES = ["annex", "appendix", "supplementary-material", "supplementary"]
@@ -120,18 +128,37 @@ def _flatten(xml: str) -> list[dict]:
     return rows
 
 
+def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(key, xml)`` to node rows, a few thousand at a time."""
+    for b in batches:
+        keys, at, rows, chars = b.column(0), [], [], 0
+        for i, x in enumerate(b.column(1)):
+            xml = x.as_py() or ""
+            found = _flatten(xml)
+            rows += found
+            at += [i] * len(found)
+            chars += len(xml)
+            if len(rows) >= FLUSH_NODES or chars >= FLUSH_CHARS:
+                yield _node_batch(keys, at, rows)
+                at, rows, chars = [], [], 0
+        yield _node_batch(keys, at, rows)
+
+
 def tei_nodes(df: DataFrame, key: str = "doc_id", column: str = "tei") -> DataFrame:
-    """Node rows of each document in reading order, flattened in Arrow batches.
+    """Node rows of each document in reading order. They leave the worker every few documents, so its memory does not follow the size of the Arrow batches.
 
     A bare ampersand is text; a document that breaks off or whose tags do not match gives the nodes before that place.
     ``tei_rejects`` names all such documents.
     """
 
-    @F.pandas_udf(NODE)
-    def nodes(col: pd.Series) -> pd.Series:
-        return col.map(lambda x: _flatten(x or ""))
+    kind = T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(NODE).fields])
+    return df.select(key, column).mapInArrow(_node_batches, kind)
+
 
-    return df.select(key, F.inline(nodes(column)))
+def _node_batch(keys: pa.Array, at: list[int], rows: list[dict]) -> pa.RecordBatch:
+    """Node rows of one batch, each with the key of its document ``at``."""
+    key = keys.take(pa.array(at, pa.int64()))
+    return pa.RecordBatch.from_arrays([key, *pa.array(rows, _NODE).flatten()], ["key", *[f.name for f in _NODE]])
 
 
 def tei_rejects(df: DataFrame, key: str = "doc_id", column: str = "tei") -> DataFrame:

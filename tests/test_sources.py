@@ -156,3 +156,18 @@ def test_tei_that_is_not_well_formed(spark):
     assert [rejects[i].n_nodes for i in (2, 3, 4, 5, 6)] == [count[2], count[3], count[4], 0, 0]
     assert "Salt & pepper & R&D." in tei.tei_metadata(df.filter("doc_id = 2")).first().abstract
     assert tei.tei_references(df.filter("doc_id = 2")).count() == tei.tei_references(whole).count()
+
+
+def test_tei_nodes_leave_in_small_batches(spark):
+    import pyarrow as pa
+
+    texts = [None, "<broken", *[TEI] * 400]
+    b = pa.RecordBatch.from_arrays([pa.array([f"k{i}" for i in range(402)]), pa.array(texts)], ["doc_id", "tei"])
+    own = len(tei._flatten(TEI))
+    out = list(tei._node_batches(iter([b])))
+    assert max(x.num_rows for x in out) < tei.FLUSH_NODES + own and len(out) > 2
+    keys = [k for x in out for k in x.column(0).to_pylist()]
+    assert keys == [f"k{i}" for i in range(2, 402) for _ in range(own)]
+    big = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "doc_id string, tei string").coalesce(1)
+    n = tei.tei_nodes(big)
+    assert dict(n.dtypes)["doc_id"] == "string" and n.groupBy("doc_id").count().filter(f"count = {own}").count() == 400
