@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.session import broadcast_if_small, compute_partitions, fits, spread
+from scriptorium.session import broadcast_if_small, compute_partitions, fits, reuse, spread
 
-Q_BLOCK, V_BLOCK, MAX_LOCAL_QUERIES, MAX_CELLS = 512, 4096, 20_000, 4_000_000
-
-
-def _blocks(df: DataFrame, keys: Sequence[str], ident: str, fields: Sequence[str], name: str, size: int) -> DataFrame:
-    """Blocks of about ``size`` rows per key; the number of blocks follows from a count per key."""
-    n = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("__n"))
-    b = df.join(broadcast_if_small(n), list(keys)).withColumn("__b", F.pmod(F.xxhash64(ident), F.col("__n")))
-    return b.groupBy(*keys, F.col("__b").alias(f"{name}_b")).agg(F.collect_list(F.struct(ident, *fields)).alias(f"{name}_items"))
+#: Most rows and bytes of a query block, least rows of a vector block.
+Q_BLOCK, Q_BYTES, V_BLOCK = 32_768, 32 << 20, 4096
+#: Queries that travel to the vectors; scores that a task holds at once, and the queries among them.
+MAX_LOCAL_QUERIES, MAX_CELLS, Q_TILE = 20_000, 4_000_000, 1024
 
 
 def _keep_top(ids: np.ndarray, raw: np.ndarray, k: int) -> np.ndarray:
@@ -72,7 +70,7 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
 
     ``queries``: query_id, embedding, k [, store]. ``vectors``: vec_id, embedding [, store]. A query set within
     the size bound travels to the vectors, which are scanned where they lie and never shuffled; a larger one
-    meets them block by block. Either way only k rows per query and task go on to the final ranking. Ties
+    meets them in cells. Either way only k rows per query and task go on to the final ranking. Ties
     go to the lower vec_id; scores compare at 9 decimals.
     """
     q = queries.select(F.col(store) if store else F.lit("all"), "query_id", "embedding", F.col("k").cast("long").alias("k")).toDF("__s", "query_id", "embedding", "k")
@@ -83,33 +81,123 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
         hits = v.mapInPandas(lambda batches: _scan_stores(local.value, batches),
                              f"__s string, query_id {qtype}, k long, vec_id long, raw double")
     else:
-        hits = _block_hits(q, v, qtype)
+        hits = _deal(q, v).mapInArrow(_scan_cells, f"__s string, query_id {qtype}, k long, vec_id long, raw double")
     w = Window.partitionBy("__s", "query_id").orderBy(F.desc(F.round("raw", 9)), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k"))
     return ranked.select("query_id", *([F.col("__s").alias(store)] if store else []), "vec_id", "rank", F.round("raw", 6).alias("score"))
 
 
-def _block_hits(q: DataFrame, v: DataFrame, qtype: str) -> DataFrame:
-    """Top-k of every query in every vector block. Query blocks are dealt to salted copies of the
-    store key, so no store, however large, is joined in one task."""
-    ks = ["__s"]
-    qb = _blocks(q, ks, "query_id", ["embedding", "k"], "q", Q_BLOCK)
-    vb = _blocks(v, ks, "vec_id", ["embedding"], "v", V_BLOCK)
-    salts = compute_partitions(q.sparkSession)
-    copies = qb.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    pairs = vb.withColumn("__salt", F.pmod(F.col("v_b"), F.lit(salts))).join(copies, [*ks, "__salt"])
-
-    @F.pandas_udf(f"array<struct<query_id:{qtype},k:long,vec_id:long,raw:double>>")
-    def top(qs: pd.Series, vs: pd.Series) -> pd.Series:
-        out = []
-        for qi, vi in zip(qs, vs):
-            ids = np.array([x["vec_id"] for x in vi], dtype="int64")
-            raw = np.array([x["embedding"] for x in qi], dtype="float64") @ np.array([x["embedding"] for x in vi], dtype="float64").T
-            out.append([{"query_id": x["query_id"], "k": int(x["k"]), "vec_id": int(ids[j]), "raw": float(r[j])}
-                        for x, r in zip(qi, raw) for j in _keep_top(ids, r, int(x["k"]))])
-        return pd.Series(out)
-
-    return spread(pairs, "__s", "q_b", "v_b").select("__s", F.inline(top("q_items", "v_items")))
+def _deal(q: DataFrame, v: DataFrame) -> DataFrame:
+    """Rows of both sides dealt to cells ``(__s, qb, vb)`` in which every query of a store meets every vector of it once.
+
+    A query block holds what one task may keep; the vectors of a cell are streamed past it, so their number is bound only from below and there are
+    about as many cells as partitions. A row is copied once per block of the other side and never once per pair of blocks.
+    """
+    parts = compute_partitions(q.sparkSession)
+    nq = q.groupBy("__s").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / Q_BLOCK), F.ceil(F.sum(F.size("embedding").cast("long") * 8) / Q_BYTES)).alias("__nq"))
+    nv = v.groupBy("__s").agg(F.ceil(F.count(F.lit(1)) / V_BLOCK).alias("__nv"))
+    grid = nq.join(nv, "__s").select("__s", "__nq", F.least("__nv", F.ceil(F.lit(parts) / F.col("__nq"))).alias("__nv"))
+    grid = broadcast_if_small(reuse(grid))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = q.join(grid, "__s").select("__s", own("query_id", "__nq").alias("qb"), every("__nv").alias("vb"), F.lit(0).alias("side"), "embedding", "query_id", "k",
+                                      F.lit(None).cast("long").alias("vec_id"))
+    right = v.join(grid, "__s").select("__s", every("__nq").alias("qb"), own("vec_id", "__nv").alias("vb"), F.lit(1).alias("side"), "embedding",
+                                       F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("long").alias("k"), F.col("vec_id").cast("long").alias("vec_id"))
+    cell = ["__s", "qb", "vb"]
+    return spread(left.unionByName(right), *cell).sortWithinPartitions(*cell, "side")
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    flat = np.asarray(col.flatten(), dtype="float64")
+    width = len(col[0]) if len(col) and col[0].is_valid else 0
+    if col.null_count or len(flat) != len(col) * width:
+        raise ValueError("embeddings must be given and of one length")
+    return flat.reshape(len(col), width)
+
+
+class _Tops:
+    """Running top-k of the queries of a cell, a tile of queries against a run of vectors at a time.
+
+    A query with its k found keeps their least score as a floor, so few scores of a later run are looked at.
+    """
+
+    def __init__(self, matrix: np.ndarray, k: np.ndarray):
+        self.matrix, self.k = matrix, k
+        self.floor = np.where(k > 0, -np.inf, np.inf)
+        self.best = {lo: (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)) for lo in range(0, len(k), Q_TILE)}
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        width = MAX_CELLS // Q_TILE
+        for at in range(0, len(ids), width):
+            some, run = ids[at:at + width], vectors[at:at + width].T
+            for lo in self.best:
+                self._merge(lo, some, self.matrix[lo:lo + Q_TILE] @ run)
+
+    def _merge(self, lo: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        floor, ks, n = self.floor[lo:lo + Q_TILE], self.k[lo:lo + Q_TILE], scores.shape[1]
+        first = np.isneginf(floor)
+        for k in np.unique(ks[first & (ks <= n)]).tolist():
+            of = np.flatnonzero(first & (ks == k))
+            # scores compare at 9 decimals, so one that ties after rounding lies above this
+            floor[of] = np.partition(scores[of], n - k, axis=1)[:, n - k] - 2e-9
+        row, col = np.nonzero(~(scores < floor[:, None]))
+        if not len(row):
+            return
+        at, vec, raw = (np.concatenate(x) for x in zip(self.best[lo], (row, ids[col], scores[row, col])))
+        order = np.lexsort((vec, -np.round(raw, 9), at))
+        at, vec, raw = at[order], vec[order], raw[order]
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+        keep = rank < ks[at]
+        at, vec, raw = at[keep], vec[keep], raw[keep]
+        self.best[lo] = (at, vec, raw)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        full = np.diff(np.r_[starts, len(at)]) == ks[at[starts]]
+        floor[at[starts][full]] = np.minimum.reduceat(raw, starts)[full] - 2e-9
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query places, vector ids and scores of all that is kept."""
+        at = np.concatenate([lo + a for lo, (a, _, _) in self.best.items()])
+        return at, *(np.concatenate([b[i] for b in self.best.values()]) for i in (1, 2))
+
+
+def _scan_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells in order, the queries of each before its vectors, to the top-k of every query within its cell."""
+    names = ["__s", "query_id", "k", "vec_id", "raw"]
+
+    def found(store, held, tops):
+        at, vec, raw = tops.rows()
+        ids, k = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        for a in range(0, len(at), 50_000):
+            some = at[a:a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([store] * len(some), pa.string()), ids.take(pa.array(some)), pa.array(k[some]),
+                                              pa.array(vec[a:a + 50_000]), pa.array(raw[a:a + 50_000])], names)
+
+    cell, held, tops = None, [], None
+    for b in batches:
+        store, qb, vb, side = b.column(0), *(b.column(i).to_numpy() for i in (1, 2, 3))
+        new = (qb[1:] != qb[:-1]) | (vb[1:] != vb[:-1]) | (side[1:] != side[:-1])
+        new |= pc.not_equal(store.slice(1), store.slice(0, max(0, len(store) - 1))).to_numpy(zero_copy_only=False).astype(bool)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for x, y in zip(cuts, cuts[1:]):
+            if x == y:
+                continue
+            here = (store[x].as_py(), int(qb[x]), int(vb[x]))
+            if here != cell:
+                if tops is not None:
+                    yield from found(cell[0], held, tops)
+                cell, held, tops = here, [], None
+            part = b.slice(x, y - x)
+            if side[x] == 0:
+                held.append((part.column(5), part.column(6).to_numpy(), _matrix(part.column(4))))
+            elif held:
+                if tops is None:
+                    tops = _Tops(np.concatenate([h[2] for h in held]), np.concatenate([h[1] for h in held]))
+                    held = [h[:2] for h in held]
+                tops.add(part.column(7).to_numpy(), _matrix(part.column(4)))
+    if tops is not None:
+        yield from found(cell[0], held, tops)
 
 
 def retrieval_plan(k_main: int = 18, k_figs: int = 10, k_sup: int = 10, k_lit: int = 8, use_figs: bool = True,
