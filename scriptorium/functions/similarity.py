@@ -174,7 +174,16 @@ class RatioBlock:
             return equal, 1.0
         bounds = self.bounds(left)
         found: tuple[int, float] | None = None
-        for j in np.argsort(-bounds, kind="stable").tolist():
+        # the ratio of the likeliest tells which others can matter, so only these are put in order
+        top = int(bounds.argmax()) if len(bounds) else 0
+        if not len(bounds) or bounds[top] < least or bounds[top] == 0.0:
+            return None
+        if (r := self.ratio(left, top)) >= least and r > 0.0:
+            found = (top, r)
+        some = np.flatnonzero(bounds >= max(found[1] if found else 0.0, least))
+        for j in some[np.argsort(-bounds[some], kind="stable")].tolist():
+            if j == top:
+                continue
             bar = found[1] if found else 0.0
             if bounds[j] < max(bar, least) or bounds[j] == 0.0:
                 break

@@ -19,7 +19,8 @@ from scriptorium.functions import similarity as sim
 from scriptorium.functions import text as tx
 from scriptorium.session import BROADCAST_ROWS, broadcast_if_small, compute_partitions, fits, spread
 
-BLOCK = 256
+#: Rows of a block; a block of short texts may hold ``WIDE`` times as many rows and ``CHARS`` characters.
+BLOCK, WIDE, CHARS = 256, 8, 1 << 16
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -38,16 +39,23 @@ def _block_counts(df: DataFrame, key: Sequence[str], size: int) -> DataFrame:
 
 
 def block_pairs(left: DataFrame, right: DataFrame, key: Sequence[str], lpos: str, rpos: str,
-                lfields: Sequence[str], rfields: Sequence[str], size: int = BLOCK) -> DataFrame:
+                lfields: Sequence[str], rfields: Sequence[str], size: int = BLOCK, chars: int | None = None) -> DataFrame:
     """Cells ``(key, l_items, r_items)`` in which every left row of a key meets every right row of it once.
 
     A key with few rows is one cell. One with many is cut into blocks on both sides, and a row goes to the cells of all blocks of the other
     side, so a hot key becomes many tasks of bounded size. Rows are dealt straight to their cells: the texts are shuffled once.
+    With ``chars`` a block may hold more than ``size`` rows, up to ``WIDE`` times as many, as long as its first fields have about so many characters.
+    The counts are never broadcast: there may be as many keys as rows.
     """
     ks = list(key)
-    side = lambda df, l, r: df.select(*ks, F.lit(l).alias("__l"), F.lit(r).alias("__r"))
-    counts = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*ks).agg(
-        F.ceil(F.sum("__l") / size).alias("__nl"), F.ceil(F.sum("__r") / size).alias("__nr")).filter("__nl > 0 and __nr > 0")
+    side = lambda df, l, r, f: df.select(*ks, F.lit(l).alias("__l"), F.lit(r).alias("__r"), (F.coalesce(F.length(f), F.lit(0)) if chars else F.lit(0)).cast("long").alias("__c"))
+
+    def parts(n: str) -> Column:
+        narrow = F.ceil(F.sum(n) / size)
+        return narrow if chars is None else F.least(narrow, F.greatest(F.ceil(F.sum(n) / (WIDE * size)), F.ceil(F.sum(F.col(n) * F.col("__c")) / chars)))
+
+    counts = side(left, 1, 0, lfields[0]).unionByName(side(right, 0, 1, rfields[0])).groupBy(*ks).agg(
+        parts("__l").alias("__nl"), parts("__r").alias("__nr")).filter("__nl > 0 and __nr > 0").hint("merge")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda pos, n: F.pmod(F.xxhash64(pos), F.col(n))
     lrows = left.select(*ks, F.col(lpos).alias("__p"), F.struct(F.col(lpos).cast("long").alias("pos"), *lfields).alias("__item")).join(counts, ks)
@@ -59,7 +67,7 @@ def block_pairs(left: DataFrame, right: DataFrame, key: Sequence[str], lpos: str
     return cells.filter((F.size("l_items") > 0) & (F.size("r_items") > 0))
 
 
-MATCH = "array<struct<l:long,r:long,score:double>>"
+MATCH = "array<struct<text:string,r:long,score:double>>"
 
 
 def _best_in_blocks(min_score: float):
@@ -68,9 +76,9 @@ def _best_in_blocks(min_score: float):
         out = []
         for ls, rs in zip(lefts, rights):
             rights = sorted(rs, key=lambda x: x["pos"])
-            block = sim.RatioBlock([(r["text"] or "").lower() for r in rights])
-            found = [(x["pos"], block.best((x["text"] or "").lower(), min_score)) for x in ls]
-            out.append([{"l": pos, "r": rights[m[0]]["pos"], "score": m[1]} for pos, m in found if m])
+            block = sim.RatioBlock([r["text"].lower() for r in rights])
+            found = [(x["text"], block.best(x["text"].lower(), min_score)) for x in ls]
+            out.append([{"text": text, "r": rights[m[0]]["pos"], "score": m[1]} for text, m in found if m])
         return pd.Series(out)
 
     return score
@@ -80,14 +88,19 @@ def best_match(left: DataFrame, right: DataFrame, key: str | Sequence[str], min_
                size: int = BLOCK) -> DataFrame:
     """D-01: most similar right row for each left row (``num``, ``text``), ties to the first.
 
-    Output: key, num, right_num, score rounded to 4 places; rows under the threshold are absent.
+    Equal texts of a key are scored once and the result goes to all of them. Output: key, num, right_num, score rounded to 4 places;
+    rows under the threshold are absent.
     """
     ks = _keys(key)
-    pairs = block_pairs(left, right, ks, "num", "num", ["text"], ["text"], size)
+    best = lambda by: F.max_by(F.struct("r", "score"), F.struct("score", -F.col("r"))).alias(by)
+    lrows = left.select(*ks, "num", F.coalesce("text", F.lit("")).alias("text"))
+    ltexts = lrows.select(*ks, "text").distinct().withColumn("__at", F.xxhash64("text"))
+    rtexts = right.select(*ks, "num", F.coalesce("text", F.lit("")).alias("text")).groupBy(*ks, "text").agg(F.min("num").alias("num"))
+    pairs = block_pairs(ltexts, rtexts, ks, "__at", "num", ["text"], ["text"], size, CHARS)
     hits = pairs.select(*ks, F.inline(_best_in_blocks(min_score)("l_items", "r_items")))
-    best = hits.groupBy(*ks, F.col("l").alias("num")).agg(
-        F.max_by(F.struct("r", "score"), F.struct("score", -F.col("r"))).alias("m"))
-    return best.select(*ks, "num", F.col("m.r").alias("right_num"), tx.round_half_up("m.score", 4).alias("score"))
+    hits = hits.groupBy(*ks, "text").agg(best("m")).select(*ks, "text", "m.*")
+    out = lrows.join(hits.hint("merge"), [*ks, "text"]).groupBy(*ks, "num").agg(best("m"))
+    return out.select(*ks, "num", F.col("m.r").alias("right_num"), tx.round_half_up("m.score", 4).alias("score"))
 
 
 def resolve_claims(left: DataFrame, matches: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -112,8 +125,9 @@ def _surplus(left: DataFrame, right: DataFrame, ks: list[str]) -> DataFrame:
 
     tk = [*ks, "text"]
     counts = left.groupBy(*tk).agg(F.count("*").alias("lc")).join(
-        right.groupBy(*tk).agg(F.count("*").alias("rc")), tk, "left").withColumn("rc", F.coalesce("rc", F.lit(0)))
-    rows = left.join(counts.filter(F.col("lc") > F.col("rc")), tk)
+        right.groupBy(*tk).agg(F.count("*").alias("rc")).hint("merge"), tk, "left").withColumn("rc", F.coalesce("rc", F.lit(0)))
+    # never broadcast: the counts are as many as the texts, and equal ones compress far below their size in memory
+    rows = left.join(counts.filter(F.col("lc") > F.col("rc")).hint("merge"), tk)
     none = rows.filter(F.col("rc") == 0)
     # Ranks are needed only where both sides have copies and the left has more of them.
     some = rows.filter(F.col("rc") > 0).withColumn(
@@ -151,7 +165,7 @@ def sequence_diff(left: DataFrame, right: DataFrame, key: str | Sequence[str], c
     pairs = block_pairs(lost, extra, ks, "num", "num", ["text"], ["text"], size)
     near = pairs.select(*ks, F.inline(first_near("l_items", "r_items"))).groupBy(*ks, "num").agg(
         F.min_by(F.struct("right_num", "right_text", "score", "char_diff"), "right_num").alias("m"))
-    out = lost.join(near, [*ks, "num"], "left").select(*ks, "num", "text", "m.*")
+    out = lost.join(near.hint("merge"), [*ks, "num"], "left").select(*ks, "num", "text", "m.*")
     kind = F.when(F.col("right_num").isNull(), "missing").when(F.col("char_diff") >= min_chars, "possible_misplaced")
     return out.withColumn("kind", kind).filter(F.col("kind").isNotNull())
 

@@ -212,3 +212,18 @@ def test_blocks_with_sparse_positions_and_a_hot_key(spark):
     assert len(found) == 900 and all(r.num == r.right_num and r.score == 1.0 for r in found)
     pairs = link.block_pairs(left, left, ["k"], "num", "num", ["text"], ["text"], 50)
     assert pairs.filter("k = 0").count() == len(blocks) ** 2
+
+
+def test_equal_texts_are_scored_once_and_answer_for_all(spark):
+    left = spark.createDataFrame([("a", i, "blue ring" if i % 2 else "red bolt") for i in range(600)] + [("a", 600, None), (None, 1, "blue ring")], "k string, num long, text string")
+    right = spark.createDataFrame([("a", i, "Blue ring!" if i % 3 else "red bolts") for i in range(600, 0, -1)], "k string, num long, text string")
+    got = {r.num: (r.right_num, r.score) for r in link.best_match(left, right, "k").collect()}
+    assert got == {i: (1, 0.9474) if i % 2 else (3, 0.9412) for i in range(600)}
+    pairs = link.block_pairs(left, right, ["k"], "num", "num", ["text"], ["text"], 64, link.CHARS).collect()
+    assert len(pairs) == 4 and sum(len(r.l_items) * len(r.r_items) for r in pairs) == 601 * 600
+
+
+def test_sequence_diff_broadcasts_no_counts(spark):
+    s = spark.createDataFrame([(i, 0, f"text {i}") for i in range(50)], "id long, num long, text string")
+    plan = link.sequence_diff(s, s.filter("id < 9"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
