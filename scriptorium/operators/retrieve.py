@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.session import broadcast_if_small, compute_partitions, fits, reuse, spread
+from scriptorium.session import broadcast_if_small, compute_partitions, fits, reuse
 
 #: Most rows and bytes of a query block, least rows of a vector block.
 Q_BLOCK, Q_BYTES, V_BLOCK = 32_768, 32 << 20, 4096
@@ -61,7 +61,7 @@ def _scan_stores(queries: list, batches):
                         # scores compare at 9 decimals, so one that ties after rounding lies above this
                         floor[i] = all_raw[keep].min() - 2e-9
     for store, (mine, _, best, _) in stores.items():
-        rows = [(store, q["query_id"], int(q["k"]), int(v), float(r)) for q, (vs, rs) in zip(mine, best) for v, r in zip(vs, rs)]
+        rows = [(store, q["query_id"], int(q["k"]), vs, rs) for q, (vs, rs) in zip(mine, best) if len(vs)]
         yield pd.DataFrame(rows, columns=["__s", "query_id", "k", "vec_id", "raw"])
 
 
@@ -70,7 +70,7 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
 
     ``queries``: query_id, embedding, k [, store]. ``vectors``: vec_id, embedding [, store]. A query set within
     the size bound travels to the vectors, which are scanned where they lie and never shuffled; a larger one
-    meets them in cells. Either way only k rows per query and task go on to the final ranking. Ties
+    meets them in cells. Either way one row with the k best per query and task goes on to the final ranking. Ties
     go to the lower vec_id; scores compare at 9 decimals.
     """
     q = queries.select(F.col(store) if store else F.lit("all"), "query_id", "embedding", F.col("k").cast("long").alias("k")).toDF("__s", "query_id", "embedding", "k")
@@ -78,10 +78,12 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
     qtype = dict(queries.dtypes)["query_id"]
     if fits(q, MAX_LOCAL_QUERIES):
         local = queries.sparkSession.sparkContext.broadcast([r.asDict() for r in q.collect()])
-        hits = v.mapInPandas(lambda batches: _scan_stores(local.value, batches),
-                             f"__s string, query_id {qtype}, k long, vec_id long, raw double")
+        tops = v.mapInPandas(lambda batches: _scan_stores(local.value, batches),
+                             f"__s string, query_id {qtype}, k long, vec_id array<long>, raw array<double>")
     else:
-        hits = _deal(q, v).mapInArrow(_scan_cells, f"__s string, query_id {qtype}, k long, vec_id long, raw double")
+        tops = _deal(q, v).mapInArrow(_scan_cells, f"__s string, query_id {qtype}, k long, vec_id array<long>, raw array<double>")
+    # the lists are shuffled whole, and ranked where they arrive
+    hits = tops.repartition("__s", "query_id").select("__s", "query_id", "k", F.explode(F.arrays_zip("vec_id", "raw")).alias("h")).select("__s", "query_id", "k", "h.*")
     w = Window.partitionBy("__s", "query_id").orderBy(F.desc(F.round("raw", 9)), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k"))
     return ranked.select("query_id", *([F.col("__s").alias(store)] if store else []), "vec_id", "rank", F.round("raw", 6).alias("score"))
@@ -90,22 +92,35 @@ def knn(queries: DataFrame, vectors: DataFrame, store: str | None = None) -> Dat
 def _deal(q: DataFrame, v: DataFrame) -> DataFrame:
     """Rows of both sides dealt to cells ``(__s, qb, vb)`` in which every query of a store meets every vector of it once.
 
-    A query block holds what one task may keep; the vectors of a cell are streamed past it, so their number is bound only from below and there are
-    about as many cells as partitions. A row is copied once per block of the other side and never once per pair of blocks.
+    A query block holds what one task may keep; the vectors of a cell are streamed past it, so their number is bound only from below. A store
+    gets its share of the partitions by the pairs it compares, and of the grids with so many cells the one that sends the fewest bytes: queries and
+    what is found for them travel once per block of vectors, vectors once per block of queries.
     """
     parts = compute_partitions(q.sparkSession)
-    nq = q.groupBy("__s").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / Q_BLOCK), F.ceil(F.sum(F.size("embedding").cast("long") * 8) / Q_BYTES)).alias("__nq"))
-    nv = v.groupBy("__s").agg(F.ceil(F.count(F.lit(1)) / V_BLOCK).alias("__nv"))
-    grid = nq.join(nv, "__s").select("__s", "__nq", F.least("__nv", F.ceil(F.lit(parts) / F.col("__nq"))).alias("__nv"))
-    grid = broadcast_if_small(reuse(grid))
+    width = lambda df: F.size("embedding").cast("long") * (4 if df.schema["embedding"].dataType.elementType.typeName() == "float" else 8)
+    nq = q.groupBy("__s").agg(F.count(F.lit(1)).alias("__qn"), F.sum(width(q) + 32).alias("__qb"), F.sum("k").alias("__k"),
+                              F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / Q_BLOCK), F.ceil(F.sum(F.size("embedding").cast("long") * 8) / Q_BYTES)).alias("__least"))
+    nv = v.groupBy("__s").agg(F.count(F.lit(1)).alias("__vn"), F.sum(width(v) + 32).alias("__vb"), F.ceil(F.count(F.lit(1)) / V_BLOCK).alias("__most"))
+    sizes = reuse(nq.join(nv, "__s"))
+    pairs = sizes.agg(F.sum(F.col("__qn").cast("double") * F.col("__vn"))).first()[0] or 1.0
+    cells = F.ceil(F.lit(parts) * F.col("__qn") * F.col("__vn") / F.lit(pairs))
+
+    def grid(n: Column) -> Column:
+        queries = F.greatest("__least", F.least("__qn", F.ceil(cells / n)))
+        sent = n * (F.col("__qb") + 16 * F.least("__k", F.col("__qn") * F.col("__vn"))) + queries * F.col("__vb")
+        return F.struct(F.greatest(F.lit(0), cells - queries * n).alias("short"), sent.alias("sent"), queries.alias("__nq"), n.alias("__nv"))
+
+    best = F.array_min(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.least("__most", cells))), grid))
+    grids = broadcast_if_small(sizes.select("__s", best.alias("g")).select("__s", "g.__nq", "g.__nv"))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = q.join(grid, "__s").select("__s", own("query_id", "__nq").alias("qb"), every("__nv").alias("vb"), F.lit(0).alias("side"), "embedding", "query_id", "k",
-                                      F.lit(None).cast("long").alias("vec_id"))
-    right = v.join(grid, "__s").select("__s", every("__nq").alias("qb"), own("vec_id", "__nv").alias("vb"), F.lit(1).alias("side"), "embedding",
-                                       F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("long").alias("k"), F.col("vec_id").cast("long").alias("vec_id"))
-    cell = ["__s", "qb", "vb"]
-    return spread(left.unionByName(right), *cell).sortWithinPartitions(*cell, "side")
+    left = q.join(grids, "__s").select("__s", own("query_id", "__nq").alias("qb"), every("__nv").alias("vb"), "__nv", F.lit(0).alias("side"), "embedding", "query_id", "k",
+                                       F.lit(None).cast("long").alias("vec_id"))
+    right = v.join(grids, "__s").select("__s", every("__nq").alias("qb"), own("vec_id", "__nv").alias("vb"), "__nv", F.lit(1).alias("side"), "embedding",
+                                        F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("long").alias("k"), F.col("vec_id").cast("long").alias("vec_id"))
+    # the cells of a store lie in partitions that follow each other
+    at = F.pmod(F.xxhash64("__s") + F.col("qb") * F.col("__nv") + F.col("vb"), F.lit(parts)).cast("int")
+    return left.unionByName(right).repartitionById(parts, at).drop("__nv").sortWithinPartitions("__s", "qb", "vb", "side")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -163,16 +178,20 @@ class _Tops:
 
 
 def _scan_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells in order, the queries of each before its vectors, to the top-k of every query within its cell."""
+    """Cells in order, the queries of each before its vectors, to a row with the top-k of every query within its cell."""
     names = ["__s", "query_id", "k", "vec_id", "raw"]
 
     def found(store, held, tops):
         at, vec, raw = tops.rows()
         ids, k = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        for a in range(0, len(at), 50_000):
-            some = at[a:a + 50_000]
+        edges = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)] if len(at) else np.zeros(1, "int64")
+        a = 0
+        while a < len(edges) - 1:
+            z = max(a + 1, int(np.searchsorted(edges, edges[a] + 50_000, side="right")) - 1)
+            some, lo, hi, cuts = at[edges[a:z]], edges[a], edges[z], pa.array((edges[a:z + 1] - edges[a]).astype("int32"))
             yield pa.RecordBatch.from_arrays([pa.array([store] * len(some), pa.string()), ids.take(pa.array(some)), pa.array(k[some]),
-                                              pa.array(vec[a:a + 50_000]), pa.array(raw[a:a + 50_000])], names)
+                                              pa.ListArray.from_arrays(cuts, pa.array(vec[lo:hi])), pa.ListArray.from_arrays(cuts, pa.array(raw[lo:hi]))], names)
+            a = z
 
     cell, held, tops = None, [], None
     for b in batches:
@@ -224,11 +243,14 @@ def retrieve_evidence(queries: DataFrame, vectors: DataFrame, dedupe: bool = Tru
 
     spark = queries.sparkSession
     plan = spark.createDataFrame(retrieval_plan(**ks), "pass_no int, store string, kind string, k int")
-    q = queries.join(F.broadcast(plan), "kind").withColumn("query_id", F.concat_ws("\x1f", F.col("slide_uid").cast("string"), F.col("pass_no").cast("string")))
+    q = queries.join(F.broadcast(plan), "kind").withColumn("query_id", F.struct("slide_uid", "pass_no"))
     # Queries take the embedding type of the vectors' store; one block join serves every pass.
-    hits = knn(q.select("query_id", "embedding", "k", "store"), vectors, "store")
-    key = q.select("query_id", "slide_uid", "pass_no")
-    out = hits.join(key, "query_id").join(vectors.select("store", "vec_id", "text"), ["store", "vec_id"])
+    hits = knn(q.select("query_id", "embedding", "k", "store"), vectors, "store").select("query_id.*", "store", "vec_id", "rank", "score")
+    texts = vectors.select("store", "vec_id", "text")
+    if fits(texts):
+        # the hits of a slide meet once, and neither they nor the texts move again
+        hits, texts = hits.repartition("slide_uid"), F.broadcast(texts)
+    out = hits.join(texts, ["store", "vec_id"])
     out = out.select("slide_uid", "pass_no", "rank", F.upper(F.when(F.col("store") == "figs", "fig").otherwise(
         F.col("store"))).alias("source"), "vec_id", "text", "score")
     return dedupe_evidence(out, ["slide_uid"], ["pass_no", "rank"]) if dedupe else out

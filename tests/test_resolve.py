@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import report, resolve, retrieve, sets
@@ -360,3 +361,38 @@ def test_knn_cells_copy_rows_once_a_block(spark, monkeypatch):
     assert sum(r.q * r.v for r in cells) == 2000 * 2000
     assert dealt.count() <= 2000 * (4 + 8) and dealt.filter("side = 1").count() == 2000 * 4
     dealt.unpersist()
+
+
+def test_knn_cells_send_the_fewer_rows(spark):
+    v = spark.range(200).select(F.lit("a").alias("__s"), F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    q = spark.range(4000).select(F.lit("a").alias("__s"), F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"), F.lit(2).cast("long").alias("k"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieve, "V_BLOCK", 20)
+        dealt = retrieve._deal(q, v)
+    cells = dealt.groupBy("__s", "qb", "vb").agg(F.sum(1 - F.col("side")).alias("q"), F.sum("side").alias("v")).collect()
+    # many queries meet few vectors: the vectors are what is copied
+    assert sum(r.q * r.v for r in cells) == 4000 * 200 and sum(r.q for r in cells) == 4000 and len(cells) == 8
+
+
+def test_evidence_is_the_same_by_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (200, 4)).astype(float)
+    stores, kinds = ["main", "figs", "sup", "lit"], ["plan", "bullets", "combo", "intent"]
+    vectors = spark.createDataFrame([(stores[i % 4], i, f"t{i // 8}", x.tolist()) for i, x in enumerate(v)], "store string, vec_id long, text string, embedding array<double>")
+    slides = [(None if i == 0 else i, k, v[i * 4 + j].tolist()) for i in range(20) for j, k in enumerate(kinds)]
+    queries = spark.createDataFrame(slides, "slide_uid long, kind string, embedding array<double>")
+    want = set()
+    for uid in {s for s, _, _ in slides}:
+        seen = set()
+        for n, store, kind, k in retrieve.retrieval_plan(use_sup=True, use_lit=True):
+            at = next(np.array(e) for s, x, e in slides if s == uid and x == kind)
+            top = sorted((i for i in range(200) if stores[i % 4] == store), key=lambda i: (-float(at @ v[i]), i))[:k]
+            for rank, i in enumerate(top, 1):
+                if i // 8 not in seen:
+                    seen.add(i // 8)
+                    want.add((uid, n, rank, i))
+    for local in (20_000, 0):
+        monkeypatch.setattr(retrieve, "MAX_LOCAL_QUERIES", local)
+        monkeypatch.setattr(retrieve, "V_BLOCK", 16)
+        got = retrieve.retrieve_evidence(queries, vectors, use_sup=True, use_lit=True)
+        assert {(r.slide_uid, r.pass_no, r.rank, r.vec_id) for r in got.collect()} == want
