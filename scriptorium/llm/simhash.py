@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -94,31 +94,32 @@ def near_pairs(fps: np.ndarray, apart: np.ndarray, radius: int = RADIUS) -> np.n
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Star edges ``(a, b)`` that span what is linked within each bucket."""
+    yield from _edges(batches, block_labels)
+
+
+def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``(a, b)`` from each row of a bucket to the first one that is linked with it."""
+    yield from _edges(batches, lambda near: np.where(near.any(axis=1), near.argmax(axis=1), np.arange(len(near))))
+
+
+def _edges(batches: Iterator[pa.RecordBatch], roots: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
     for table, gid in blocks(batches, ["band", "key", "pi", "pj"]):
         fps, ids = table["fp"].to_numpy().view(np.uint64), table["id"].to_numpy()
         part, cross = table["part"].to_numpy(), table["pi"].to_numpy() != table["pj"].to_numpy()
         apart = gid[:, None] != gid[None, :]
         apart |= cross[:, None] & (part[:, None] == part[None, :])
-        root = block_labels(near_pairs(np.ascontiguousarray(fps), apart))
+        root = roots(near_pairs(np.ascontiguousarray(fps), apart))
         out = np.flatnonzero(root != np.arange(len(root)))
         if len(out):
             yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[root[out]])], ["a", "b"])
 
 
-def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, fp`` (long) and ``component_id``, the smallest id reachable by links.
-
-    Words and shingles are those of the whole text after lower-casing A to Z; a text without words, null ones too, has
-    fingerprint zero and is linked like any other. Equal fingerprints are one node, so copies cost nothing. A row with a
-    null id is a row like others, but never names a component: its component is that of its fingerprint, null if
-    no row with an id has it. An empty table gives no rows.
+def links(nodes: DataFrame, scratch: Scratch, find: Callable = linked) -> DataFrame:
+    """Edges ``(a, b)`` between the ids of different fingerprints ``(fp, id)`` that link.
 
     Buckets are the ten choices of two bands of 25 or 26 bits, so links are found without loss. A bucket with more
     than 2,048 different fingerprints is dealt to parts that meet pairwise.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.keep(rows.mapInArrow(fingerprints, "doc_id long, fp long"))
-    nodes = scratch.keep(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
     masks, at = [], 0
     for w in BANDS:
         masks.append(((1 << w) - 1) << at)
@@ -128,8 +129,21 @@ def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     banded = nodes.withColumn("b", F.explode(bands)).select("b.band", "b.key", "fp", "id")
     order = ["band", "key", "pi", "pj"]
     dealt = deal(banded, ["band", "key"], "id", PART_ROWS, scratch).select(*order, "part", "fp", "id")
-    edges = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(linked, "a long, b long")
-    comp = components(edges, scratch)
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(find, "a long, b long")
+
+
+def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, fp`` (long) and ``component_id``, the smallest id reachable by links.
+
+    Words and shingles are those of the whole text after lower-casing A to Z; a text without words, null ones too, has
+    fingerprint zero and is linked like any other. Equal fingerprints are one node, so copies cost nothing. A row with a
+    null id is a row like others, but never names a component: its component is that of its fingerprint, null if
+    no row with an id has it. An empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = scratch.keep(rows.mapInArrow(fingerprints, "doc_id long, fp long"))
+    nodes = scratch.keep(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
+    comp = components(links(nodes, scratch), scratch)
     named = nodes.join(comp, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 

@@ -628,3 +628,22 @@ def test_query_against_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     ok, note = compare(spark, con, QUERIES[name], SQL[name], "/root/testdata/sf0.001")
     assert ok, note
+
+
+def test_near_copies_by_fingerprints(spark, scratch):
+    """The near-copy stage links by SimHash fingerprints; what these propose is checked on the whole texts."""
+    rng = random.Random(44)
+    apart = lambda x, y: (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count()
+    while True:
+        base = words(rng, 300)
+        edited = base.rsplit(" ", 1)[0] + " end"
+        if 0 < apart(base, edited) <= 3:
+            break
+    # one three-word shingle, so one fingerprint, but no five words in common
+    rows = [(1, base, "en", "s"), (2, edited, "en", "s"), (3, "a a a", "en", "s"), (4, "a a a a a", "en", "s"), (5, words(rng, 80), "en", "s")]
+    docs = frame(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("th"))
+    nodes = docs.mapInArrow(minhash.signed, "doc_id long, th long, fp long, digest long, n int, keys array<long>").select(F.col("doc_id").alias("id"), "th", "fp")
+    assert {tuple(r) for r in minhash.fingerprint_links(nodes, docs.select("th", "text"), scratch).collect()} <= {(1, 2), (2, 1)}
+    assert minhash.fingerprint_links(nodes, docs.select("th", "text"), scratch).count() == 1
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(frame(spark, rows), scratch).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
