@@ -501,6 +501,26 @@ def test_substring_neighbours_at_any_spacing(spark, scratch, monkeypatch, step):
         assert {(75, 60), (90, 75)} <= pairs <= {(75, 60), (90, 75), (90, 60)}
 
 
+def test_substring_every_partner(spark, scratch, monkeypatch):
+    """Pairs meet although other documents hold each of their seeds, first of all and between them; copies are linked whole."""
+    rng = random.Random(24)
+    one = words(rng, 60).split()
+    pieces = [one[5 * k:5 * k + 9] for k in range(12)]
+    rows = [(at + k, " ".join([words(rng, 20), *piece, words(rng, 20)]), "en", "s") for at in (0, 100, 200) for k, piece in enumerate(pieces)]
+    rows += [(i, " ".join([words(rng, 60), *one, words(rng, 60)]), "en", "s") for i in (50, 150, 250)]
+    # the first place of these seeds is followed by other words, a later one by the passage
+    twice = words(rng, 60)
+    start = " ".join(twice.split()[:12])
+    rows += [(i, " ".join([start, words(rng, 200), twice, words(rng, 60)]), "en", "s") for i in (300, 310)] + [(299, start + " " + words(rng, 60), "en", "s")]
+    rows += [(400, rows[-2][1], "en", "s")]
+    for cell in (4096, 2):
+        monkeypatch.setattr(substring, "CELL", cell)
+        got = substring.repeated_passages(frame(spark, rows), scratch).collect()
+        assert {(r["doc_id"], r["other_id"]) for r in got} == {(150, 50), (250, 50), (250, 150), (310, 300), (400, 310)}, cell
+        copy = next(r for r in got if r["doc_id"] == 400)
+        assert (copy["start"], copy["stop"], copy["similarity"]) == (0, len(rows[-1][1]), 1.0)
+
+
 def test_substring_previous_document(spark):
     rng = random.Random(23)
     rows = [(h, d, p, p + 5) for h in range(4) for d in rng.sample(range(-300, 300), 40) for p in rng.sample(range(1000), rng.randint(1, 3))]
