@@ -30,6 +30,28 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def ratio_from(least: float):
+    """U-01 where it reaches ``least``, else null: a bit-parallel subsequence bound, never below the ratio, spares the others the costly measure."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen: dict[tuple, float | None] = {}
+        out = []
+        for x, y in zip(a, b):
+            pair = ((x or "").lower(), (y or "").lower())
+            if pair not in seen:
+                x, y = pair
+                total, short = len(x) + len(y), min(len(x), len(y))
+                # the same quotient as the ratio's own, so it is not below it after rounding either
+                far = total and (2.0 * short / total < least or 2.0 * _lcs(_masks(x), len(x), y) / total < least)
+                r = None if far else py_ratio(x, y)
+                seen[pair] = r if r is not None and r >= least else None
+            out.append(seen[pair])
+        return pd.Series(out, dtype="float64")
+
+    return score
+
+
 def py_changed_chars(a: str, b: str) -> int:
     ops = SequenceMatcher(None, a or "", b or "").get_opcodes()
     return sum(j2 - j1 for tag, _, _, j1, j2 in ops if tag != "equal")

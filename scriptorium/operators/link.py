@@ -358,7 +358,7 @@ def resolve_title(papers: DataFrame, candidates: DataFrame, policy: str = "best>
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
     pairs = candidates.join(papers.select(key, "title"), key)
-    scored = spread(pairs, key, "cand_rank").withColumn("score", sim.ratio("title", "cand_title"))
+    scored = spread(pairs, key, "cand_rank").withColumn("score", sim.ratio_from(cut)("title", "cand_title"))
     # The cut is made in the aggregate: a filter would be pushed below the spread and score every pair there as well.
     over = F.col("score") >= cut if policy == "best>=" else F.col("score") > cut
     row = F.struct("cand_rank", "cand_title", "score")

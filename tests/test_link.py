@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from scriptorium.functions import similarity as sim
@@ -227,3 +228,17 @@ def test_sequence_diff_broadcasts_no_counts(spark):
     s = spark.createDataFrame([(i, 0, f"text {i}") for i in range(50)], "id long, num long, text string")
     plan = link.sequence_diff(s, s.filter("id < 9"), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_ratio_from_spares_only_lower_ratios(monkeypatch):
+    rng, calls = random.Random(7), []
+    text = lambda: "".join(rng.choice("abC é漢") for _ in range(rng.randint(0, 14)))
+    a, b = [None, "", "x", *(text() for _ in range(3000))], ["", None, "", *(text() for _ in range(3000))]
+    exact = [sim.py_ratio(x, y) for x, y in zip(a, b)]
+    monkeypatch.setattr(sim, "py_ratio", lambda x, y, real=sim.py_ratio: calls.append(1) or real(x, y))
+    for least in (0.0, 0.5, 0.6, 0.70, 1.0):
+        got = sim.ratio_from(least).func(pd.Series(a), pd.Series(b)).tolist()
+        assert [None if g != g or g is None else g for g in got] == [e if e >= least else None for e in exact]
+        calls.clear()
+    sim.ratio_from(0.7).func(pd.Series(a), pd.Series(b))
+    assert len(calls) < 1000
