@@ -52,8 +52,20 @@ def ratio_from(least: float):
     return score
 
 
+#: From this length of the second string on, ``SequenceMatcher`` lets no match begin at a frequent character.
+POPULAR = 200
+
+
+def _holds(a: str, b: str) -> bool:
+    """Whether one string holds the other, so that the shorter one is the whole match."""
+    return len(b) < POPULAR and (a in b if len(a) <= len(b) else b in a)
+
+
 def py_changed_chars(a: str, b: str) -> int:
-    ops = SequenceMatcher(None, a or "", b or "").get_opcodes()
+    a, b = a or "", b or ""
+    if _holds(a, b):
+        return max(0, len(b) - len(a))
+    ops = SequenceMatcher(None, a, b).get_opcodes()
     return sum(j2 - j1 for tag, _, _, j1, j2 in ops if tag != "equal")
 
 
@@ -177,14 +189,21 @@ class RatioBlock:
         return np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
 
     def ratio(self, left: str, j: int) -> float:
+        right = self.rights[j]
+        if _holds(left, right):
+            return 2.0 * min(len(left), len(right)) / (len(left) + len(right)) if left or right else 1.0
         if j not in self.matchers:
             self.matchers[j] = SequenceMatcher(None)
-            self.matchers[j].set_seq2(self.rights[j])
+            self.matchers[j].set_seq2(right)
         self.matchers[j].set_seq1(left)
         return self.matchers[j].ratio()
 
     def first_over(self, left: str, cut: float) -> tuple[int, float] | None:
         """First right string more similar than ``cut``."""
+        total = self.lengths + len(left)
+        # no match is longer than the shorter string: where every length differs too much, the pass over the block is spared
+        if not (np.where(total > 0, 2.0 * np.minimum(self.lengths, len(left)) / np.maximum(total, 1), 1.0) > cut).any():
+            return None
         for j in np.flatnonzero(self.bounds(left) > cut).tolist():
             if (r := self.ratio(left, j)) > cut:
                 return j, r

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import similarity as sim
 from scriptorium.functions import text as tx
-from scriptorium.session import BROADCAST_ROWS, broadcast_if_small, compute_partitions, fits, spread
+from scriptorium.session import BROADCAST_ROWS, broadcast_if_small, compute_partitions, fits, reuse, spread
 
 #: Rows of a block; a block of short texts may hold ``WIDE`` times as many rows and ``CHARS`` characters.
 BLOCK, WIDE, CHARS = 256, 8, 1 << 16
@@ -119,20 +119,24 @@ def resolve_claims(left: DataFrame, matches: DataFrame, key: str | Sequence[str]
         F.when(F.col("right_num").isNull(), "not_found").when(F.col("won"), "match").otherwise("rejected").alias("status"))
 
 
-def _surplus(left: DataFrame, right: DataFrame, ks: list[str]) -> DataFrame:
-    """Left rows beyond the number of equal rows on the right, the later occurrences."""
+def _text_counts(left: DataFrame, right: DataFrame, tk: list[str]) -> DataFrame:
+    """How often a text occurs on the left (``lc``) and on the right (``rc``), where that differs; computed once for both sides."""
+    side = lambda df, l, r: df.select(*tk, F.lit(l).alias("__l"), F.lit(r).alias("__r"))
+    counts = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*tk).agg(F.sum("__l").alias("lc"), F.sum("__r").alias("rc"))
+    return reuse(counts.filter(F.col("lc") != F.col("rc")))
+
+
+def _surplus(df: DataFrame, counts: DataFrame, tk: list[str], own: str, other: str) -> DataFrame:
+    """Rows beyond the number of equal rows on the other side, the later occurrences."""
     from pyspark.sql import Window
 
-    tk = [*ks, "text"]
-    counts = left.groupBy(*tk).agg(F.count("*").alias("lc")).join(
-        right.groupBy(*tk).agg(F.count("*").alias("rc")).hint("merge"), tk, "left").withColumn("rc", F.coalesce("rc", F.lit(0)))
     # never broadcast: the counts are as many as the texts, and equal ones compress far below their size in memory
-    rows = left.join(counts.filter(F.col("lc") > F.col("rc")).hint("merge"), tk)
-    none = rows.filter(F.col("rc") == 0)
-    # Ranks are needed only where both sides have copies and the left has more of them.
-    some = rows.filter(F.col("rc") > 0).withColumn(
-        "occ", F.row_number().over(Window.partitionBy(*tk).orderBy("num"))).filter(F.col("occ") > F.col("rc"))
-    return none.select(left.columns).unionByName(some.select(left.columns))
+    rows = reuse(df.join(counts.filter(F.col(own) > F.col(other)).hint("merge"), tk))
+    none = rows.filter(F.col(other) == 0)
+    # Ranks are needed only where both sides have copies and this one has more of them.
+    some = rows.filter(F.col(other) > 0).withColumn(
+        "occ", F.row_number().over(Window.partitionBy(*tk).orderBy("num"))).filter(F.col("occ") > F.col(other))
+    return none.select(df.columns).unionByName(some.select(df.columns))
 
 
 def sequence_diff(left: DataFrame, right: DataFrame, key: str | Sequence[str], cut: float = 0.7,
@@ -144,26 +148,28 @@ def sequence_diff(left: DataFrame, right: DataFrame, key: str | Sequence[str], c
     characters changed and not reported when fewer did.
     """
     ks = _keys(key)
-    lost, extra = _surplus(left, right, ks), _surplus(right, left, ks)
+    tk = [*ks, "text"]
+    counts = _text_counts(left, right, tk)
+    lost, extra = _surplus(left, counts, tk, "lc", "rc"), _surplus(right, counts, tk, "rc", "lc")
 
     @F.pandas_udf("array<struct<num:long,right_num:long,right_text:string,score:double,char_diff:int>>")
-    def first_near(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+    def first_near(lnums: pd.Series, ltexts: pd.Series, rnums: pd.Series, rtexts: pd.Series) -> pd.Series:
         out = []
-        for ls, rs in zip(lefts, rights):
-            rs = sorted(rs, key=lambda x: x["pos"])
-            block = sim.RatioBlock([(r["text"] or "").lower() for r in rs])
+        for lnum, ltext, rnum, rtext in zip(lnums, ltexts, rnums, rtexts):
+            rs = sorted(zip(rnum.tolist(), rtext), key=lambda x: x[0])
+            block = sim.RatioBlock([(text or "").lower() for _, text in rs])
             found = []
-            for x in ls:
-                m = block.first_over((x["text"] or "").lower(), cut)
+            for num, text in zip(lnum.tolist(), ltext):
+                m = block.first_over((text or "").lower(), cut)
                 if m:
-                    r = rs[m[0]]
-                    found.append({"num": x["pos"], "right_num": r["pos"], "right_text": r["text"], "score": round(m[1], 6),
-                                  "char_diff": sim.py_changed_chars(x["text"], r["text"])})
+                    right_num, right_text = rs[m[0]]
+                    found.append({"num": num, "right_num": right_num, "right_text": right_text, "score": round(m[1], 6),
+                                  "char_diff": sim.py_changed_chars(text, right_text)})
             out.append(found)
         return pd.Series(out)
 
     pairs = block_pairs(lost, extra, ks, "num", "num", ["text"], ["text"], size)
-    near = pairs.select(*ks, F.inline(first_near("l_items", "r_items"))).groupBy(*ks, "num").agg(
+    near = pairs.select(*ks, F.inline(first_near("l_items.pos", "l_items.text", "r_items.pos", "r_items.text"))).groupBy(*ks, "num").agg(
         F.min_by(F.struct("right_num", "right_text", "score", "char_diff"), "right_num").alias("m"))
     out = lost.join(near.hint("merge"), [*ks, "num"], "left").select(*ks, "num", "text", "m.*")
     kind = F.when(F.col("right_num").isNull(), "missing").when(F.col("char_diff") >= min_chars, "possible_misplaced")

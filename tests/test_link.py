@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import similarity as sim
@@ -242,3 +243,40 @@ def test_ratio_from_spares_only_lower_ratios(monkeypatch):
         calls.clear()
     sim.ratio_from(0.7).func(pd.Series(a), pd.Series(b))
     assert len(calls) < 1000
+
+
+def counting(spark):
+    """A column function that counts how often a row's value is computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        seen.add(1)
+        return x
+
+    return seen, F.udf(same, "string").asNondeterministic()
+
+
+def test_sequence_diff_reads_each_side_twice(spark):
+    seen, same = counting(spark)
+    s = spark.createDataFrame([(i % 4, i, f"sentence number {i} of a text") for i in range(40)], "id long, num long, text string")
+    right = s.filter("num % 5 <> 4").withColumn("text", F.when(F.col("num") % 7 == 3, F.concat("text", F.lit(" with some more words"))).otherwise(F.col("text")))
+    out = link.sequence_diff(s.withColumn("text", same("text")), right, "id").collect()
+    assert {r.num for r in out if r.kind == "missing"} >= {i for i in range(40) if i % 5 == 4 and i % 7 != 3} - {r.num for r in out if r.right_num is not None}
+    assert seen.value == 80  # for the counts and for the rows
+
+
+def test_ratio_of_a_held_string_needs_no_matcher():
+    a, long = "a sentence that was kept as it is", "x" * 120 + " some letters that are frequent " * 4
+    for left, right in ((a, "opening words " + a), ("opening words " + a, a), (a, a), ("", a), ("", ""), ("letters", long), (long, "x " + long)):
+        block = sim.RatioBlock([right])
+        assert block.ratio(left, 0) == sim.py_ratio(left, right)
+        assert bool(block.matchers) == (len(right) >= sim.POPULAR)
+        ops = SequenceMatcher(None, left, right).get_opcodes()
+        assert sim.py_changed_chars(left, right) == sum(j2 - j1 for tag, _, _, j1, j2 in ops if tag != "equal")
+
+
+def test_first_over_spares_blocks_of_other_lengths(monkeypatch):
+    block = sim.RatioBlock(["short", "a" * 90])
+    assert block.first_over("a" * 88, 0.7) == (1, sim.py_ratio("a" * 88, "a" * 90))
+    monkeypatch.setattr(sim.RatioBlock, "bounds", lambda *_: pytest.fail("bounds are not needed"))
+    assert block.first_over("b" * 30, 0.7) is None
