@@ -447,32 +447,32 @@ def anchor_formulas(formulas: DataFrame, sentences: DataFrame, cut: float = 0.55
 
     ``formulas``: key, formula_no, anchor. ``sentences``: key, num, text.
     """
+    formulas = reuse(formulas)  # read for the sizes of the cells, for the cells and for the result
     left = formulas.withColumn("__a", F.lower(F.coalesce("anchor", F.lit(""))))
     right = sentences.withColumn("__t", F.lower("text")).withColumn("__tail", F.lower(tail_words("text", 14)))
 
     @F.pandas_udf("array<struct<formula_no:long,inside:long,near:long,score:double,last:long>>")
-    def score(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+    def score(nos: pd.Series, anchors: pd.Series, nums: pd.Series, texts: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
-        for fs, ss in zip(lefts, rights):
-            order = sorted(ss, key=lambda x: x["pos"])
-            tails = [s for s in order if s["__tail"]]
+        for fno, fs, num, ts, es in zip(nos, anchors, nums, texts, ends):
+            order = sorted(zip(num.tolist(), ts, es), key=lambda x: x[0])
+            tails = [(pos, tail) for pos, _, tail in order if tail]
             block: sim.RatioBlock | None = None
             rows = []
-            for f in fs:
-                a = f["__a"]
-                inside = next((s["pos"] for s in order if a and a in s["__t"]), None)
+            for no, a in zip(fno.tolist(), fs):
+                inside = next((pos for pos, text, _ in order if a in text), None) if a else None
                 near, best = None, 0.0
                 if a and inside is None and tails:
                     # the bound tells which tails can reach the cut at all
-                    block = block or sim.RatioBlock([s["__tail"] for s in tails])
+                    block = block or sim.RatioBlock([tail for _, tail in tails])
                     if m := block.best(a, cut):
-                        near, best = tails[m[0]]["pos"], m[1]
-                rows.append({"formula_no": f["pos"], "inside": inside, "near": near, "score": best, "last": order[-1]["pos"]})
+                        near, best = tails[m[0]][0], m[1]
+                rows.append({"formula_no": no, "inside": inside, "near": near, "score": best, "last": order[-1][0]})
             out.append(rows)
         return pd.Series(out)
 
     pairs = block_pairs(left, right, [key], "formula_no", "num", ["__a"], ["__t", "__tail"], size)
-    hits = pairs.select(key, F.inline(score("l_items", "r_items"))).groupBy(key, "formula_no").agg(
+    hits = pairs.select(key, F.inline(score("l_items.pos", "l_items.__a", "r_items.pos", "r_items.__t", "r_items.__tail"))).groupBy(key, "formula_no").agg(
         F.min("inside").alias("inside"),
         F.max_by(F.struct("near", "score"), F.struct("score", -F.col("near"))).alias("n"),
         F.max("last").alias("last"))

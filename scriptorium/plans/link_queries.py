@@ -250,10 +250,10 @@ UNION ALL SELECT doc_id, 2, list_position(tails, tails[mid])::BIGINT - 1, 'simil
 UNION ALL SELECT doc_id, 3, len(ls)::BIGINT - 1, 'last' FROM k WHERE len(ls) > 0""")
 def d14(t):
     """Three formulas a document: one behind the middle line, one whose anchor differs from that line's end by a character, one that fits nowhere."""
-    ls, mid = tx.lines("text"), F.get(tx.lines("text"), (F.size(tx.lines("text")) / 2).cast("int"))
-    s = t.documents.select("doc_id", F.posexplode(ls).alias("num", "text"))
-    tail = F.lower(link.tail_words(mid, 14))
-    anchors = F.array(F.right(mid, F.lit(30)), F.when(tail != "", F.concat(tail, F.lit("\u2030"))), F.when(F.size(ls) > 0, F.lit("\u2030" * 9)))
+    s = t.documents.select("doc_id", F.posexplode(tx.lines("text")).alias("num", "text"))
+    of = lambda ls, mid, tail: F.array(F.right(mid, F.lit(30)), F.when(tail != "", F.concat(tail, F.lit("\u2030"))), F.when(F.size(ls) > 0, F.lit("\u2030" * 9)))
+    anchors = tx.let(tx.lines("text"), lambda ls: tx.let(F.get(ls, (F.size(ls) / 2).cast("int")), lambda mid: tx.let(
+        F.lower(link.tail_words(mid, 14)), lambda tail: of(ls, mid, tail))))
     a = t.documents.select("doc_id", F.posexplode(anchors).alias("i", "anchor")).filter("i = 0 or anchor is not null")
     return link.anchor_formulas(a.select("doc_id", (F.col("i") + 1).alias("formula_no"), "anchor"), s).select("doc_id", "formula_no", "num", "how")
 

@@ -280,3 +280,12 @@ def test_first_over_spares_blocks_of_other_lengths(monkeypatch):
     assert block.first_over("a" * 88, 0.7) == (1, sim.py_ratio("a" * 88, "a" * 90))
     monkeypatch.setattr(sim.RatioBlock, "bounds", lambda *_: pytest.fail("bounds are not needed"))
     assert block.first_over("b" * 30, 0.7) is None
+
+
+def test_anchor_formulas_computes_formulas_once(spark):
+    seen, same = counting(spark)
+    f = spark.createDataFrame([(1, 1, "beta gamma"), (1, 2, "delta epsilon zetas"), (1, 3, "%%%%"), (2, 1, None)], "doc_id long, formula_no int, anchor string")
+    s = spark.createDataFrame([(1, 0, "alpha beta gamma"), (1, 1, "delta epsilon zeta"), (1, 2, "the end"), (2, 0, "only")], "doc_id long, num int, text string")
+    got = {(r.doc_id, r.formula_no): (r.num, r.how) for r in link.anchor_formulas(f.withColumn("anchor", same("anchor")), s).collect()}
+    assert got == {(1, 1): (0, "contained"), (1, 2): (1, "similar"), (1, 3): (2, "last"), (2, 1): (0, "last")}
+    assert seen.value == 4
