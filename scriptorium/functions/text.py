@@ -160,4 +160,4 @@ def token_set(c: Column | str, min_len: int = 4) -> Column:
 
 def match_form(c: Column | str) -> Column:
     """Lower case, hyphen to space, only ``a-z``, digits and whitespace kept."""
-    return F.regexp_replace(F.translate(F.lower(col(c)), "-", " "), "[^a-z0-9\\s]", "")
+    return F.regexp_replace(F.replace(F.lower(col(c)), F.lit("-"), F.lit(" ")), "[^a-z0-9\\s]+", "")

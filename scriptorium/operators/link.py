@@ -271,7 +271,8 @@ def link_notions(notions: DataFrame, sentences: DataFrame, threshold: float = 90
         F.max_by(F.struct("notion", "line"), "line").alias("n")).select("norm", "n.*")
     link_type = "array<struct<notion:string,line:int>>"
     keep = [c for c in sentences.columns if c != "sentence"]
-    s = sentences.select(*keep, tx.match_form("sentence").alias("__norm")).filter(tx.strip("__norm") != "")
+    # as a generator the form is made once a row; a filter behind it would be pushed below and make it again
+    s = sentences.select(*keep, F.explode(F.filter(F.array(tx.match_form("sentence")), lambda n: tx.strip(n) != "")).alias("__norm"))
 
     def links(norm: str, index: _NotionIndex) -> list[dict]:
         return [{"notion": index.items[i]["notion"], "line": index.items[i]["line"]} for i in index.links(norm)]

@@ -289,3 +289,11 @@ def test_anchor_formulas_computes_formulas_once(spark):
     got = {(r.doc_id, r.formula_no): (r.num, r.how) for r in link.anchor_formulas(f.withColumn("anchor", same("anchor")), s).collect()}
     assert got == {(1, 1): (0, "contained"), (1, 2): (1, "similar"), (1, 3): (2, "last"), (2, 1): (0, "last")}
     assert seen.value == 4
+
+
+def test_link_notions_makes_the_normal_form_once(spark):
+    n = spark.createDataFrame([("Cold-Plate!", 1)], "notion string, line int")
+    s = spark.createDataFrame([(1, "the COLD-plate, was ***used***"), (2, "?!"), (3, None), (4, "nothing here")], "id long, sentence string")
+    out = link.link_notions(n, s)
+    assert [(r.id, r.notion) for r in out.collect()] == [(1, "Cold-Plate!")]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("regexp_replace(") == 1
