@@ -72,13 +72,13 @@ MATCH = "array<struct<text:string,r:long,score:double>>"
 
 def _best_in_blocks(min_score: float):
     @F.pandas_udf(MATCH)
-    def score(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+    def score(ltexts: pd.Series, rnums: pd.Series, rtexts: pd.Series) -> pd.Series:
         out = []
-        for ls, rs in zip(lefts, rights):
-            rights = sorted(rs, key=lambda x: x["pos"])
-            block = sim.RatioBlock([r["text"].lower() for r in rights])
-            found = [(x["text"], block.best(x["text"].lower(), min_score)) for x in ls]
-            out.append([{"text": text, "r": rights[m[0]]["pos"], "score": m[1]} for text, m in found if m])
+        for ltext, rnum, rtext in zip(ltexts, rnums, rtexts):
+            rights = sorted(zip(rnum.tolist(), rtext), key=lambda x: x[0])
+            block = sim.RatioBlock([text.lower() for _, text in rights])
+            found = [(text, block.best(text.lower(), min_score)) for text in ltext]
+            out.append([{"text": text, "r": rights[m[0]][0], "score": m[1]} for text, m in found if m])
         return pd.Series(out)
 
     return score
@@ -97,7 +97,7 @@ def best_match(left: DataFrame, right: DataFrame, key: str | Sequence[str], min_
     ltexts = lrows.select(*ks, "text").distinct().withColumn("__at", F.xxhash64("text"))
     rtexts = right.select(*ks, "num", F.coalesce("text", F.lit("")).alias("text")).groupBy(*ks, "text").agg(F.min("num").alias("num"))
     pairs = block_pairs(ltexts, rtexts, ks, "__at", "num", ["text"], ["text"], size, CHARS)
-    hits = pairs.select(*ks, F.inline(_best_in_blocks(min_score)("l_items", "r_items")))
+    hits = pairs.select(*ks, F.inline(_best_in_blocks(min_score)("l_items.text", "r_items.pos", "r_items.text")))
     hits = hits.groupBy(*ks, "text").agg(best("m")).select(*ks, "text", "m.*")
     out = lrows.join(hits.hint("merge"), [*ks, "text"]).groupBy(*ks, "num").agg(best("m"))
     return out.select(*ks, "num", F.col("m.r").alias("right_num"), tx.round_half_up("m.score", 4).alias("score"))
@@ -632,12 +632,11 @@ def word_windows(df: DataFrame, n: int = 10, key: str = "doc_id", column: str =
     """Each run of ``n`` lower-case words as a 128-bit fingerprint, with word offset and line number."""
 
     def of(tagged: Column) -> Column:
-        return F.transform(
+        return tx.let(tagged["w"], lambda ws: F.transform(
             F.when(F.size(tagged) >= n, F.sequence(F.lit(0), F.size(tagged) - n)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(i.alias("at"), F.get(tagged, i)["line"].alias("line"), F.array_join(
-                F.transform(F.slice(tagged, i + 1, F.lit(n)), lambda w: w["w"]), " ").alias("win")))
+            lambda i: F.struct(i.alias("at"), F.get(tagged, i)["line"].alias("line"), F.array_join(F.slice(ws, i + 1, F.lit(n)), " ").alias("win"))))
 
-    tagged = F.flatten(F.transform(tx.lines(F.lower(column)), lambda x, i: F.transform(
+    tagged = F.flatten(F.transform(tx.let(F.lower(column), tx.lines), lambda x, i: F.transform(
         tx.words(x), lambda w: F.struct(w.alias("w"), i.alias("line")))))
     out = df.select(key, F.inline(tx.let(tagged, of)))
     return out.select(key, "at", "line", F.xxhash64("win").alias("h1"), F.xxhash64(F.lit(7), "win").alias("h2"))

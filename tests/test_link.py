@@ -297,3 +297,13 @@ def test_link_notions_makes_the_normal_form_once(spark):
     out = link.link_notions(n, s)
     assert [(r.id, r.notion) for r in out.collect()] == [(1, "Cold-Plate!")]
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("regexp_replace(") == 1
+
+
+def test_word_windows_cut_words_once(spark):
+    df = spark.createDataFrame([(1, "One two\nTHREE  four\n\nfive"), (2, "short"), (3, None)], "doc_id long, text string")
+    out = link.word_windows(df, 3)
+    assert [(r.doc_id, r["at"], r.line) for r in out.sort("doc_id", "at").collect()] == [(1, 0, 0), (1, 1, 0), (1, 2, 1)]
+    other = link.word_windows(spark.createDataFrame([(1, "two three four")], "doc_id long, text string"), 3).first()
+    assert [r["at"] for r in out.collect() if (r.h1, r.h2) == (other.h1, other.h2)] == [1]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "transform(slice(" not in plan and plan.count("lower(") == 1
