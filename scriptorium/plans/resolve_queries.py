@@ -216,16 +216,18 @@ k AS (SELECT doc_id, l AS text, 'right' AS source, pos AS num, CASE WHEN pos % 7
 SELECT doc_id AS pair_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY ord)::INTEGER AS pos, source, num::BIGINT AS num, text FROM k""")
 def f15(t):
     """Insertions in a row, two moves of the last line, the first line at the end, a figure operation, and an unknown anchor with a missing text."""
-    n = F.size(tx.lines("text"))
+    # as a generator the lines are cut once a document, not once for each use of their number
+    sized = reuse(t.documents.select("doc_id", F.explode(F.filter(F.array(F.size(tx.lines("text"))), lambda n: n > 0)).alias("n")))
+    n = F.col("n")
     last = F.when(n > 1, n - 1).cast("string")
     right = t.documents.select(F.col("doc_id").alias("pair_id"), F.posexplode(tx.lines("text")).alias("num", "text")).select(
         "pair_id", F.col("num").cast("long").alias("num"), F.when(F.col("num") % 7 == 5, "FIG001").alias("block"), "text")
-    left = t.documents.filter(n > 0).select(F.col("doc_id").alias("pair_id"), F.explode(F.sequence(F.lit(2).cast("long"), F.lit(4).cast("long"))).alias("num"), n.alias("n")).select(
+    left = sized.select(F.col("doc_id").alias("pair_id"), F.explode(F.sequence(F.lit(2).cast("long"), F.lit(4).cast("long"))).alias("num"), n.alias("n")).select(
         "pair_id", "num", F.concat(F.lit("left "), F.col("num").cast("string"), F.lit(" of "), F.col("n").cast("string")).alias("text"))
     lines = [F.concat(F.lit("MOVE RIGHT "), last, F.lit(" (main) AFTER RIGHT 0  # back")), F.lit("INSERT LEFT 2 AFTER RIGHT 0"), F.lit("insert left 3 after left 2"),
              F.when(n > 2, F.concat(F.lit("MOVE RIGHT "), last, F.lit(" AFTER RIGHT 1"))), F.lit("PLACE RIGHT 0 AT END OF DOCUMENT"),
              F.lit("PLACE LEFT 4 AT BEGINNING OF FIGURE"), F.lit("INSERT LEFT 5 AFTER RIGHT 99999999")]
-    raw = t.documents.filter(n > 0).select(F.col("doc_id").alias("pair_id"), F.posexplode(F.array(*lines)).alias("op_no", "line")).filter("line is not null")
+    raw = sized.select(F.col("doc_id").alias("pair_id"), F.posexplode(F.array(*lines)).alias("op_no", "line")).filter("line is not null")
     ops = resolve.parse_instructions(raw.withColumn("block", F.when(F.col("op_no") == 5, "FIG001")))
     return resolve.apply_instructions(right, left, ops)
 

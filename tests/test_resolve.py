@@ -396,3 +396,15 @@ def test_evidence_is_the_same_by_cells(spark, monkeypatch):
         monkeypatch.setattr(retrieve, "V_BLOCK", 16)
         got = retrieve.retrieve_evidence(queries, vectors, use_sup=True, use_lit=True)
         assert {(r.slide_uid, r.pass_no, r.rank, r.vec_id) for r in got.collect()} == want
+
+
+def test_f15_query_cuts_lines_once_for_its_operations(spark, tmp_path, monkeypatch):
+    from scriptorium.plans import catalog
+
+    spark.createDataFrame([(1, "a\nb\nc\nd", "en", "s", 7), (2, "one", "en", "s", 3), (3, None, "en", "s", 0), (4, "", "en", "s", 0)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    raw, real = [], resolve.parse_instructions
+    monkeypatch.setattr(resolve, "parse_instructions", lambda df: raw.append(df) or real(df))
+    out = catalog.QUERIES["f15_apply_instructions"](spark, str(tmp_path)).collect()
+    assert {r.pair_id for r in out} == {1, 2}
+    assert "split(" not in raw[0]._jdf.queryExecution().executedPlan().toString()
