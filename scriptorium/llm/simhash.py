@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -94,27 +94,18 @@ def near_pairs(fps: np.ndarray, apart: np.ndarray, radius: int = RADIUS) -> np.n
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Star edges ``(a, b)`` that span what is linked within each bucket."""
-    yield from _edges(batches, block_labels)
-
-
-def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges ``(a, b)`` from each row of a bucket to the first one that is linked with it."""
-    yield from _edges(batches, lambda near: np.where(near.any(axis=1), near.argmax(axis=1), np.arange(len(near))))
-
-
-def _edges(batches: Iterator[pa.RecordBatch], roots: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
     for table, gid in blocks(batches, ["band", "key", "pi", "pj"]):
         fps, ids = table["fp"].to_numpy().view(np.uint64), table["id"].to_numpy()
         part, cross = table["part"].to_numpy(), table["pi"].to_numpy() != table["pj"].to_numpy()
         apart = gid[:, None] != gid[None, :]
         apart |= cross[:, None] & (part[:, None] == part[None, :])
-        root = roots(near_pairs(np.ascontiguousarray(fps), apart))
-        out = np.flatnonzero(root != np.arange(len(root)))
+        label = block_labels(near_pairs(np.ascontiguousarray(fps), apart))
+        out = np.flatnonzero(label != np.arange(len(label)))
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[root[out]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[label[out]])], ["a", "b"])
 
 
-def links(nodes: DataFrame, scratch: Scratch, find: Callable = linked) -> DataFrame:
+def links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges ``(a, b)`` between the ids of different fingerprints ``(fp, id)`` that link.
 
     Buckets are the ten choices of two bands of 25 or 26 bits, so links are found without loss. A bucket with more
@@ -129,7 +120,7 @@ def links(nodes: DataFrame, scratch: Scratch, find: Callable = linked) -> DataFr
     banded = nodes.withColumn("b", F.explode(bands)).select("b.band", "b.key", "fp", "id")
     order = ["band", "key", "pi", "pj"]
     dealt = deal(banded, ["band", "key"], "id", PART_ROWS, scratch).select(*order, "part", "fp", "id")
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(find, "a long, b long")
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(linked, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -667,3 +667,36 @@ def test_near_copies_by_fingerprints(spark, scratch):
     assert minhash.fingerprint_links(nodes, docs.select("th", "text"), scratch).count() == 1
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(frame(spark, rows), scratch).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_every_pair_of_linked_fingerprints(spark, scratch, monkeypatch):
+    """A pair is checked although an unlike text, with the same fingerprint or a linked one, comes first."""
+    rng = random.Random(45)
+    apart = lambda x, y: (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count()
+    while True:
+        # the order of the blocks leaves the three-word shingles alone, but not those of five words
+        blocks = words(rng, 80).split()
+        text = lambda bs: "p q " + " ".join(f"{b} p q" for b in bs)
+        other, swapped = rng.sample(blocks, 80), [*blocks[:40], blocks[41], blocks[40], *blocks[42:]]
+        ends = [text(bs) + " end" for bs in (blocks, swapped)]
+        if 0 < apart(text(other), ends[0]) <= 3 and len({*map(five_words, (text(blocks), text(swapped), *ends))}) == 4:
+            break
+    texts = [text(other), text(blocks), text(swapped), *ends]
+    assert len({simhash.fingerprint(t) for t in texts}) == 2
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts, 1)]
+    docs = frame(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("th"))
+    nodes = docs.mapInArrow(minhash.signed, "doc_id long, th long, fp long, digest long, n int, keys array<long>").select(F.col("doc_id").alias("id"), "th", "fp")
+    for part in (512, 2):
+        monkeypatch.setattr(minhash, "PART_ROWS", part)
+        got = {tuple(sorted(r)) for r in minhash.fingerprint_links(nodes, docs.select("th", "text"), scratch).collect()}
+        assert union_find(got, range(1, 6)) == {1: 1, 2: 2, 3: 2, 4: 2, 5: 2}
+    # one set with two fingerprints: the second one links with a text that the first one misses
+    while True:
+        base = words(rng, 40).split()
+        once, twice = " ".join(base + base), " ".join(base + base + base[:30])
+        edited = twice.rsplit(" ", 1)[0] + " end"
+        if apart(twice, edited) <= 3 < apart(once, edited) and five_words(once) == five_words(twice) != five_words(edited):
+            break
+    monkeypatch.setattr(minhash, "linked", lambda batches: (b.select([]) for b in ()))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(frame(spark, [(1, once, "en", "s"), (2, twice, "en", "s"), (3, edited, "en", "s")]), scratch).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
