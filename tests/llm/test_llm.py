@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -700,3 +701,43 @@ def test_every_pair_of_linked_fingerprints(spark, scratch, monkeypatch):
     monkeypatch.setattr(minhash, "linked", lambda batches: (b.select([]) for b in ()))
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(frame(spark, [(1, once, "en", "s"), (2, twice, "en", "s"), (3, edited, "en", "s")]), scratch).collect()}
     assert got == {1: 1, 2: 1, 3: 1}
+
+
+def test_substring_meetings_in_batches(monkeypatch):
+    """Places of a seed meet without a table of their own for each pair, and the pairs that have enough words in common are the same."""
+    rng, names = random.Random(46), ["h", "pi", "pj", "part", "doc", "p", "pe", "ep", "e", "linked", "words"]
+    vocab, rows = list(range(60_000, 60_040)), []
+    for h in range(3):
+        bases = [[rng.choice(vocab) for _ in range(n)] for n in (30, 60, 64, 128, 200)]
+        for d in range(40):
+            own = [w if rng.random() < 0.8 else rng.choice(vocab) for w in bases[d % 5]]
+            rows.append((h, 0, int(h == 2), d % 2 if h == 2 else 0, d // 2 if d < 8 else d, d, d + 5, d, d + 5, d % 7 == 0, own))
+    kinds = [pa.int64(), *[pa.int32()] * 2, pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.bool_()]
+    cols = list(zip(*rows))
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array([np.array(w, np.uint16).tobytes() for w in cols[-1]])], names)
+    want = set()
+    for h in range(3):
+        for x, y in combinations([r for r in rows if r[0] == h], 2):
+            if x[4] != y[4] and not (x[9] and y[9]) and (h < 2 or x[3] != y[3]) and substring.common(x[10], y[10]) >= 40:
+                x, y = max(x, y, key=lambda r: r[4]), min(x, y, key=lambda r: r[4])
+                want.add((x[4], y[4], x[5], x[6], y[5], y[6]))
+    assert 100 < len(want) < 1500
+    calls = []
+    whole = substring.common
+    monkeypatch.setattr(substring, "common", lambda a, b: calls.append(1) or whole(a, b))
+    for size in (4096, 40):
+        monkeypatch.setattr(substring, "BATCH", size, raising=False)
+        got = {tuple(c.as_py() for c in r) for b in substring.meetings(iter([batch[:50], batch[50:]])) for r in zip(*b.columns)}
+        assert got == want and len(calls) < len(want)
+    pairs = [([rng.choice(vocab[:k]) for _ in range(rng.randint(0, 150))], [rng.choice(vocab[:k]) for _ in range(rng.randint(0, 150))]) for k in (1, 3, 40) for _ in range(40)]
+    flat = [np.array(r, np.uint16) for p in pairs for r in p]
+    assert substring.subsequences(flat, np.arange(0, 240, 2), np.arange(1, 240, 2)).tolist() == [whole(a, b) for a, b in pairs]
+
+
+def test_substring_word_bounds():
+    """Word places by all white space there is, the same as those of the pattern."""
+    rng, space = random.Random(47), [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    for _ in range(300):
+        t = "".join(rng.choice(space + ["a", "é", "漢", "🙂", "Σ", "İ"] * 8) for _ in range(rng.randint(0, 60)))
+        starts, stops = substring.bounds(t)
+        assert list(zip(starts.tolist(), stops.tolist())) == [m.span() for m in substring.WORD.finditer(t)]
